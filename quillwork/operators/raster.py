@@ -16,7 +16,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillwork.functions import dims
-from quillwork.functions.num import byte, half_up, upper_median
+from quillwork.functions.num import byte, upper_median
+from quillwork.session import cut_lineage
 
 # --- fixed values -----------------------------------------------------------------------
 MAX_DIM = 4200
@@ -51,6 +52,8 @@ def box_downscale(pixels: DataFrame, max_dim: int = ANALYSIS_DIM) -> DataFrame:
         return f"cast(CASE WHEN floor({i} * {f}) > {v} THEN {i} - 1 WHEN floor(({i} + 1) * {f}) <= {v} THEN {i} + 1 ELSE {i} END AS int)"
 
     p = p.selectExpr("scan_id", "nw AS w", "nh AS h", f"{cell('y', 'fy')} AS y", f"{cell('x', 'fx')} AS x", "gray")
+    # the last block edge may fall short of the page by a rounding error; what lies beyond is not read
+    p = p.where("y < h AND x < w")
     return p.groupBy("scan_id", "w", "h", "y", "x").agg(byte(F.avg("gray")).alias("gray"))
 
 
@@ -83,9 +86,9 @@ def otsu(pixels: DataFrame) -> DataFrame:
     run = page.orderBy("gray").rowsBetween(W.unboundedPreceding, 0)
     t = hist.select(
         "scan_id", "gray", F.sum("n").over(run).alias("wb"), F.sum(F.expr("n * gray")).over(run).alias("sb"),
-        F.sum("n").over(page).alias("total"), F.sum(F.expr("n * gray")).over(page).alias("all"))
+        F.sum("n").over(page).alias("total"), F.sum(F.expr("n * gray")).over(page).alias("whole"))
     t = t.selectExpr("scan_id", "gray", "wb", "total - wb AS wf", "sb / wb AS mb",
-                     "try_divide(all - sb, total - wb) AS mf")
+                     "try_divide(whole - sb, total - wb) AS mf")
     best = t.groupBy("scan_id").agg(F.max_by(
         "gray", F.when(F.col("wf") > 0, F.struct(F.expr("wb * wf * (mb - mf) * (mb - mf)"), -F.col("gray")))).alias("t"))
     return best.select("scan_id", F.coalesce("t", F.lit(0)).alias("otsu"))
@@ -383,14 +386,18 @@ def clean(ink: DataFrame) -> DataFrame:
 
 
 def preprocess(pixels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """A gray page to clean labelled runs, and its angle, slant, ink share and rules removed."""
+    """A gray page to clean labelled runs, and its angle, slant, ink share and rules removed.
+
+    Every stage reads its input more than once, so stages are written to the checkpoint folder:
+    the chain costs the sum of its stages, and a lost executor redoes one stage at most.
+    """
     pages = pixels.select("scan_id").distinct()
-    small = box_downscale(pixels)
-    skew = page_skew(run_pixels(clean(sauvola(small))), pages)
-    straight = rotate_gray(pixels, skew.select("scan_id", F.radians("deg").alias("angle")))
-    unruled, rules = remove_rules(sauvola(straight))
-    runs = clean(unruled)
-    slant = writing_slant(run_pixels(runs), pages)
+    small = cut_lineage(sauvola(box_downscale(pixels)))
+    skew = cut_lineage(page_skew(cut_lineage(run_pixels(clean(small))), pages))
+    straight = cut_lineage(rotate_gray(pixels, skew.select("scan_id", F.radians("deg").alias("angle"))))
+    unruled, rules = remove_rules(cut_lineage(sauvola(straight)))
+    runs = cut_lineage(clean(unruled))
+    slant = writing_slant(cut_lineage(run_pixels(runs)), pages)
     info = skew.withColumnRenamed("deg", "angle_deg").join(slant.withColumnRenamed("deg", "slant"), "scan_id").join(
         ink_ratio(runs), "scan_id", "left").join(rules, "scan_id", "left").na.fill(0)
     return runs, info
@@ -406,7 +413,7 @@ def stroke_raster(strokes: DataFrame) -> DataFrame:
     seg = strokes.selectExpr(
         "glyph_id", "width", "height",
         "explode(IF(size(points) = 1, array(struct(points[0] AS a, points[0] AS b)),"
-        " arrays_zip(slice(points, 1, size(points) - 1) AS a, slice(points, 2, size(points) - 1) AS b))) AS s")
+        " transform(sequence(1, size(points) - 1), i -> struct(points[i - 1] AS a, points[i] AS b)))) AS s")
     seg = seg.selectExpr("*", "cast(greatest(1, ceil(sqrt(power(s.b.x - s.a.x, 2) + power(s.b.y - s.a.y, 2)) / 0.6D)) AS int) AS n")
     disc = seg.selectExpr("*", "explode(sequence(0, n)) AS k").selectExpr("*", "k / cast(n AS double) AS t").selectExpr(
         "glyph_id", "width", "height", "s.a.x + (s.b.x - s.a.x) * t AS cx", "s.a.y + (s.b.y - s.a.y) * t AS cy",

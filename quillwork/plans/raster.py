@@ -186,15 +186,15 @@ def search_sql(angles, coarse: float, at: str, last: str, pad: str, sign: str) -
     lit = [(k, 0, float(d), t) for k, d, t in first]
     return f"""
 a1 AS ({dims.values_sql(lit, 'k, j, deg, tan', duck=True)}), a2 AS ({dims.values_sql(second, 'k, j, deg, tan', duck=True)}),
-t1 AS (SELECT scan_id, k, {at} AS at, {last} AS last FROM (SELECT *, {pad} AS pad FROM ink, a1)),
-p1 AS (SELECT scan_id, k, at, last, count(*) AS n FROM t1 WHERE at >= 0 AND at <= last GROUP BY ALL),
-s1 AS (SELECT a.scan_id, a.k, sum((2 - (a.at = 0)::INT - (a.at = a.last)::INT) * a.n * a.n - 2 * a.n * coalesce(b.n, 0)) AS score
-  FROM p1 a LEFT JOIN p1 b ON b.scan_id = a.scan_id AND b.k = a.k AND b.at = a.at - 1 GROUP BY ALL),
+t1 AS (SELECT scan_id, k, {at} AS pos, {last} AS last FROM (SELECT *, {pad} AS pad FROM ink, a1)),
+p1 AS (SELECT scan_id, k, pos, last, count(*) AS n FROM t1 WHERE pos >= 0 AND pos <= last GROUP BY ALL),
+s1 AS (SELECT a.scan_id, a.k, sum((2 - (a.pos = 0)::INT - (a.pos = a.last)::INT) * a.n * a.n - 2 * a.n * coalesce(b.n, 0)) AS score
+  FROM p1 a LEFT JOIN p1 b ON b.scan_id = a.scan_id AND b.k = a.k AND b.pos = a.pos - 1 GROUP BY ALL),
 b1 AS (SELECT scan_id, arg_max(k, row(score, -k)) AS k, max(score) AS score FROM s1 GROUP BY scan_id),
-t2 AS (SELECT scan_id, j, {at} AS at, {last} AS last FROM (SELECT ink.*, j, tan, {pad} AS pad FROM ink JOIN b1 USING (scan_id) JOIN a2 USING (k))),
-p2 AS (SELECT scan_id, j, at, last, count(*) AS n FROM t2 WHERE at >= 0 AND at <= last GROUP BY ALL),
-s2 AS (SELECT a.scan_id, a.j, sum((2 - (a.at = 0)::INT - (a.at = a.last)::INT) * a.n * a.n - 2 * a.n * coalesce(b.n, 0)) AS score
-  FROM p2 a LEFT JOIN p2 b ON b.scan_id = a.scan_id AND b.j = a.j AND b.at = a.at - 1 GROUP BY ALL),
+t2 AS (SELECT scan_id, j, {at} AS pos, {last} AS last FROM (SELECT ink.*, j, tan, {pad} AS pad FROM ink JOIN b1 USING (scan_id) JOIN a2 USING (k))),
+p2 AS (SELECT scan_id, j, pos, last, count(*) AS n FROM t2 WHERE pos >= 0 AND pos <= last GROUP BY ALL),
+s2 AS (SELECT a.scan_id, a.j, sum((2 - (a.pos = 0)::INT - (a.pos = a.last)::INT) * a.n * a.n - 2 * a.n * coalesce(b.n, 0)) AS score
+  FROM p2 a LEFT JOIN p2 b ON b.scan_id = a.scan_id AND b.j = a.j AND b.pos = a.pos - 1 GROUP BY ALL),
 walk AS (SELECT b1.scan_id, b1.k, a1.deg AS best, b1.score, -1 AS j, true AS live FROM b1 JOIN a1 ON a1.k = b1.k
   UNION ALL SELECT w.scan_id, w.k, CASE WHEN a2.deg <= w.best + {coarse} AND s2.score > w.score THEN a2.deg ELSE w.best END,
     CASE WHEN a2.deg <= w.best + {coarse} AND s2.score > w.score THEN s2.score ELSE w.score END, w.j + 1, a2.deg <= w.best + {coarse}

@@ -98,7 +98,7 @@ def text_runs(spark: SparkSession, sf: str) -> DataFrame:
     d = d.selectExpr("scan_id", "size(ls) AS h",
                      "array_max(transform(ls, s -> length(s))) AS w", "posexplode(ls) AS (y, s)")
     d = d.where("length(s) > 0").selectExpr("scan_id", "h", "w", "y", "split(s, '') AS c")
-    blank = "(array_contains(array(' ', '\\t', '\\r', '\\u000b', '\\f'), c[{i}]))"
+    blank = "(array_contains(array(' ', '\\t', '\\r', '\\u000b', '\\u000c'), c[{i}]))"
     here, before, after = (blank.format(i=i) for i in ("i", "i - 1", "i + 1"))
     d = d.selectExpr(
         "scan_id", "h", "w", "y",
