@@ -1,4 +1,4 @@
 """All registered queries. Importing a module of this package registers its queries."""
 
-from quillwork.plans import corpus, events, health, metrics, raster, segment  # noqa: F401
+from quillwork.plans import corpus, events, health, metrics, outline, raster, segment  # noqa: F401
 from quillwork.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -181,7 +179,6 @@ def assign_band(spark, sf):
     return G.assign_band(b, marks(spark, sf)).select("scan_id", "comp_id", "rw")
 
 
-@lru_cache(maxsize=4)
 def _segmented(spark, sf):
     lab = cut_lineage(page_labels(spark, sf))
     comps = cut_lineage(R.components(lab))
