@@ -69,3 +69,24 @@ DOCS = """docs AS (
   UNION ALL SELECT 'c' || conv_id || '-' || turn, 'faq', role, text FROM conversations
   UNION ALL SELECT 'p' || page_id, 'install', regexp_extract(html, '<title>([^<]*)</title>', 1), html
     FROM pages)"""
+PATHS = CHARSET + """,
+pth AS (SELECT *, 60 * f AS a, (60 + 2 * width) * f AS b, 2 * f * y0 AS c, 2 * f * y1 AS d, (2 * width + 150) * f AS adv FROM (
+  SELECT p_partkey AS glyph_id, p_partkey // 260 AS font_id, c.ord, c.ch, c.name, c.kind, c.unicode, CAST(200 + p_size * 8 AS DOUBLE) AS width,
+     p_partkey % 4 AS shape, 1 + (p_partkey // 260) % 3 * 0.25::DOUBLE AS f,
+     CAST(CASE WHEN zone IN ('desc', 'full') THEN -200 WHEN zone = 'mid' THEN 150 WHEN zone = 'high' THEN 500 ELSE 0 END AS DOUBLE) AS y0,
+     CAST(CASE WHEN zone IN ('x', 'desc') THEN 500 WHEN zone = 'base' THEN 100 WHEN zone = 'mid' THEN 350 ELSE 700 END AS DOUBLE) AS y1
+  FROM part JOIN charset c ON c.ord = CASE WHEN p_partkey % 130 < 112 THEN p_partkey % 130 ELSE p_partkey % 130 + 8 END)),
+rng AS (SELECT *, CASE shape WHEN 0 THEN [{'x': a, 'y': c}, {'x': a, 'y': d}, {'x': b, 'y': d}, {'x': b, 'y': c}]
+    WHEN 1 THEN [{'x': a, 'y': (c + d) / 2}, {'x': (a + b) / 2, 'y': d}, {'x': b, 'y': (c + d) / 2}, {'x': (a + b) / 2, 'y': c}]
+    WHEN 2 THEN [{'x': a, 'y': c}, {'x': (a + b) / 2, 'y': d}, {'x': b, 'y': c}]
+    ELSE [{'x': a, 'y': d}, {'x': b, 'y': d}, {'x': (a + b) / 2, 'y': c}] END AS p,
+    [{'x': a, 'y': d}, {'x': b, 'y': d}, {'x': b, 'y': c}, {'x': a, 'y': c}] AS q FROM pth),
+seg AS (SELECT *, i AS seq, p[i + 1] AS u, p[(i + 1) % len(p) + 1] AS v, q[i + 1] AS w FROM (SELECT *, unnest(range(0, len(p))) AS i FROM rng)),
+cv AS (SELECT glyph_id, font_id, seq::INT AS seq, u.x AS p0x, u.y AS p0y, v.x AS p3x, v.y AS p3y,
+    CASE WHEN shape = 1 THEN u.x + 2 / 3::DOUBLE * (w.x - u.x) ELSE u.x + (v.x - u.x) / 3 END AS c1x, CASE WHEN shape = 1 THEN u.y + 2 / 3::DOUBLE * (w.y - u.y) ELSE u.y + (v.y - u.y) / 3 END AS c1y,
+    CASE WHEN shape = 1 THEN v.x + 2 / 3::DOUBLE * (w.x - v.x) ELSE u.x + 2 * (v.x - u.x) / 3 END AS c2x, CASE WHEN shape = 1 THEN v.y + 2 / 3::DOUBLE * (w.y - v.y) ELSE u.y + 2 * (v.y - u.y) / 3 END AS c2y FROM seg),
+scl AS (SELECT font_id, CASE WHEN max(CASE WHEN ch = 'x' THEN d - greatest(0, c) END) > 100 THEN 500 / max(CASE WHEN ch = 'x' THEN d - greatest(0, c) END) ELSE 0.5 END::DOUBLE AS scale FROM pth GROUP BY 1),
+imp AS (SELECT glyph_id, p.font_id, ord, ch, name, kind, unicode, (b - a) * scale AS ink_width, c * scale AS ink_y0, d * scale AS ink_y1, a * scale AS lsb, (adv - b) * scale AS rsb, adv * scale AS advance
+   FROM pth p JOIN scl USING (font_id)),
+icv AS (SELECT cv.glyph_id, cv.font_id, seq, p0x * scale - lsb AS p0x, p0y * scale AS p0y, c1x * scale - lsb AS c1x, c1y * scale AS c1y, c2x * scale - lsb AS c2x, c2y * scale AS c2y, p3x * scale - lsb AS p3x, p3y * scale AS p3y
+   FROM cv JOIN scl USING (font_id) JOIN imp USING (glyph_id))"""

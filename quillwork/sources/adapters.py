@@ -168,34 +168,35 @@ def shape_profiles(spark: SparkSession, sf: str) -> DataFrame:
     return s.selectExpr("*", "width - left AS right").drop("t")
 
 
-def shape_paths(spark: SparkSession, sf: str) -> DataFrame:
-    """paths(glyph_id, font_id, ch, ..., advance, cmds): outline commands of each shape.
+def font_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """paths(glyph_id, font_id, ord, ch, name, kind, unicode, upm, advance, cmds): fonts as outline commands.
 
-    Commands are in design units of a 2000-unit em with the pen starting 30 units in.
+    260 parts make one font: the required characters and the joined pairs, each written up to
+    twice. Design units are those of a 2000-unit em, drawn a quarter larger from font to font.
     """
-    s = glyph_shapes(spark, sf).selectExpr(
-        "glyph_id", "font_id", "ord", "ch", "name", "zone", "shape", "2000 AS upm",
-        "60D AS a", "60 + 2 * width AS b", "2 * y0 AS c", "2 * y1 AS d", "2 * width + 150 AS advance")
+    p = table(spark, sf, "part").selectExpr(
+        "p_partkey AS glyph_id", "p_partkey div 260 AS font_id", "cast(p_partkey % 130 AS int) AS k",
+        "cast(200 + p_size * 8 AS double) AS width", "cast(p_partkey % 4 AS int) AS shape",
+        "1 + (p_partkey div 260) % 3 * 0.25D AS f").selectExpr("*", "IF(k < 112, k, k + 8) AS ord")
+    cs = dims.charset(spark).select("ord", "ch", "name", "zone", "kind", "unicode")
+    s = p.join(cs, "ord").selectExpr(
+        "*", "60 * f AS a", "(60 + 2 * width) * f AS b",
+        "2 * f * CASE WHEN zone IN ('desc', 'full') THEN -200D WHEN zone = 'mid' THEN 150D WHEN zone = 'high' THEN 500D ELSE 0D END AS c",
+        "2 * f * CASE WHEN zone IN ('x', 'desc') THEN 500D WHEN zone = 'base' THEN 100D WHEN zone = 'mid' THEN 350D ELSE 700D END AS d")
 
     def cmd(t, *xy):
-        names = ("x", "y", "x1", "y1")
         vals = [*xy, *["CAST(NULL AS DOUBLE)"] * (4 - len(xy))]
-        inner = ", ".join(f"'{n}', {v}" for n, v in zip(names, vals))
-        return f"named_struct('type', '{t}', {inner})"
+        return f"named_struct('type', '{t}', " + ", ".join(f"'{n}', {v}" for n, v in zip(("x", "y", "x1", "y1"), vals)) + ")"
 
-    mid = "(a + b) / 2"
-    vmid = "(c + d) / 2"
+    mid, vmid = "(a + b) / 2", "(c + d) / 2"
     flat = [cmd("M", "a", "c"), cmd("L", "a", "d"), cmd("L", "b", "d"), cmd("L", "b", "c"), cmd("Z")]
-    up = [cmd("M", "a", "c"), cmd("L", mid, "d"), cmd("L", "b", "c"), cmd("L", "a", "c"), cmd("Z")]
-    down = [cmd("M", "a", "d"), cmd("L", "b", "d"), cmd("L", mid, "c")]
     rnd = [cmd("M", "a", vmid), cmd("Q", mid, "d", "a", "d"), cmd("Q", "b", vmid, "b", "d"),
            cmd("Q", mid, "c", "b", "c"), cmd("Q", "a", vmid, "a", "c"), cmd("Z")]
-    arr = {k: "array(" + ", ".join(v) + ")" for k, v in
-           dict(flat=flat, up=up, down=down, round=rnd).items()}
-    return s.selectExpr(
-        "glyph_id", "font_id", "ord", "ch", "name", "zone", "upm", "advance",
-        f"CASE shape WHEN 'flat' THEN {arr['flat']} WHEN 'up' THEN {arr['up']}"
-        f" WHEN 'down' THEN {arr['down']} ELSE {arr['round']} END AS cmds")
+    up = [cmd("M", "a", "c"), cmd("L", mid, "d"), cmd("L", "b", "c"), cmd("L", "a", "c"), cmd("Z")]
+    down = [cmd("M", "a", "d"), cmd("L", "b", "d"), cmd("L", mid, "c")]
+    arr = ", ".join("array(" + ", ".join(x) + ")" for x in (flat, rnd, up, down))
+    return s.selectExpr("glyph_id", "font_id", "ord", "ch", "name", "kind", "unicode", "2000 AS upm",
+                        "(2 * width + 150) * f AS advance", f"element_at(array({arr}), shape + 1) AS cmds")
 
 
 def hits(spark: SparkSession, sf: str) -> DataFrame:
