@@ -197,23 +197,29 @@ STYLE_COLS = "style, bold, lean, weight_class, fs_selection, italic"
 DERIVED_COLS = "name, ch, src, op, amount, gap, ord"
 
 
+@lru_cache(maxsize=64)
+def _dim(spark: SparkSession, sql: str) -> DataFrame:
+    """A dimension's plan, analysed once per session."""
+    return F.broadcast(spark.sql(sql))
+
+
 def charset(spark: SparkSession) -> DataFrame:
-    return F.broadcast(spark.sql(values_sql(charset_rows(), CHARSET_COLS)))
+    return _dim(spark, values_sql(charset_rows(), CHARSET_COLS))
 
 
 def required(spark: SparkSession) -> DataFrame:
     rows = [r for r in charset_rows() if r[-1] == "required"]
-    return F.broadcast(spark.sql(values_sql(rows, CHARSET_COLS)))
+    return _dim(spark, values_sql(rows, CHARSET_COLS))
 
 
 def sheets(spark: SparkSession, ligatures: bool = True) -> DataFrame:
     rows = [r for r in sheet_rows() if ligatures or r[1] != "ligatures"]
-    return F.broadcast(spark.sql(values_sql(rows, SHEET_COLS)))
+    return _dim(spark, values_sql(rows, SHEET_COLS))
 
 
 def styles(spark: SparkSession) -> DataFrame:
-    return F.broadcast(spark.sql(values_sql(STYLES, STYLE_COLS)))
+    return _dim(spark, values_sql(STYLES, STYLE_COLS))
 
 
 def derived(spark: SparkSession) -> DataFrame:
-    return F.broadcast(spark.sql(values_sql(derived_rows(), DERIVED_COLS)))
+    return _dim(spark, values_sql(derived_rows(), DERIVED_COLS))

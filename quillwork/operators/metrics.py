@@ -10,11 +10,12 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillwork.functions import dims
 from quillwork.functions.num import half_up
-from quillwork.functions.shuffle import spread
+from quillwork.functions.shuffle import held, spread
 
 X = float(dims.TARGET_X)
 X_OVER_ASC = 0.54
@@ -193,33 +194,15 @@ def keep_original_bearings(spaced: DataFrame, original: DataFrame) -> DataFrame:
 def on_grid(profiles: DataFrame, extent: DataFrame) -> DataFrame:
     """M9: the nearest scanline to every grid line, as arrays; null beyond the reach.
 
-    A scanline is handed to the few grid lines within reach, so there is no nearest join. Rows
-    that carry no scanline mark every grid line, which makes the arrays dense.
+    A glyph's scanlines are gathered once (a page's height bounds them) and looked up in place.
     """
-    p = profiles.select("glyph_id", "font_id", "i", "y", "left", "right").join(
+    p = profiles.groupBy("glyph_id", "font_id").agg(F.collect_list(F.struct("y", "i", "left", "right")).alias("s")).join(
         extent.select("font_id", "descender",
-                      F.floor((F.col("ascender") - F.col("descender")) / GRID_STEP).cast("int").alias("top")),
-        "font_id")
-    reach = p.selectExpr(
-        "glyph_id", "font_id", "i", "y", "left", "right", "descender",
-        "explode(sequence("
-        f"greatest(0, cast(ceil((y - {GRID_REACH} - descender) / {GRID_STEP}) AS int)),"
-        f"greatest(least(top, cast(floor((y + {GRID_REACH} - descender) / {GRID_STEP}) AS int)), 0))) AS g")
-    near = reach.selectExpr(
-        "glyph_id", "font_id", "g",
-        f"named_struct('d', abs(y - (descender + g * {GRID_STEP})), 'i', i) AS rank",
-        "left", "right").where(f"rank.d <= {GRID_REACH}")
-    spine = p.where("i = 0").selectExpr(
-        "glyph_id", "font_id", "explode(sequence(0, top)) AS g",
-        "CAST(NULL AS STRUCT<d: DOUBLE, i: INT>) AS rank",
-        "CAST(NULL AS DOUBLE) AS left", "CAST(NULL AS DOUBLE) AS right")
-    cells = near.unionByName(spine).groupBy("glyph_id", "font_id", "g").agg(
-        F.min_by(F.struct("left", "right"), "rank").alias("v"))
-    rows = cells.groupBy("glyph_id", "font_id").agg(
-        F.sort_array(F.collect_list(F.struct("g", "v"))).alias("s"))
-    return rows.select("glyph_id", "font_id",
-                       F.expr("transform(s, e -> e.v.left)").alias("left"),
-                       F.expr("transform(s, e -> e.v.right)").alias("right"))
+                      F.floor((F.col("ascender") - F.col("descender")) / GRID_STEP).cast("int").alias("top")), "font_id")
+    away = f"abs(e.y - (descender + g * {GRID_STEP}))"
+    p = held(p, near=f"transform(sequence(0, top), g -> array_min(transform(filter(s, e -> {away} <= {GRID_REACH}),"
+                     f" e -> struct({away} AS d, e.i AS i, e.left AS left, e.right AS right))))")
+    return p.selectExpr("glyph_id", "font_id", "transform(near, e -> e.left) AS left", "transform(near, e -> e.right) AS right")
 
 
 def pair_gaps(spaced: DataFrame, grid: DataFrame) -> DataFrame:
@@ -233,38 +216,37 @@ def pair_gaps(spaced: DataFrame, grid: DataFrame) -> DataFrame:
     g = spread(first.select("font_id", "ch", "s.*").join(grid, ["glyph_id", "font_id"]), "font_id")
     fonts = g.groupBy("font_id").agg(F.sort_array(F.collect_list(
         F.struct("ord", "ch", "lsb", "advance", "left", "right"))).alias("g"))
-    return fonts.mapInPandas(
+    apart = fonts.selectExpr("font_id", *[f"transform(g, e -> e.{c}) AS {c}" for c in ("ord", "ch", "lsb", "advance", "left", "right")])
+    return apart.mapInPandas(
         _font_gaps, "font_id bigint, left_ch string, right_ch string, left_ord int, right_ord int, gap double")
 
 
 def _font_gaps(batches):
     """Pair gaps of each font at once: at most characters x characters x grid lines numbers."""
     for batch in batches:
-        for font_id, glyphs in zip(batch["font_id"], batch["g"]):
-            left = np.array([g["left"] for g in glyphs], dtype=float)
-            right = np.array([g["right"] for g in glyphs], dtype=float)
-            lsb = np.array([g["lsb"] for g in glyphs])
-            adv = np.array([g["advance"] for g in glyphs])
-            ch = np.array([g["ch"] for g in glyphs], dtype=object)
-            order = np.array([g["ord"] for g in glyphs], dtype=np.int32)
+        for f in batch.itertuples(index=False):
+            left, right = np.array(list(f.left), dtype=float), np.array(list(f.right), dtype=float)
+            lsb, adv = np.asarray(f.lsb), np.asarray(f.advance)
+            ch, order = np.asarray(f.ch, dtype=object), np.asarray(f.ord, dtype=np.int32)
             gap = (adv[:, None, None] + lsb[None, :, None] + left[None, :, :]
                    - lsb[:, None, None] - right[:, None, :])
             shared = ~np.isnan(gap)
             least = np.where(shared, gap, np.inf).min(axis=2)
             a, b = np.nonzero(shared.sum(axis=2) >= 3)
             yield pd.DataFrame({
-                "font_id": font_id, "left_ch": ch[a], "right_ch": ch[b],
+                "font_id": f.font_id, "left_ch": ch[a], "right_ch": ch[b],
                 "left_ord": order[a], "right_ord": order[b], "gap": least[a, b]})
 
 
 def kerning(gaps: DataFrame) -> DataFrame:
     """Bring every pair towards the font's typical gap; small corrections are dropped."""
     low = F.col("left_ch").between("a", "z") & F.col("right_ch").between("a", "z")
-    ref = gaps.groupBy("font_id").agg(
-        F.median(F.when(low, F.col("gap"))).alias("low"), F.count_if(low).alias("n"),
-        F.median("gap").alias("all"))
-    ref = ref.select("font_id", F.when(F.col("n") >= 24, F.col("low")).otherwise(F.col("all")).alias("ref"))
-    k = gaps.join(ref, "font_id").withColumn("adj", (F.col("ref") - F.col("gap")) * KERN_STRENGTH)
+    font = W.partitionBy("font_id")  # at most characters-squared rows
+    k = gaps.select(
+        "*", F.median(F.when(low, F.col("gap"))).over(font).alias("low"), F.count_if(low).over(font).alias("n"),
+        F.median("gap").over(font).alias("all_pairs"))
+    ref = F.when(F.col("n") >= 24, F.col("low")).otherwise(F.col("all_pairs"))
+    k = k.withColumn("adj", (ref - F.col("gap")) * KERN_STRENGTH)
     k = k.where(F.abs("adj") >= KERN_MIN)
     value = half_up(F.greatest(F.lit(-KERN_MAX), F.least(F.lit(KERN_MAX), F.col("adj"))))
     return k.select("font_id", "left_ch", "right_ch", "left_ord", "right_ord",

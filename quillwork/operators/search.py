@@ -15,6 +15,7 @@ BODY_WEIGHT = 1
 FAQ_BONUS = 25
 SNIPPET = 160
 LEAD = 60
+KEY = 4
 KIND_LABELS = {"lesson": "Lesson", "faq": "Question", "install": "Install guide"}
 # ------------------------------------------------------------------------------------------
 SPLIT = r"[^\p{L}\p{N}]+"
@@ -54,16 +55,16 @@ def postings(docs: DataFrame) -> DataFrame:
 def match(queries: DataFrame, docs: DataFrame) -> DataFrame:
     """D3: documents with a word beginning with each term of the query, and in which field.
 
-    Terms meet the vocabulary (distinct words, far fewer than postings) on the first letter, then
-    by prefix; matched words then fetch their postings by equality. No text is scanned per query.
+    A word is handed out under its beginnings of up to four letters and meets the terms that
+    begin alike, so the prefix match is an equality join and the text is read once for all
+    queries.
     """
     q = terms(queries).select("query_id", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
-    p = postings(docs)
-    need = q.select("term").distinct()
-    vocab = p.select("word").distinct()
-    hit = vocab.join(need, F.expr("left(word, 1) = left(term, 1) AND startswith(word, term)")).select("term", "word")
-    found = p.join(hit, "word").groupBy("doc_id", "kind", "term").agg(F.max("in_title").alias("in_title"),
-                                                                     F.max(~F.col("in_title")).alias("in_body"))
+    need = q.select("term").distinct().withColumn("key", F.expr(f"left(term, {KEY})"))
+    p = postings(docs).selectExpr(
+        "*", f"explode(transform(sequence(1, least({KEY}, length(word))), n -> left(word, n))) AS key")
+    found = p.join(need, (p["key"] == need["key"]) & F.expr("startswith(word, term)")).groupBy("doc_id", "kind", "term").agg(
+        F.max("in_title").alias("in_title"), F.max(~F.col("in_title")).alias("in_body"))
     return found.join(q, "term").groupBy("query_id", "doc_id", "kind", "n_terms").agg(
         F.count("*").alias("n"), F.count_if(F.col("in_title")).alias("title_hits"),
         F.count_if(F.col("in_body")).alias("body_hits")).where("n = n_terms").drop("n")

@@ -197,9 +197,9 @@ def defs(spark, sf):
     return Y.glyph_defs(imported(spark, sf))
 
 
-@query("glyph_defs", f"WITH {DEFS} SELECT font_id, name, ch, unicode, kind, variant_of, v, ord, {DEF_NUMS} FROM defs")
+@query("glyph_defs", f"WITH {DEFS} SELECT font_id, name, ch, coalesce(unicode, 0) AS unicode, kind, variant_of, v, ord, {DEF_NUMS} FROM defs")
 def glyph_defs(spark, sf):
-    return _rounded(defs(spark, sf).drop("curves"), "font_id", "name", "ch", "unicode", "kind", "variant_of", "v", "ord")
+    return _rounded(defs(spark, sf).drop("curves").na.fill(0, ["unicode"]), "font_id", "name", "ch", "unicode", "kind", "variant_of", "v", "ord")
 
 
 @query("derived_glyphs", f"""WITH {DEFS},
@@ -235,11 +235,11 @@ idx AS (SELECT d.*, s.style, s.bold, s.lean, row_number() OVER (PARTITION BY fon
 
 
 @query("style_glyphs", f"""WITH {INDEX}
-SELECT font_id, style, name, gid, CASE WHEN bold = 0 AND lean = 0 AND kind IN ('required', 'ligature') THEN greatest(1, floor(advance + 0.5))::INT END AS plain_advance FROM idx""")
+SELECT font_id, style, name, gid, CASE WHEN bold = 0 AND lean = 0 AND kind IN ('required', 'ligature') THEN greatest(1, floor(advance + 0.5))::INT ELSE 0 END AS plain_advance FROM idx""")
 def style_glyphs(spark, sf):
     s = Y.style_glyphs(defs(spark, sf))
     plain = F.expr("style = 'Regular' AND kind IN ('required', 'ligature')")
-    return s.select("font_id", "style", "name", "gid", F.when(plain, F.col("styled_advance")).alias("plain_advance"))
+    return s.select("font_id", "style", "name", "gid", F.when(plain, F.col("styled_advance")).otherwise(0).alias("plain_advance"))
 
 
 @query("style_boxes", f"""WITH {BOLD},
@@ -274,9 +274,10 @@ def style_kerning(spark, sf):
 
 
 @query("kern_classes", f"""WITH {KERN},
-l AS (SELECT font_id, left_ch, row_number() OVER (PARTITION BY font_id ORDER BY min(left_ord)) AS c1 FROM kern GROUP BY ALL),
-r AS (SELECT font_id, right_ch, row_number() OVER (PARTITION BY font_id ORDER BY min(left_ord * 1000 + right_ord)) AS c2 FROM kern GROUP BY ALL),
-nl AS (SELECT font_id, unnest(range(0, max(c1) + 1)) AS c1 FROM l GROUP BY 1), nr AS (SELECT font_id, unnest(range(0, max(c2) + 1)) AS c2 FROM r GROUP BY 1),
+l AS (SELECT font_id, left_ch, row_number() OVER (PARTITION BY font_id ORDER BY o) AS c1 FROM (SELECT font_id, left_ch, min(left_ord) AS o FROM kern GROUP BY ALL)),
+r AS (SELECT font_id, right_ch, row_number() OVER (PARTITION BY font_id ORDER BY o) AS c2 FROM (SELECT font_id, right_ch, min(left_ord * 1000 + right_ord) AS o FROM kern GROUP BY ALL)),
+nl AS (SELECT font_id, unnest(range(0, m + 1)) AS c1 FROM (SELECT font_id, max(c1) AS m FROM l GROUP BY 1)),
+nr AS (SELECT font_id, unnest(range(0, m + 1)) AS c2 FROM (SELECT font_id, max(c2) AS m FROM r GROUP BY 1)),
 v AS (SELECT k.font_id, c1, c2, value FROM kern k JOIN l USING (font_id, left_ch) JOIN r USING (font_id, right_ch))
 SELECT nl.font_id, nl.c1, nr.c2, coalesce(value, 0) AS value FROM nl JOIN nr ON nl.font_id = nr.font_id LEFT JOIN v ON v.font_id = nl.font_id AND v.c1 = nl.c1 AND v.c2 = nr.c2""")
 def kern_classes(spark, sf):
