@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from quillwork.functions import dims
 from quillwork.functions.num import half_up
-from quillwork.functions.shuffle import held, spread
+from quillwork.functions.shuffle import spread
 
 X = float(dims.TARGET_X)
 X_OVER_ASC = 0.54
@@ -196,13 +196,22 @@ def on_grid(profiles: DataFrame, extent: DataFrame) -> DataFrame:
 
     A glyph's scanlines are gathered once (a page's height bounds them) and looked up in place.
     """
-    p = profiles.groupBy("glyph_id", "font_id").agg(F.collect_list(F.struct("y", "i", "left", "right")).alias("s")).join(
-        extent.select("font_id", "descender",
-                      F.floor((F.col("ascender") - F.col("descender")) / GRID_STEP).cast("int").alias("top")), "font_id")
-    away = f"abs(e.y - (descender + g * {GRID_STEP}))"
-    p = held(p, near=f"transform(sequence(0, top), g -> array_min(transform(filter(s, e -> {away} <= {GRID_REACH}),"
-                     f" e -> struct({away} AS d, e.i AS i, e.left AS left, e.right AS right))))")
-    return p.selectExpr("glyph_id", "font_id", "transform(near, e -> e.left) AS left", "transform(near, e -> e.right) AS right")
+    s = profiles.groupBy("glyph_id", "font_id").agg(F.sort_array(F.collect_list(F.struct("i", "y", "left", "right"))).alias("s"))
+    s = s.selectExpr("glyph_id", "font_id", *[f"transform(s, e -> e.{c}) AS {c}" for c in ("y", "left", "right")]).join(
+        extent.select("font_id", "ascender", "descender"), "font_id")
+    return s.mapInPandas(_nearest_lines, "glyph_id bigint, font_id bigint, left array<double>, right array<double>")
+
+
+def _nearest_lines(batches):
+    for b in batches:
+        out = []
+        for f in b.itertuples(index=False):
+            line = f.descender + GRID_STEP * np.arange(int((f.ascender - f.descender) // GRID_STEP) + 1)
+            away = np.abs(np.asarray(f.y)[:, None] - line)
+            near = away.argmin(axis=0)  # the first of equals
+            lost = away[near, np.arange(len(line))] > GRID_REACH
+            out.append((f.glyph_id, f.font_id, *[np.where(lost, np.nan, np.asarray(v)[near]) for v in (f.left, f.right)]))
+        yield pd.DataFrame(out, columns=["glyph_id", "font_id", "left", "right"])
 
 
 def pair_gaps(spaced: DataFrame, grid: DataFrame) -> DataFrame:
