@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from quillwork.functions import dims
 from quillwork.functions.num import half_up
 from quillwork.functions.shuffle import spread
+from quillwork.session import cut_lineage
 
 X = float(dims.TARGET_X)
 X_OVER_ASC = 0.54
@@ -73,7 +74,12 @@ def row_metrics(glyphs: DataFrame) -> DataFrame:
 
 
 def solve_rows(rows: DataFrame) -> DataFrame:
-    """M2: fill what a row could not measure from its sheet, its font or typical proportions."""
+    """M2: fill what a row could not measure from its sheet, its font or typical proportions.
+
+    The row table is read three times here and is far smaller than the glyphs it comes from, so
+    it is written once to the checkpoint folder.
+    """
+    rows = cut_lineage(rows)
     good = F.when(F.col("x_height") > 0, F.col("x_height"))
     by_sheet = rows.groupBy("font_id", "sheet_no").agg(F.median(good).alias("sheet_x"))
     by_font = rows.groupBy("font_id").agg(

@@ -11,6 +11,7 @@ from quillwork.operators import health as H
 from quillwork.plans import ctes as C
 from quillwork.plans.metrics import SOLVED, solved_rows
 from quillwork.plans.registry import query
+from quillwork.session import cut_lineage
 from quillwork.sources import adapters as A
 
 SMALL = ", ".join("'" + c.replace("'", "''") + "'" for c in dims.SMALL_MARKS)
@@ -73,8 +74,9 @@ def areas(spark, sf):
         "font_id", "o", "ch", "w * (y1 - y0) / CASE WHEN o.q = 1 THEN 40D ELSE 1D END AS area")
 
 
-def heights(spark, sf):
-    g = _obs(spark, sf).join(solved_rows(spark, sf).select("font_id", "rw", "baseline", "scale"), ["font_id", "rw"])
+def heights(spark, sf, solved=None):
+    solved = solved_rows(spark, sf) if solved is None else solved
+    g = _obs(spark, sf).join(solved.select("font_id", "rw", "baseline", "scale"), ["font_id", "rw"])
     return g.selectExpr("font_id", "o", "ch", "zone", "(baseline - y0) * scale - (baseline - y1) * scale AS height")
 
 
@@ -228,11 +230,11 @@ sc AS (SELECT ct.font_id, captured, expected, greatest(0, least(100, 100
 
 def all_findings(spark, sf):
     g = _obs(spark, sf)
-    solved = solved_rows(spark, sf)
-    none = look_pairs(spark, sf).where("false")
+    solved = cut_lineage(solved_rows(spark, sf))
+    none = spark.createDataFrame([], "font_id bigint, a string, b string")  # these fonts have no glyph images
     return H.findings(
         H.resolution(solved), H.missing_chars(g, g, spark), H.faint(areas(spark, sf)), none,
-        H.size_outlier(heights(spark, sf)), H.stroke_weight(pen_widths(spark, sf)),
+        H.size_outlier(heights(spark, sf, solved)), H.stroke_weight(pen_widths(spark, sf)),
         solved.where("NOT confident"), font_slant(spark, sf).where(F.abs("slant") > H.LEAN_DEG))
 
 

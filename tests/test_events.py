@@ -99,7 +99,7 @@ def test_linear_progress_is_estimated_right(spark):
 
 
 def test_words(spark):
-    ms = [500, 4000, 33000, 60000, 150000]
+    ms = [500.0, 4000.0, 33000.0, 60000.0, 150000.0]
     got = [r.t for r in spark.createDataFrame([(m,) for m in ms], "ms double").select(E.eta_text(F.col("ms")).alias("t")).collect()]
     assert got == ["almost done", "about 4 seconds left", "about 35 seconds left", "about a minute left", "about 2.5 minutes left"]
 
