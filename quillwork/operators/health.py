@@ -107,7 +107,7 @@ def signature_vectors(sig: DataFrame, n: int = SIG) -> DataFrame:
              acc -> concat(acc, array_repeat(0D, {n * n} - size(acc))))""").alias("sig"))
 
 
-def lookalikes(glyphs: DataFrame, sigs: DataFrame) -> DataFrame:
+def lookalikes(glyphs: DataFrame, sigs: DataFrame, above: float = SIMILAR) -> DataFrame:
     """H2: pairs of letters or digits of a font that nearly coincide.
 
     glyphs(glyph_id, font_id, ord, ch, grp). One glyph per character takes part, so a font yields
@@ -121,7 +121,7 @@ def lookalikes(glyphs: DataFrame, sigs: DataFrame) -> DataFrame:
     p = a.join(b, "font_id").where("a_ord < b_ord AND lower(a) <> lower(b)")
     s = p.withColumn("similarity", F.expr(
         "1 - aggregate(zip_with(a_sig, b_sig, (u, v) -> abs(u - v)), 0D, (s, d) -> s + d) / size(a_sig)"))
-    return s.where(F.col("similarity") > SIMILAR).select("font_id", "a", "b", "a_ord", "b_ord", "similarity")
+    return s.where(F.col("similarity") > above).select("font_id", "a", "b", "a_ord", "b_ord", "similarity")
 
 
 def top_lookalikes(pairs: DataFrame, k: int = 4) -> DataFrame:

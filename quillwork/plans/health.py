@@ -170,8 +170,8 @@ def signature(spark, sf):
     return H.signature(_ink(spark, sf)).select("glyph_id", "cell", r6(F.col("share")).alias("share"))
 
 
-def look_pairs(spark, sf):
-    return H.lookalikes(_letters(spark, sf), H.signature_vectors(H.signature(_coarse_ink(spark, sf))))
+def look_pairs(spark, sf, above=H.SIMILAR):
+    return H.lookalikes(_letters(spark, sf), H.signature_vectors(H.signature(_coarse_ink(spark, sf))), above)
 
 
 @query("lookalikes", f"""WITH {LOOK}
@@ -185,11 +185,7 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY font_id ORDER BY round(similari
 SELECT font_id, k, a, b, round(similarity, 6) AS similarity FROM rk WHERE k <= 4""")
 def closest_pairs(spark, sf):
     """The ranking step of the look-alike check with the threshold lowered to show every font."""
-    kept, H.SIMILAR = H.SIMILAR, -1.0
-    try:
-        pairs = look_pairs(spark, sf)
-    finally:
-        H.SIMILAR = kept
+    pairs = look_pairs(spark, sf, -1.0)
     top = H.top_lookalikes(pairs.withColumn("similarity", F.round("similarity", 9)))
     return top.select("font_id", "k", "a", "b", r6(F.col("similarity")).alias("similarity"))
 

@@ -33,11 +33,13 @@ def local_session(name: str = "quillwork", cores: str = "8", shuffle: str = "8")
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach: the cluster's ``spark.checkpoint.dir``.
 
-    Only when the session names none (tests, local runs) is a temporary folder made.
+    Only a local session that names none (tests) gets a temporary folder.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
     made = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     spark.conf.set("spark.checkpoint.dir", made)
     return made
