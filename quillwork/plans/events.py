@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillwork.functions.num import r6
 from quillwork.plans import ctes as C
 from quillwork.plans.registry import query
 from quillwork.sources import adapters as A

@@ -11,7 +11,7 @@ from quillwork.operators import metrics as M
 from quillwork.operators import outline as T
 from quillwork.plans import ctes as C
 from quillwork.plans.health import SLANT, slants
-from quillwork.plans.metrics import EXTENT, KERN, shape_kerning
+from quillwork.plans.metrics import KERN, shape_kerning
 from quillwork.plans.registry import query
 from quillwork.sources import adapters as A
 
