@@ -261,7 +261,9 @@ def kerning(gaps: DataFrame) -> DataFrame:
         "*", F.median(F.when(low, F.col("gap"))).over(font).alias("low"), F.count_if(low).over(font).alias("n"),
         F.median("gap").over(font).alias("all_pairs"))
     ref = F.when(F.col("n") >= 24, F.col("low")).otherwise(F.col("all_pairs"))
-    k = k.withColumn("adj", (ref - F.col("gap")) * KERN_STRENGTH)
+    # bearings are sums whose order varies from run to run; nine decimals keep a pair that lies
+    # right on the threshold from coming and going
+    k = k.withColumn("adj", F.round((ref - F.col("gap")) * KERN_STRENGTH, 9))
     k = k.where(F.abs("adj") >= KERN_MIN)
     value = half_up(F.greatest(F.lit(-KERN_MAX), F.least(F.lit(KERN_MAX), F.col("adj"))))
     return k.select("font_id", "left_ch", "right_ch", "left_ord", "right_ord",

@@ -67,8 +67,8 @@ kref AS (SELECT font_id, CASE WHEN count(*) FILTER (WHERE lo) >= 24 THEN median(
      ELSE median(gap) END AS ref
    FROM (SELECT *, left_ch BETWEEN 'a' AND 'z' AND right_ch BETWEEN 'a' AND 'z' AS lo FROM gaps) GROUP BY font_id),
 kern AS (SELECT font_id, left_ch, right_ch, left_ord, right_ord,
-     floor(greatest(-220::DOUBLE, least(220::DOUBLE, (ref - gap) * 0.7::DOUBLE)) + 0.5)::INT AS value
-   FROM gaps JOIN kref USING (font_id) WHERE abs((ref - gap) * 0.7::DOUBLE) >= 14)"""
+     floor(greatest(-220::DOUBLE, least(220::DOUBLE, round((ref - gap) * 0.7::DOUBLE, 9))) + 0.5)::INT AS value
+   FROM gaps JOIN kref USING (font_id) WHERE abs(round((ref - gap) * 0.7::DOUBLE, 9)) >= 14)"""
 
 
 @query("row_metrics", f"""WITH {ROWS}
