@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillwork.llm import bpe, langid, packing, sharding, simhash, toxicity
+from quillwork.llm import bpe, chat, embedding, langid, ngram_lm, packing, sharding, simhash, topk, toxicity
 from quillwork.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,3 +79,145 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint and the class of near duplicates it is in."""
     return simhash.grouped(read(spark, sf_dir, "documents"))
+
+
+OP7 = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+), good AS (
+  SELECT vec_id, label, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM v
+  WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(e, lambda x: x <> 0)) > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.98
+), reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), least AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT v.vec_id, (SELECT count(*) FROM links WHERE links.a = v.vec_id) AS n_links, least.component_id, v.vec_id = least.component_id AS kept
+FROM v JOIN least ON v.vec_id = least.vec_id
+"""
+
+
+@query("op7_embedding_dedup", OP7)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links, component and keeper of every vector."""
+    return embedding.grouped(read(spark, sf_dir, "embeddings"))
+
+
+OP8 = """
+WITH docs AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE length(text) > 0),
+chars AS (SELECT doc_id, chr(1) || chr(1) || chr(1) || text AS padded, unnest(range(1, n + 1)) AS i FROM docs),
+grams AS (SELECT doc_id, substr(padded, i, 4) AS g FROM chars),
+c4 AS (SELECT g, count(*) AS n FROM grams GROUP BY g),
+c3 AS (SELECT substr(g, 2, 3) AS g, sum(n) AS n FROM c4 GROUP BY 1),
+c2 AS (SELECT substr(g, 2, 2) AS g, sum(n) AS n FROM c3 GROUP BY 1),
+c1 AS (SELECT substr(g, 2, 1) AS g, sum(n) AS n FROM c2 GROUP BY 1),
+starts AS (SELECT chr(1) AS g, count(*) AS n FROM docs),
+x1 AS (SELECT * FROM c1 UNION ALL SELECT * FROM starts),
+x2 AS (SELECT * FROM c2 UNION ALL SELECT repeat(g, 2), n FROM starts),
+x3 AS (SELECT * FROM c3 UNION ALL SELECT repeat(g, 3), n FROM starts),
+s1 AS (SELECT g, ln(n::DOUBLE / (SELECT sum(n) FROM c1)) AS s FROM c1),
+s2 AS (SELECT c2.g, CASE WHEN c2.n >= 2 THEN ln(c2.n::DOUBLE / x1.n) ELSE ln(0.4) + s1.s END AS s
+       FROM c2 JOIN x1 ON x1.g = substr(c2.g, 1, 1) JOIN s1 ON s1.g = substr(c2.g, 2, 1)),
+s3 AS (SELECT c3.g, CASE WHEN c3.n >= 2 THEN ln(c3.n::DOUBLE / x2.n) ELSE ln(0.4) + s2.s END AS s
+       FROM c3 JOIN x2 ON x2.g = substr(c3.g, 1, 2) JOIN s2 ON s2.g = substr(c3.g, 2, 2)),
+s4 AS (SELECT c4.g, CASE WHEN c4.n >= 2 THEN ln(c4.n::DOUBLE / x3.n) ELSE ln(0.4) + s3.s END AS s
+       FROM c4 JOIN x3 ON x3.g = substr(c4.g, 1, 3) JOIN s3 ON s3.g = substr(c4.g, 2, 3)),
+sums AS (SELECT doc_id, count(*) AS n, sum(s) AS s FROM grams JOIN s4 USING (g) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0) AS n_grams, round(coalesce(s, 0), 3) AS score, round(s / n, 6) AS mean_score
+FROM documents d LEFT JOIN sums USING (doc_id)
+"""
+
+
+@query("op8_ngram_lm", OP8)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's stupid-backoff score under the character model of all documents."""
+    told = ngram_lm.score(read(spark, sf_dir, "documents"))
+    return told.select("doc_id", "n_grams", F.round("score", 3).alias("score"), F.round("mean_score", 6).alias("mean_score"))
+
+
+OP9 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 20 = 0
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+
+@query("op9_topk", OP9)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best other vectors of every twentieth one."""
+    rows = read(spark, sf_dir, "embeddings").where(
+        F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
+    whole = rows.select("vec_id", F.transform("embedding", lambda x: F.floor(64 * x.cast("double"))).alias("v"))
+    return topk.search(whole, F.col("vec_id") % 20 == 0)
+
+
+#: The tool of each kind of message that asks for something.
+SCHEMAS = {
+    f"chat.{role}": {"type": "object", "required": ["text", "turn"], "additionalProperties": False,
+                     "properties": {"text": {"type": "string", "minLength": 1}, "turn": {"type": "integer", "minimum": 0}}}
+    for role in ("system", "user")
+}
+
+
+def messages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """``conversations`` as calls and results: whatever is not said by the assistant calls for an answer, and an assistant's turn
+    answers the turn before it. A call uses the answer two turns before it, or the call right before it."""
+    said = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    name = lambda back: F.concat(F.lit("call_"), F.col("conv_id").cast("string"), F.lit("_"), (F.col("turn") - back).cast("string"))
+    asks = F.coalesce(F.col("role") != "assistant", F.lit(True))
+    before = said.select(F.col("conv_id").alias("c"), (F.col("turn") + 1).alias("t"), F.col("role").alias("r")).groupBy("c", "t").agg(F.min("r").alias("r"))
+    calls = said.where(asks).join(before, (F.col("conv_id") == F.col("c")) & (F.col("turn") == F.col("t")), "left").select(
+        F.col("conv_id").alias("conv"), "turn", name(0).alias("call_id"), F.concat(F.lit("chat."), "role").alias("name"),
+        F.to_json(F.struct("turn", "text")).alias("arguments"),
+        F.when(F.col("t").isNull(), None).when(F.col("r") == "assistant", name(2)).otherwise(name(1)).alias("after"))
+    results = said.where(~asks).select(F.col("conv_id").alias("conv"), "turn", name(1).alias("call_id"), F.col("text").alias("content"))
+    return calls, results
+
+
+OP10 = """
+WITH RECURSIVE said AS (SELECT conv_id, turn, role, text FROM conversations),
+calls AS (
+  SELECT s.conv_id, s.turn, 'call_' || s.conv_id || '_' || s.turn AS call_id, 'chat.' || s.role AS name, s.text,
+    CASE WHEN p.turn IS NULL THEN NULL WHEN p.role = 'assistant' THEN 'call_' || s.conv_id || '_' || (s.turn - 2)
+      ELSE 'call_' || s.conv_id || '_' || (s.turn - 1) END AS after
+  FROM said s LEFT JOIN said p ON p.conv_id = s.conv_id AND p.turn = s.turn - 1 WHERE s.role <> 'assistant'
+), results AS (
+  SELECT conv_id, turn, 'call_' || conv_id || '_' || (turn - 1) AS call_id, text FROM said WHERE role = 'assistant'
+), levels AS (
+  SELECT c.conv_id, c.call_id, 0 AS level FROM calls c
+  WHERE NOT EXISTS (SELECT 1 FROM calls p WHERE p.conv_id = c.conv_id AND p.call_id = c.after)
+  UNION ALL
+  SELECT c.conv_id, c.call_id, l.level + 1 FROM levels l JOIN calls c ON c.conv_id = l.conv_id AND c.after = l.call_id
+), told AS (
+  SELECT c.conv_id AS conv, c.turn, c.call_id, 'call' AS kind,
+    CASE WHEN r.turn IS NULL THEN 'unanswered'
+      WHEN c.after IS NOT NULL AND NOT EXISTS (SELECT 1 FROM calls p WHERE p.conv_id = c.conv_id AND p.call_id = c.after) THEN 'unknown_after'
+      ELSE 'linked' END AS status,
+    CASE WHEN c.name NOT IN ('chat.system', 'chat.user') THEN 'unknown_tool' WHEN c.text IS NULL THEN '$.text:required'
+      WHEN c.text = '' THEN '$.text:minLength' END AS errors, l.level,
+    '{"after":' || coalesce(to_json(c.after)::VARCHAR, 'null') || ',"function":{"arguments":{'
+      || coalesce('"text":' || to_json(c.text)::VARCHAR || ',', '') || '"turn":' || c.turn || '},"name":' || to_json(c.name)::VARCHAR || '},"id":'
+      || to_json(c.call_id)::VARCHAR || ',"result":' || CASE WHEN r.turn IS NULL THEN 'null' ELSE '{"content":'
+      || coalesce(to_json(r.text)::VARCHAR, 'null') || ',"turn":' || r.turn || '}' END || '}' AS message
+  FROM calls c JOIN levels l USING (conv_id, call_id) LEFT JOIN results r USING (conv_id, call_id)
+  UNION ALL
+  SELECT r.conv_id, r.turn, r.call_id, 'result', 'orphan', NULL, NULL,
+    '{"id":' || to_json(r.call_id)::VARCHAR || ',"result":{"content":' || coalesce(to_json(r.text)::VARCHAR, 'null') || ',"turn":' || r.turn || '}}'
+  FROM results r WHERE NOT EXISTS (SELECT 1 FROM calls c WHERE c.conv_id = r.conv_id AND c.call_id = r.call_id)
+)
+SELECT conv, turn, call_id, kind, status, errors, level,
+  row_number() OVER (PARTITION BY conv ORDER BY level NULLS LAST, turn, kind, call_id, message) - 1 AS position, message FROM told
+"""
+
+
+@query("op10_chat", OP10)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message that calls for an answer with the answer, in topological order and as canonical JSON."""
+    return chat.link(*messages(spark, sf_dir), SCHEMAS)
