@@ -43,8 +43,8 @@ def shard(sized: DataFrame, shards: int, order: list[str], size: str = "size") -
         "row", "all_bytes",
         (2 * (F.col("byte_start") + F.sum("bytes").over(inside)) - F.col("bytes")).alias("twice_middle"),
         (F.col("row_start") + F.row_number().over(inside) - 1).alias("place"))
-    target = F.expr(f"least((twice_middle * {shards}L) div nullif(2L * all_bytes, 0L), {shards - 1}L)")
-    dealt = known.select("row", "place", F.coalesce(target, F.lit(0)).cast("int").alias("shard"))
+    target = F.expr(f"if(all_bytes > 0, least((twice_middle * {shards}L) div nullif(2L * all_bytes, 0L), {shards - 1}L), 0L)")
+    dealt = known.select("row", "place", target.cast("int").alias("shard"))
     dealt = stage.put(dealt)
     first = dealt.groupBy("shard").agg(F.min("place").alias("first"))  # at most one row per shard
     return dealt.join(F.broadcast(first), "shard").select("row.*", "shard", (F.col("place") - F.col("first")).alias("slot"))
