@@ -15,7 +15,7 @@ from quillwork.llm import langid, packing, simhash, toxicity
 from quillwork.llm.common import Stage, read
 from quillwork.llm.queries import WORDS
 
-LEAST_COSINE = 0.05  # a text this far from every language is in none of them
+LEAST_COSINE = 0.02  # a text this far from every language is in none of them
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

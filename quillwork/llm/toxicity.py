@@ -27,8 +27,8 @@ from pyspark.sql.types import ArrayType, DoubleType, StructField
 from quillwork.llm.common import Stage, append_columns, texts
 
 SAMPLE = 6000  # labelled rows of each class at most that the model is fitted on
-TERMS = 4000  # learned words and beginnings at most, the strongest first
-SEEN, LIFT = 5, 2.5  # a learned term stands in so many toxic texts at least, and its log odds are so high at least
+TERMS = 20_000  # learned words and beginnings at most, the strongest first
+SEEN, LIFT, DOUBT = 5, 2.0, 1.5  # a learned term: in so many toxic texts at least, with log odds so high when so many standard errors less
 BEGIN = 5  # letters of a word's beginning
 NEAR = 5  # words between an insult and a "you"
 TREES, DEPTH, CALIBRATE = 20, 3, 10  # one training row in CALIBRATE / 3 is kept for the calibration
@@ -41,7 +41,7 @@ YOU = set("you your yours yourself u ur du dich dir dein deine ihr euch sie tu t
 EDGE = ".,;:!?\"'()[]{}<>«»“”„…-–—*_|/\\¡¿"
 LEET = str.maketrans("013457@$!|", "oieastasil")
 MIXED = re.compile(r"[^\W\d_]+[\d@$!|*#_.-]+[^\W\d_]|[\d@$!|*]+[^\W\d_]{2,}")
-NAMES = ["words", "seed", "learned", "hits", "strongest", "near_you", "you", "capitals", "shouted", "exclaimed", "marks", "mixed",
+NAMES = ["seed", "learned", "hits", "strongest", "near_you", "you", "capitals", "shouted", "exclaimed", "marks", "mixed",
          "unmasked", "begun"]
 
 
@@ -56,20 +56,32 @@ def terms(text: str) -> set[str]:
     return {w for w in words if w} | {f"{w[:BEGIN]}*" for w in words if len(w) >= BEGIN}
 
 
+def neighbours(text: str, wanted: dict) -> Iterator[tuple[str, str]]:
+    """Each wanted term of a text with the words around its first place."""
+    words = ["", *(w for w in (w.strip(EDGE) for w in text.lower().split()) if w), ""]
+    met: set[str] = set()
+    for before, word, after in zip(words, words[1:], words[2:], strict=False):
+        for term in (word, f"{word[:BEGIN]}*"):
+            if term in wanted and term not in met:
+                met.add(term)
+                yield term, f"{before} {after}"
+
+
 class Lexicon:
-    """Counts of terms in toxic and other texts, and the log odds they give."""
+    """Counts of terms in toxic and other texts, and the log odds they give, less what chance may have added."""
 
     def __init__(self, counts: dict[str, tuple[int, int]], toxic: int, other: int):
         self.counts, self.toxic, self.other = counts, toxic, other
         self.weight = {t: w for t in counts if (w := self.odds(t, 0, 0)) >= LIFT}
 
     def odds(self, term: str, own_toxic: int, own_other: int) -> float:
-        """Log odds without a text of one's own; 0 if the term is then too rare."""
+        """Cautious log odds without a text of one's own; 0 if the term is then too rare."""
         toxic, other = self.counts[term]
         toxic, other = toxic - own_toxic, other - own_other
         if toxic < SEEN:
             return 0.0
-        return float(np.log((toxic + 0.5) / (self.toxic + 1)) - np.log((other + 0.5) / (self.other + 1)))
+        lift = np.log((toxic + 0.5) / (self.toxic + 1)) - np.log((other + 0.5) / (self.other + 1))
+        return float(lift - DOUBT * np.sqrt(1 / (toxic + 0.5) + 1 / (other + 0.5)))
 
     def seen_without(self, label: int | None):
         """The weight of a term, for a new text or for one of the training texts with ``label``."""
@@ -115,7 +127,7 @@ def features(text: str, weight) -> list[float]:
     plain = [re.sub(r"[^\w]|_", "", w.translate(LEET)) for w in odd]
     unmasked = sum(distinct[o] for o, p in zip(odd, plain, strict=True) if p in SEED or weight(p))
     letters = max(1, sum(map(str.isalpha, text)))
-    return [float(np.log1p(n)), sum(distinct[w] for w in distinct if w in SEED) / n_words,
+    return [sum(distinct[w] for w in distinct if w in SEED) / n_words,
             sum(w * distinct[t] for t, w in bad.items()) / n_words, float(np.log1p(hits)), max(bad.values(), default=0.0),
             near / n_words, len(you) / n_words, sum(map(str.isupper, text)) / letters,
             sum(len(w) > 2 and w.isupper() for w in raw) / n, (text.count("!") + text.count("?")) / n,
@@ -192,16 +204,28 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc: str = "do
     both = (rows.mapInArrow(split, "term string, label int, n long").groupBy("term")
             .agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("toxic"),
                  F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("other")))
-    odds = F.log((F.col("toxic") + 0.5) / (sizes[1] + 1)) - F.log((F.col("other") + 0.5) / (sizes[0] + 1))
+    odds = (F.log((F.col("toxic") + 0.5) / (sizes[1] + 1)) - F.log((F.col("other") + 0.5) / (sizes[0] + 1))
+            - DOUBT * F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("other") + 0.5)))
     best = both.where((F.col("toxic") >= SEEN) & (odds >= LIFT)).orderBy(odds.desc(), "term").limit(TERMS)
-    lexicon = Lexicon({r["term"]: (r["toxic"], r["other"]) for r in best.collect()}, sizes[1], sizes[0])
+    counted = {r["term"]: (r["toxic"], r["other"]) for r in best.collect()}
+
+    def stand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = {(t, near) for text in texts(b) for t, near in neighbours(text, counted)}
+            yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in found], pa.string()), pa.array([n for _, n in found], pa.string())],
+                                             names=["term", "near"])
+
+    # copies of a text repeat its words in their places; a word of its own stands among others each time
+    places = (rows.where("label = 1").mapInArrow(stand, "term string, near string").distinct().groupBy("term").count()).collect() if counted else []
+    seen = {r["term"]: r["count"] for r in places}
+    lexicon = Lexicon({t: (min(toxic, seen.get(t, 0)), other) for t, (toxic, other) in counted.items()}, sizes[1], sizes[0])
 
     told = stage.put(described(rows, lexicon, label="label").select("id", "label", "features"))
     told = told.withColumn("features", array_to_vector("features")).withColumn("kept", F.pmod(F.xxhash64("id"), F.lit(CALIBRATE)) < 3)
     train = told.where("not kept").withColumn("label", F.col("label").cast("double"))
     if train.select("label").distinct().count() < 2:
         train = told.withColumn("label", F.col("label").cast("double"))
-    trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.2, seed=5, maxBins=64).fit(train.coalesce(4))
+    trees = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, stepSize=0.2, seed=5, maxBins=64, minInstancesPerNode=5).fit(train.coalesce(4))
     after = (trees.transform(told.where("kept").coalesce(4)).withColumn("raised", vector_to_array("probability")[1])
              .select(F.col("label").cast("double").alias("label"), "raised"))
     calibration = None
