@@ -197,9 +197,8 @@ STYLE_COLS = "style, bold, lean, weight_class, fs_selection, italic"
 DERIVED_COLS = "name, ch, src, op, amount, gap, ord"
 
 
-@lru_cache(maxsize=64)
 def _dim(spark: SparkSession, sql: str) -> DataFrame:
-    """A dimension's plan, analysed once per session."""
+    """A dimension: a literal table of some hundred rows at most."""
     return F.broadcast(spark.sql(sql))
 
 

@@ -47,8 +47,8 @@ def text_width(texts: DataFrame, advances: DataFrame, kerns: DataFrame) -> DataF
                     (F.try_divide(F.col("kern").cast("double"), F.col("plain")) * 100).alias("shift_pct"))
 
 
-def digraph_frequency(texts: DataFrame, spark, k: int = 50) -> DataFrame:
-    """The k most frequent letter pairs, and whether a joined form of them is collected."""
+def digraph_frequency(texts: DataFrame, k: int) -> DataFrame:
+    """The ``k`` most frequent letter pairs, and whether a joined form of them is collected."""
     low = texts.select(F.lower("text").alias("text"))
     n = bigrams(low).where(F.col("ch").between("a", "z") & F.col("nx").between("a", "z")) \
         .where(F.length("ch") == 1).groupBy(F.concat("ch", "nx").alias("pair")).agg(F.count("*").alias("n"))

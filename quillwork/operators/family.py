@@ -235,9 +235,9 @@ def alternate_map(index: DataFrame) -> DataFrame:
         "font_id", "style", "gid", "alt1", F.coalesce("alt2", "alt1").alias("alt2"))
 
 
-def slug(c: str) -> str:
-    """SQL: a name made safe for a file; runs of other characters become one dash."""
-    return f"coalesce(nullif(regexp_replace(regexp_replace({c}, '[^A-Za-z0-9]+', '-'), '^-|-$', ''), ''), 'Handwriting')"
+def slug(c: str, unnamed: str = "family") -> str:
+    """SQL: a name made safe for a file; runs of other characters become one dash, and ``unnamed`` stands for nothing left."""
+    return f"coalesce(nullif(regexp_replace(regexp_replace({c}, '[^A-Za-z0-9]+', '-'), '^-|-$', ''), ''), '{unnamed}')"
 
 
 def style_manifest(index: DataFrame, kerns: DataFrame, families: DataFrame) -> DataFrame:
@@ -263,8 +263,9 @@ def snapshot(glyphs: DataFrame) -> DataFrame:
 
 
 def save_snapshot(glyphs: DataFrame, path: str) -> None:
-    """Compressed JSON lines, one folder per version."""
-    snapshot(glyphs).write.mode("overwrite").option("compression", "gzip").partitionBy("version").json(path)
+    """Compressed JSON lines, one folder per version; other versions' folders stay."""
+    snapshot(glyphs).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "gzip").partitionBy(
+        "version").json(path)
 
 
 def load_snapshot(spark, path: str, schema) -> DataFrame:
@@ -273,6 +274,6 @@ def load_snapshot(spark, path: str, schema) -> DataFrame:
 
 
 def weigh(glyphs: DataFrame, raster: str) -> DataFrame:
-    """Size of each font's snapshot: the text of its glyphs and the bytes of their rasters."""
-    body = F.length(F.to_json(F.struct(*[c for c in glyphs.columns if c != raster])))
+    """Size of each font's snapshot in bytes: its glyphs' JSON before compression, in UTF-8, and their rasters."""
+    body = F.octet_length(F.to_json(F.struct(*[c for c in glyphs.columns if c != raster])))
     return glyphs.groupBy("font_id").agg(F.sum(body).alias("body"), F.sum(F.length(raster)).alias("rasters"))

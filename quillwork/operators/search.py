@@ -55,31 +55,33 @@ def postings(docs: DataFrame) -> DataFrame:
 def match(queries: DataFrame, docs: DataFrame) -> DataFrame:
     """D3: documents with a word beginning with each term of the query, and in which field.
 
-    A word is handed out under its beginnings of up to four letters and meets the terms that
-    begin alike, so the prefix match is an equality join and the text is read once for all
-    queries.
+    The prefix match is made on the vocabulary: its words (distinct before their shuffle) are handed out under
+    their beginnings of up to four letters and meet the terms that begin alike. The words so hit then
+    pick their postings by equality, so a document's other words meet nothing.
     """
     q = terms(queries).select("query_id", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
     need = q.select("term").distinct().withColumn("key", F.expr(f"left(term, {KEY})"))
-    p = postings(docs).selectExpr(
+    p = postings(docs)
+    v = p.select("word").distinct().selectExpr(
         "*", f"explode(transform(sequence(1, least({KEY}, length(word))), n -> left(word, n))) AS key")
-    found = p.join(need, (p["key"] == need["key"]) & F.expr("startswith(word, term)")).groupBy("doc_id", "kind", "term").agg(
+    hit = v.join(need, (v["key"] == need["key"]) & F.expr("startswith(word, term)")).select("word", "term")
+    found = p.join(hit, "word").groupBy("doc_id", "kind", "term").agg(
         F.max("in_title").alias("in_title"), F.max(~F.col("in_title")).alias("in_body"))
     return found.join(q, "term").groupBy("query_id", "doc_id", "kind", "n_terms").agg(
         F.count("*").alias("n"), F.count_if(F.col("in_title")).alias("title_hits"),
         F.count_if(F.col("in_body")).alias("body_hits")).where("n = n_terms").drop("n")
 
 
-def rank(matches: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """Best documents of each query; a question leans towards answers."""
+def rank(matches: DataFrame, queries: DataFrame, k: int | None = None) -> DataFrame:
+    """Documents of each query, best first; a question leans towards answers. ``k`` keeps the first so many only."""
     ask = ", ".join(f"'{w}'" for w in QUESTION_WORDS)
     q = queries.selectExpr("query_id", f"query LIKE '%?' OR lower(split(trim(query), ' ')[0]) IN ({ask}) AS asks")
     m = matches.join(q, "query_id").withColumn(
         "score", F.col("title_hits") * TITLE_WEIGHT + F.col("body_hits") * BODY_WEIGHT
         + F.when(F.col("asks") & (F.col("kind") == "faq"), FAQ_BONUS).otherwise(0))
     w = W.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return m.withColumn("k", F.row_number().over(w)).where(F.col("k") <= k).select(
-        "query_id", "k", "doc_id", "kind", "score")
+    ranked = m.withColumn("k", F.row_number().over(w)).select("query_id", "k", "doc_id", "kind", "score")
+    return ranked if k is None else ranked.where(F.col("k") <= k)
 
 
 def snippets(ranked: DataFrame, queries: DataFrame, docs: DataFrame) -> DataFrame:

@@ -74,7 +74,7 @@ b AS (SELECT c[i] || c[i + 1] AS pair FROM (SELECT *, unnest(range(1, len(c))) A
 n AS (SELECT pair, count(*) AS n FROM b WHERE regexp_full_match(pair, '[a-z][a-z]') GROUP BY pair)
 SELECT pair, n, pair IN ({", ".join(f"'{s}'" for s in dims.LIGATURES)}) AS covered FROM n ORDER BY n DESC, pair LIMIT 50""")
 def digraph_frequency(spark, sf):
-    return X.digraph_frequency(A.table(spark, sf, "documents").select("text"), spark)
+    return X.digraph_frequency(A.table(spark, sf, "documents").select("text"), 50)
 
 
 LINKS = """hrefs AS (SELECT page_id, url AS base, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages
@@ -156,8 +156,7 @@ def jpeg_carve(spark, sf):
 
 
 # --- search -----------------------------------------------------------------------------
-QUERIES = """qs AS (SELECT item_id AS query_id, string_split(text, ' ')[1] || ' ' || "left"(string_split(text, ' ')[2], 3)
-    || CASE WHEN item_id % 3 = 0 THEN '?' ELSE '' END AS query FROM benchmark)"""
+QUERIES = "qs AS (SELECT item_id AS query_id, text || CASE WHEN item_id % 3 = 0 THEN '?' ELSE '' END AS query FROM benchmark)"
 RX = r"[^\p{L}\p{N}]+"
 
 
@@ -186,10 +185,8 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, d
 
 
 def search_queries(spark, sf):
-    """What people look for: a first word and the beginning of a second."""
-    return A.table(spark, sf, "benchmark").selectExpr(
-        "item_id AS query_id", "concat(split(text, ' ')[0], ' ', left(split(text, ' ')[1], 3),"
-                               " IF(item_id % 3 = 0, '?', '')) AS query")
+    """What people look for: whole passages, every third as a question."""
+    return A.table(spark, sf, "benchmark").selectExpr("item_id AS query_id", "concat(text, IF(item_id % 3 = 0, '?', '')) AS query")
 
 
 @query("search_index", f"""WITH {C.DOCS}
@@ -211,7 +208,7 @@ def search_match(spark, sf):
         "query_id", "doc_id", "title_hits", "body_hits")
 
 
-@query("search_rank", f"WITH {RANK} SELECT query_id, k, doc_id, kind, score FROM rk WHERE k <= 10")
+@query("search_rank", f"WITH {RANK} SELECT query_id, k, doc_id, kind, score FROM rk")
 def search_rank(spark, sf):
     q = search_queries(spark, sf)
     return D.rank(D.match(q, A.search_docs(spark, sf)), q)
@@ -219,7 +216,7 @@ def search_rank(spark, sf):
 
 @query("search_snippet", f"""WITH {RANK},
 b AS (SELECT rk.query_id, k, rk.doc_id, body, terms, ' ' || regexp_replace(lower(body), '[^\\p{{L}}\\p{{N}}]', ' ', 'g') AS plain
-  FROM rk JOIN tm USING (query_id) JOIN docs USING (doc_id) WHERE k <= 10),
+  FROM rk JOIN tm USING (query_id) JOIN docs USING (doc_id)),
 p AS (SELECT *, greatest(1, coalesce(list_min(list_filter(list_transform(terms, lambda t: strpos(plain, ' ' || t)), lambda p: p > 0)), 1) - 60) AS s FROM b)
 SELECT query_id, k, doc_id, CASE WHEN s > 1 THEN '…' ELSE '' END || substring(body, s, 160) || CASE WHEN s + 160 <= length(body) THEN '…' ELSE '' END AS snippet FROM p""")
 def search_snippet(spark, sf):

@@ -65,10 +65,10 @@ profiles AS (SELECT glyph_id, font_id, ord, ch, name, zone, width, y0, y1, i, y,
    FROM prof1)"""
 HITS = """hits AS (SELECT user_id AS key, epoch_us(ts) // 1000 AS ts_ms, event_id AS hit_id FROM events)"""
 DOCS = """docs AS (
-  SELECT 'd' || doc_id AS doc_id, 'lesson' AS kind, "left"(text, 60) AS title, text AS body FROM documents
+  SELECT 'd' || doc_id AS doc_id, 'lesson' AS kind, string_split(text, chr(10))[1] AS title, text AS body FROM documents
   UNION ALL SELECT 'c' || conv_id || '-' || turn, 'faq', role, text FROM conversations
-  UNION ALL SELECT 'p' || page_id, 'install', regexp_extract(html, '<title>([^<]*)</title>', 1), html
-    FROM pages)"""
+  UNION ALL SELECT 'p' || page_id, 'install', regexp_extract(html, '<title>([^<]*)</title>', 1),
+    regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->|<[^>]*>', ' ', 'g') FROM pages)"""
 PATHS = CHARSET + """,
 pth AS (SELECT *, 60 * f AS a, (60 + 2 * width) * f AS b, 2 * f * y0 AS c, 2 * f * y1 AS d, (2 * width + 150) * f AS adv FROM (
   SELECT p_partkey AS glyph_id, p_partkey // 260 AS font_id, c.ord, c.ch, c.name, c.kind, c.unicode, CAST(200 + p_size * 8 AS DOUBLE) AS width,

@@ -13,6 +13,8 @@ from quillwork.functions import dims
 from quillwork.sources.tables import table
 
 GLYPHS_PER_FONT = 112
+# what of a page is not its text
+MARKUP = r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->|<[^>]*>"
 
 
 def scan_arrays(spark: SparkSession, sf: str) -> DataFrame:
@@ -206,12 +208,12 @@ def hits(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def search_docs(spark: SparkSession, sf: str) -> DataFrame:
-    """docs(doc_id string, kind, title, body): guides, questions and pages."""
+    """docs(doc_id string, kind, title, body): guides by their first line, questions, and pages without markup."""
     d = table(spark, sf, "documents").selectExpr(
-        "concat('d', doc_id) AS doc_id", "'lesson' AS kind", "left(text, 60) AS title", "text AS body")
+        "concat('d', doc_id) AS doc_id", "'lesson' AS kind", "split(text, '\n')[0] AS title", "text AS body")
     c = table(spark, sf, "conversations").selectExpr(
         "concat('c', conv_id, '-', turn) AS doc_id", "'faq' AS kind", "role AS title", "text AS body")
     p = table(spark, sf, "pages").selectExpr(
         "concat('p', page_id) AS doc_id", "'install' AS kind",
-        "regexp_extract(html, '<title>([^<]*)</title>', 1) AS title", "html AS body")
+        "regexp_extract(html, '<title>([^<]*)</title>', 1) AS title", f"regexp_replace(html, r'{MARKUP}', ' ') AS body")
     return d.unionByName(c).unionByName(p)

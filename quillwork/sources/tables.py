@@ -2,23 +2,9 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import DataFrame, SparkSession
 
 
-@lru_cache(maxsize=64)
-def _scan(spark: SparkSession, path: str) -> DataFrame:
-    """One table; its files are listed once per session.
-
-    A file of a single row group is a single task, and text or raster work on it would keep one
-    core busy. Only when a table has fewer splits than there are cores is it dealt out anew; a
-    table of cluster size is read as it lies.
-    """
-    df = spark.read.parquet(path)
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return _scan(spark, f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """One table as it lies; splits are the session's business (``spark.sql.files.maxPartitionBytes``)."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -30,86 +33,122 @@ READING = T.StructType([
     T.StructField("elapsed_ms", T.LongType()),
     T.StructField("confident", T.BooleanType()),
 ])
+#: What a run carries from one stretch of readings to the next.
+CARRIED = {"start": None, "mark_t": None, "mark_p": None, "rate": None, "shown": None, "shown_t": None, "known": False}
 STATE = T.StructType([
-    T.StructField("start", T.LongType()), T.StructField("last_t", T.LongType()),
-    T.StructField("last_p", T.DoubleType()), T.StructField("rate", T.DoubleType()),
-    T.StructField("shown", T.DoubleType()), T.StructField("shown_at", T.LongType()),
-    T.StructField("announced", T.BooleanType())])
-FRESH = (None, None, 0.0, None, None, None, False)
-
-
-def step(state: tuple, t: int, p: float) -> tuple[tuple, tuple]:
-    """One reading: the new state and (remaining_ms, elapsed_ms, confident).
-
-    The rate is an exponential average over forward motion only. The shown time falls freely but
-    takes up only a part of any rise over what the last shown time has aged to.
+    T.StructField("start", T.LongType()), T.StructField("mark_t", T.LongType()), T.StructField("mark_p", T.DoubleType()),
+    T.StructField("rate", T.DoubleType()), T.StructField("shown", T.DoubleType()), T.StructField("shown_t", T.LongType()),
+    T.StructField("known", T.BooleanType())])
+IDLE_MS = 24 * 3600 * 1000  # a stream forgets a run this long after its last reading
+
+
+def advances(ts: np.ndarray, ps: np.ndarray, mark: tuple) -> np.ndarray:
+    """Places of the readings that are later and further than the one before them that was; ``mark`` is the last so far."""
+    found, (t, p) = [], mark
+    # nothing at or below the top of what was there can advance, so only new tops are looked at, and readings after a tie
+    tops = np.maximum.accumulate(np.concatenate([[p], ps[:-1]]))
+    tied = np.concatenate([[ts[0] == t], ts[1:] == ts[:-1]]).any()
+    for i in range(len(ts)) if tied else np.flatnonzero(ps > tops):
+        if ts[i] > t and ps[i] > p:
+            t, p = ts[i], ps[i]
+            found.append(i)
+    return np.array(found, dtype=np.int64)
+
+
+def stretch(ts: np.ndarray, ps: np.ndarray, carried: dict) -> tuple[pd.DataFrame, dict]:
+    """Estimates for readings of one run in order, and what to carry on.
+
+    Three passes: the readings that move on; the rate, a linear recurrence over their speeds, spread to all readings; and the
+    shown time, a fold over the readings at which an estimate is due. It falls freely and takes up a part of any rise
+    over what the last shown time has aged to.
     """
-    start, last_t, last_p, rate, shown, shown_at, announced = state
-    p = min(max(p, 0.0), 1.0)
-    if start is None:
-        return (t, t, p, rate, shown, shown_at, announced), (None, 0, False)
-    if t > last_t and p > last_p:
-        seen = (p - last_p) / (t - last_t)
-        rate = seen if rate is None else rate + SMOOTHING * (seen - rate)
-        last_t, last_p = t, p
-    elapsed = t - start
-    if rate is None or p < MIN_PROGRESS or elapsed < MIN_ELAPSED_MS or p >= 1:
-        return (start, last_t, last_p, rate, shown, shown_at, announced), (None, elapsed, False)
-    raw = (1 - p) / rate
-    if shown is not None:
-        aged = max(0.0, shown - (t - shown_at))
-        raw = raw if raw < aged else aged + (raw - aged) * RISE
-    shown = max(0.0, raw)
-    announced = announced or shown >= MIN_SHOWN_MS
-    return (start, last_t, last_p, rate, shown, t, announced), (shown, elapsed, announced)
+    ps = np.clip(ps.astype(float), 0.0, 1.0)
+    got = dict(carried)
+    skip = 0
+    if got["start"] is None:
+        got |= {"start": int(ts[0]), "mark_t": int(ts[0]), "mark_p": float(ps[0])}
+        skip = 1
+    n = len(ts)
+    rates = np.full(n, np.nan if got["rate"] is None else got["rate"])
+    at = advances(ts[skip:], ps[skip:], (got["mark_t"], got["mark_p"])) + skip if n > skip else np.zeros(0, np.int64)
+    if len(at):
+        t, p = np.concatenate([[got["mark_t"]], ts[at]]), np.concatenate([[got["mark_p"]], ps[at]])
+        speeds = (np.diff(p) / np.diff(t)).tolist()
+        before = speeds if got["rate"] is None else [got["rate"], *speeds]
+        smooth = list(accumulate(before, lambda r, s: r + SMOOTHING * (s - r)))[-len(at):]
+        for i, r in zip(at, smooth):
+            rates[i:] = r
+        got |= {"mark_t": int(t[-1]), "mark_p": float(p[-1]), "rate": smooth[-1]}
+    elapsed = ts - got["start"]
+    due = ~np.isnan(rates) & (ps >= MIN_PROGRESS) & (elapsed >= MIN_ELAPSED_MS) & (ps < 1)
+    due[:skip] = False
+    places = np.flatnonzero(due)
+
+    def show(last: tuple, i: int) -> tuple:
+        left = (1 - ps[i]) / rates[i]
+        if last[0] is not None:
+            aged = max(0.0, last[0] - (ts[i] - last[1]))
+            left = min(left, aged + RISE * max(0.0, left - aged))
+        return max(0.0, left), int(ts[i])
+
+    shown = list(accumulate(places, show, initial=(got["shown"], got["shown_t"])))[1:]
+    remaining, sure = np.full(n, np.nan), np.zeros(n, bool)
+    if shown:
+        values = np.array([v for v, _ in shown])
+        remaining[places] = values
+        sure[places] = got["known"] | np.logical_or.accumulate(values >= MIN_SHOWN_MS)
+        got |= {"shown": float(values[-1]), "shown_t": shown[-1][1], "known": bool(sure[places[-1]])}
+    return pd.DataFrame({"remaining_ms": remaining, "elapsed_ms": elapsed, "confident": sure}), got
 
 
 def progress_eta(progress: DataFrame) -> DataFrame:
-    """E4 over stored readings (run_id, seq, ts_ms, p): rows stream in order, one state per run."""
+    """E4 over stored readings (run_id, seq, ts_ms, p): rows stream in order, and a task holds one batch of them."""
     ordered = progress.select(F.col("run_id").cast("string").alias("run_id"), "seq", "ts_ms", "p") \
         .repartition("run_id").sortWithinPartitions("run_id", "ts_ms", "seq")
 
     def fold(batches):
-        run, state = None, FRESH
+        run, carried = None, CARRIED
         for pdf in batches:
-            out = []
-            for r, t, p in zip(pdf["run_id"], pdf["ts_ms"], pdf["p"]):
-                if r != run:
-                    run, state = r, FRESH
-                state, seen = step(state, t, p)
-                out.append(seen)
-            res = pd.DataFrame(out, columns=["remaining_ms", "elapsed_ms", "confident"])
-            res["remaining_ms"] = res["remaining_ms"].astype(float)
-            yield pd.concat([pdf[["run_id", "seq"]].reset_index(drop=True), res], axis=1)
+            pdf = pdf.reset_index(drop=True)
+            first = pdf["run_id"].ne(pdf["run_id"].shift()).to_numpy().nonzero()[0]
+            for lo, hi in zip(first, [*first[1:], len(pdf)]):
+                part = pdf.iloc[lo:hi]
+                if part["run_id"].iloc[0] != run:
+                    run, carried = part["run_id"].iloc[0], CARRIED
+                told, carried = stretch(part["ts_ms"].to_numpy(), part["p"].to_numpy(), carried)
+                yield pd.concat([part[["run_id", "seq"]].reset_index(drop=True), told], axis=1)
 
     return ordered.mapInPandas(fold, READING)
 
 
 class ProgressEta(StatefulProcessor):
-    """E4 as streaming state."""
+    """E4 as streaming state, forgotten ``idle_ms`` after a run's last reading."""
+
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", STATE)
+        self.state = handle.getValueState("state", STATE, self.idle_ms)
 
     def handleInputRows(self, key, rows, timerValues):
-        state = tuple(self.state.get()) if self.state.exists() else FRESH
-        pdf = pd.concat(list(rows)).sort_values(["ts_ms", "seq"])
-        out = []
-        for seq, t, p in zip(pdf["seq"], pdf["ts_ms"], pdf["p"]):
-            state, seen = step(state, int(t), float(p))
-            out.append((str(key[0]), int(seq), *seen))
-        self.state.update(state)
-        res = pd.DataFrame(out, columns=READING.names)
-        res["remaining_ms"] = res["remaining_ms"].astype(float)
-        yield res
+        carried = dict(zip(CARRIED, self.state.get())) if self.state.exists() else CARRIED
+        for pdf in rows:
+            pdf = pdf.sort_values(["ts_ms", "seq"])
+            told, carried = stretch(pdf["ts_ms"].to_numpy(), pdf["p"].to_numpy(), carried)
+            told.insert(0, "run_id", str(key[0]))
+            told.insert(1, "seq", pdf["seq"].to_numpy())
+            yield told
+        self.state.update(tuple(carried.values()))
 
     def close(self) -> None:
         pass
 
 
-def progress_eta_stream(progress: DataFrame) -> DataFrame:
+def progress_eta_stream(progress: DataFrame, idle_ms: int = IDLE_MS) -> DataFrame:
+    """E4 on a stream. Rows of a run are taken batch by batch, each in time order; readings that come later than
+    others of their run do not move the rate."""
     return progress.groupBy("run_id").transformWithStateInPandas(
-        ProgressEta(), outputStructType=READING, outputMode="Append", timeMode="None")
+        ProgressEta(idle_ms), outputStructType=READING, outputMode="Append", timeMode="ProcessingTime")
 
 
 def eta_text(ms: Column) -> Column:

@@ -118,26 +118,33 @@ class RollingLimit(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         kept = [r[0] for r in self.live.get()] if self.live.exists() else []
-        pdf = pd.concat(list(rows)).sort_values(["ts_ms", "hit_id"])
+        for pdf in rows:
+            pdf = pdf.sort_values(["ts_ms", "hit_id"])
+            out, kept = self.decide(str(key[0]), zip(pdf["ts_ms"], pdf["hit_id"]), kept)
+            yield pd.DataFrame(out, columns=DECISION.names)
+        self.live.put([(t,) for t in kept])
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        if kept:  # once the watermark is past the last hit's window, no hit that is still taken can meet it
+            self.handle.registerTimer(max(max(kept) + self.window_ms + FUTURE_MS, timerValues.getCurrentWatermarkInMs() + 1))
+
+    def decide(self, key: str, hits, kept: list) -> tuple[list, list]:
+        """Decisions for hits in time order, and the admitted ones that still count."""
         out = []
-        for ts, hit in zip(pdf["ts_ms"], pdf["hit_id"]):
+        for ts, hit in hits:
             ts = int(ts)
             now = [t for t in kept if ts - self.window_ms < t <= ts + FUTURE_MS]
             used = len(now)
             if used < self.limit:
-                out.append((str(key[0]), int(hit), ts, True, used, self.limit - used, 0))
+                out.append((key, int(hit), ts, True, used, self.limit - used, 0))
                 kept.append(ts)
             else:
                 wait = max(0, min(now) + self.window_ms - ts)
-                out.append((str(key[0]), int(hit), ts, False, used, 0, wait))
+                out.append((key, int(hit), ts, False, used, 0, wait))
             # what has left the window of the newest hit can never count again
             newest = max(ts, max(kept, default=ts))
             kept = [t for t in kept if t > newest - self.window_ms - FUTURE_MS]
-        self.live.put([(t,) for t in kept])
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
-        self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.window_ms)
-        yield pd.DataFrame(out, columns=DECISION.names)
+        return out, kept
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         self.live.clear()
@@ -147,8 +154,13 @@ class RollingLimit(StatefulProcessor):
         pass
 
 
-def admit_stream(hits: DataFrame, limit: int = DEVICE_LIMIT, window_ms: int = WINDOW_MS) -> DataFrame:
-    """E1, E2 on a stream of (key, ts_ms, hit_id); needs the RocksDB state store."""
-    return hits.groupBy("key").transformWithStateInPandas(
-        RollingLimit(limit, window_ms), outputStructType=DECISION, outputMode="Append",
-        timeMode="ProcessingTime")
+def admit_stream(hits: DataFrame, limit: int = DEVICE_LIMIT, window_ms: int = WINDOW_MS, late_ms: int = WINDOW_MS) -> DataFrame:
+    """E1, E2 on a stream of (key, ts_ms, hit_id); needs the RocksDB state store.
+
+    A key's memory ends in event time: it lasts until the watermark, ``late_ms`` behind the newest hit of the stream, has
+    passed a window after the key's last admitted hit. Triggers may therefore be as far apart as they like, and
+    a replay decides as the first run did. Hits behind the watermark are dropped undecided.
+    """
+    timed = hits.withColumn("at", F.timestamp_millis("ts_ms")).withWatermark("at", f"{late_ms} milliseconds")
+    return timed.groupBy("key").transformWithStateInPandas(
+        RollingLimit(limit, window_ms), outputStructType=DECISION, outputMode="Append", timeMode="EventTime")
