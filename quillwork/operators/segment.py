@@ -220,39 +220,58 @@ def split_waist(g: dict, runs: dict) -> list[dict] | None:
     return out
 
 
-def _one_row(row):
-    """Merge, drop strays, split what is fused, fuse what is apart: the groups of one row."""
-    runs: dict = {}
-    for r in row.runs:
-        runs.setdefault(r["comp_id"], []).append((r["y"], r["x0"], r["x1"]))
-    merged = merge_stacked(_boxes(row.comps))
-    groups = drop_strays(merged, row.small)
-    strays, splits = len(merged) - len(groups), 0
-
-    def widest():
-        return max(range(len(groups)), key=lambda i: groups[i]["x1"] - groups[i]["x0"])
-
-    def cut(i) -> bool:
-        halves = split_waist(groups[i], runs)
-        if halves:
-            groups[i:i + 1] = halves
-            groups.sort(key=lambda g: g["x0"])
-        return bool(halves)
-
-    groups = list(groups)
-    for _ in range(row.want):
-        mid = _median([g["x1"] - g["x0"] for g in groups])
-        if not mid or groups[widest()]["x1"] - groups[widest()]["x0"] < mid * FUSED_WIDTH or not cut(widest()):
-            break
-        splits += 1
-    for _ in range(row.want):
-        if not groups or len(groups) >= row.want or not cut(widest()):
-            break
-        splits += 1
-    if len(groups) > row.want:
-        groups = fuse_closest(groups, row.want)
-    return [(row.scan_id, row.rw, i, g["x0"], g["y0"], g["x1"], g["y1"], g["area"], [p[0] for p in g["parts"]],
-             len(merged), strays, splits, len(groups)) for i, g in enumerate(groups)]
+class RowWork:
+    """A row being sorted: its groups from left to right, the runs of its marks, and how often it was cut."""
+
+    def __init__(self, row):
+        self.want, self.cuts, self.runs = row.want, 0, {}
+        for r in row.runs:
+            self.runs.setdefault(r["comp_id"], []).append((r["y"], r["x0"], r["x1"]))
+        self.merged = merge_stacked(_boxes(row.comps))
+        self.groups = list(drop_strays(self.merged, row.small))
+        self.strays = len(self.merged) - len(self.groups)
+
+    def widths(self) -> list[int]:
+        return [g["x1"] - g["x0"] for g in self.groups]
+
+    def cut_while(self, due: Callable[[list[int]], bool]) -> None:
+        """Cut the widest group (the first of equals) as long as the widths say so and it can be cut; once for each character at most."""
+        for _ in range(self.want):
+            widths = self.widths()
+            if not due(widths):
+                return
+            at = widths.index(max(widths))
+            halves = split_waist(self.groups[at], self.runs)
+            if not halves:
+                return
+            self.groups = sorted([*self.groups[:at], *halves, *self.groups[at + 1:]], key=lambda g: g["x0"])
+            self.cuts += 1
+
+
+def cut_fused(work: RowWork) -> None:
+    """Groups out of proportion to the row's middle one hold several characters."""
+    work.cut_while(lambda w: _median(w) > 0 and max(w) >= _median(w) * FUSED_WIDTH)
+
+
+def cut_missing(work: RowWork) -> None:
+    """A row that is short of groups has characters that touch."""
+    work.cut_while(lambda w: 0 < len(w) < work.want)
+
+
+def fuse_surplus(work: RowWork) -> None:
+    """A row with too many groups has characters in pieces."""
+    if len(work.groups) > work.want:
+        work.groups = fuse_closest(work.groups, work.want)
+
+
+def sorted_row(row) -> list[tuple]:
+    """The groups of one row after merging, leaving strays out, and the three passes above in turn."""
+    work = RowWork(row)
+    for each in (cut_fused, cut_missing, fuse_surplus):
+        each(work)
+    about = (len(work.merged), work.strays, work.cuts, len(work.groups))
+    return [(row.scan_id, row.rw, i, g["x0"], g["y0"], g["x1"], g["y1"], g["area"], [p[0] for p in g["parts"]], *about)
+            for i, g in enumerate(work.groups)]
 
 
 def row_groups(assigned: DataFrame, runs: DataFrame, pages: DataFrame) -> DataFrame:
@@ -267,7 +286,7 @@ def row_groups(assigned: DataFrame, runs: DataFrame, pages: DataFrame) -> DataFr
         F.collect_list(F.struct("comp_id", "y", "x0", "x1")).alias("runs"))
     want = pages.join(sheet_rows(pages.sparkSession), "sheet_no").select("scan_id", "rw", "want", "small")
     j = c.join(r, key).join(want, key)
-    return _each(j, _one_row, "scan_id bigint, rw int, col int, x0 int, y0 int, x1 int, y1 int, area bigint, "
+    return _each(j, sorted_row, "scan_id bigint, rw int, col int, x0 int, y0 int, x1 int, y1 int, area bigint, "
                               "part_ids array<int>, observed int, strays int, splits int, found int")
 
 
@@ -370,11 +389,25 @@ def with_ids(labelled: DataFrame, comps: DataFrame) -> DataFrame:
     return labelled.join(comps.select("scan_id", "ly", "lx", "comp_id"), ["scan_id", "ly", "lx"])
 
 
+def observed_rows(bands: DataFrame, groups: DataFrame) -> DataFrame:
+    """What G11 and G12 look at: (scan_id, rw, n) for every band of a page, 0 where nothing was found in it."""
+    n = groups.groupBy("scan_id", "rw").agg(F.max("observed").alias("n"))
+    return bands.select("scan_id", "rw").join(n, ["scan_id", "rw"], "left").na.fill(0, ["n"])
+
+
+def accepted(df: DataFrame, refused: DataFrame) -> DataFrame:
+    """Rows of the pages that are not refused."""
+    return df.join(refused.select("scan_id"), "scan_id", "left_anti")
+
+
 def segment(labelled: DataFrame, comps: DataFrame, pages: DataFrame):
-    """Bands, groups and cells of every page that is not refused; returns (bands, groups, cells, refused)."""
+    """Bands, groups and cells of every page that is not refused; returns (bands, groups, cells, refused).
+
+    A refused page has its fatal row and nothing else: none of its lines, marks or cells is worked on, and it is no
+    longer one of ``pages`` to whoever asks for its issues (``accepted``).
+    """
     refused = component_cap(comps, pages)
-    ok = comps.join(refused.select("scan_id"), "scan_id", "left_anti")
+    labelled, comps, pages = (accepted(df, refused) for df in (labelled, comps, pages))
     bands = reconcile_bands(band_counts(find_lines(labelled), comps), pages)
-    marks = assign_band(bands, ok)
-    groups = row_groups(marks, with_ids(labelled, comps), pages)
+    groups = row_groups(assign_band(bands, comps), with_ids(labelled, comps), pages)
     return bands, groups, sheet_cells(groups, pages), refused

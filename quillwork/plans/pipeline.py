@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quillwork.functions import dims
 from quillwork.functions.num import r6
+from quillwork.operators import family as Y
 from quillwork.operators import health as H
 from quillwork.operators import metrics as M
 from quillwork.operators import outline as T
@@ -29,8 +30,7 @@ def font_batch(pixels, pages):
     asked = pages.select("scan_id", "sheet_no")
     bands, groups, cells, refused = G.segment(runs, comps, asked)
     cells = cut_lineage(cells)
-    observed = groups.select("scan_id", "rw", F.col("observed").alias("n")).distinct()
-    bad = G.wrong_sheet(observed, asked).select("scan_id")
+    bad = G.wrong_sheet(G.observed_rows(bands, groups), asked).select("scan_id")
     good = cells.join(bad, "scan_id", "left_anti").join(pages.select("scan_id", "font_id"), "scan_id")
     glyph_id = F.xxhash64("scan_id", "rw", "col").alias("glyph_id")
     ex = G.extract_glyphs(good, G.with_ids(runs, comps))
@@ -42,8 +42,7 @@ def font_batch(pixels, pages):
     cs = dims.charset(spark).select("ord", "ch", "zone", "grp")
     g = ex.select("glyph_id", "scan_id", "rw", "col", "ch", "bx0", "by0", "bx1", "by1", "w", "h").distinct().join(
         pages.select("scan_id", "font_id", "sheet_no"), "scan_id").join(o.select("glyph_id"), "glyph_id", "left_semi").join(cs, "ch")
-    # rows are numbered through a font's pages
-    g = cut_lineage(g.withColumn("rw", F.col("scan_id") * 16 + F.col("rw")))
+    g = cut_lineage(Y.merge_captures(g.withColumnRenamed("rw", "row")).withColumnRenamed("row", "rw"))
     obs = g.selectExpr("font_id", "rw", "sheet_no", "col AS o", "zone", "by0 AS y0", "by1 AS y1",
                        "cast(NULL AS struct<baseline: double, x_height: double, asc_height: double, desc_depth: double>) AS guides")
     solved = cut_lineage(M.solve_rows(M.row_metrics(obs)))

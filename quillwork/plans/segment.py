@@ -184,7 +184,7 @@ def _segmented(spark, sf):
     comps = cut_lineage(R.components(lab))
     bands, groups, _, refused = G.segment(lab, comps, pages(spark, sf))
     bands, groups = cut_lineage(bands), cut_lineage(groups)
-    return lab, comps, bands, groups, G.sheet_cells(groups, pages(spark, sf)), refused
+    return lab, comps, bands, groups, G.sheet_cells(groups, G.accepted(pages(spark, sf), refused)), refused
 
 
 @query("split_waist")
@@ -202,7 +202,7 @@ def sheet_cells(spark, sf):
 @query("sheet_issues")
 def sheet_issues(spark, sf):
     _, _, bands, groups, _, refused = _segmented(spark, sf)
-    told = G.issues(bands, groups, pages(spark, sf))
+    told = G.issues(bands, groups, G.accepted(pages(spark, sf), refused))
     r = refused.selectExpr("scan_id", "level", "code", "cast(NULL AS int) AS rw", "cast(expected AS int) AS expected", "cast(found AS int) AS found")
     return told.unionByName(r)
 

@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillwork.operators import health as H
 from quillwork.operators import raster as R
@@ -192,3 +193,25 @@ def test_stroke_width_of_a_bar(spark):
     ink = spark.createDataFrame([(1, y, x) for y in range(20) for x in range(6)], "glyph_id bigint, y int, x int")
     r = H.stroke_width(ink).first()
     assert r.area == 120 and r.perimeter == 120 - 18 * 4
+
+
+def test_refused_pages_get_one_fatal_and_nothing_else(spark):
+    """Page 0 is far too full, page 1 is blank, page 2 is a row of marks."""
+    full = np.zeros((120, 200), bool)
+    full[::3, ::3] = True
+    plain = np.zeros((120, 200), bool)
+    for k in range(5):
+        plain[40:80, 10 + 35 * k:30 + 35 * k] = True
+    pages = spark.createDataFrame([(0, 0), (1, 0), (2, 0)], "scan_id bigint, sheet_no int")
+    runs = R.label_runs(R.ink_runs(ink_df(spark, full)).unionByName(R.ink_runs(ink_df(spark, plain)).withColumn("scan_id", F.lit(2).cast("bigint"))))
+    bands, groups, cells, refused = G.segment(runs, R.components(runs), pages)
+    assert {r.scan_id: (r.level, r.code) for r in refused.collect()} == {0: ("fatal", "too-many-marks"), 1: ("fatal", "no-ink")}
+    assert {r.scan_id for r in cells.collect()} == {2} == {r.scan_id for r in bands.collect()}
+    told = G.issues(bands, groups, G.accepted(pages, refused)).collect()
+    assert {r.scan_id for r in told} <= {2}
+
+
+def test_blank_rows_keep_their_place(spark):
+    bands = spark.createDataFrame([(7, 0), (7, 1), (7, 2)], "scan_id bigint, rw int")
+    groups = spark.createDataFrame([(7, 0, 5), (7, 0, 5), (7, 2, 4)], "scan_id bigint, rw int, observed int")
+    assert sorted((r.rw, r.n) for r in G.observed_rows(bands, groups).collect()) == [(0, 5), (1, 0), (2, 4)]
