@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from itertools import zip_longest
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillwork.functions import dims
 
@@ -29,14 +34,34 @@ def bigrams(texts: DataFrame, *keys: str) -> DataFrame:
     return c.select(*keys, "e.ch", "e.nx").where("ch <> ''")
 
 
+def pair_counts(texts: DataFrame) -> DataFrame:
+    """Distinct pairs of a character and the next one (null at the end) of each document, counted inside its row;
+    texts(doc_id, font_id, text)."""
+    def count(batches):
+        for b in batches:
+            ids, fonts, rows = b.column("doc_id"), b.column("font_id"), []
+            for i, text in enumerate(b.column("text")):
+                t = text.as_py() or ""
+                rows += [(i, ch, nx, n) for (ch, nx), n in Counter(zip_longest(t, t[1:])).items()]
+            at, ch, nx, n = zip(*rows) if rows else ((), (), (), ())
+            at = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([ids.take(at), fonts.take(at), pa.array(ch, pa.string()), pa.array(nx, pa.string()),
+                                              pa.array(n, pa.int64())], names=["doc_id", "font_id", "ch", "nx", "n"])
+
+    t = texts.select("doc_id", "font_id", "text")
+    fields = T.StructType([t.schema["doc_id"], t.schema["font_id"], T.StructField("ch", T.StringType()), T.StructField("nx", T.StringType()),
+                           T.StructField("n", T.LongType())])
+    return t.mapInArrow(count, fields)
+
+
 def text_width(texts: DataFrame, advances: DataFrame, kerns: DataFrame) -> DataFrame:
     """Width of each document with and without kerning; texts(doc_id, font_id, text).
 
-    Characters are counted per document before anything is joined, so both joins see one row per
+    Pairs are counted inside a document's row, so nothing is shuffled before the joins and both see one row per
     distinct pair of a document. The font tables have at most characters-squared rows a font;
     whether they are small enough to broadcast is left to the sizes seen at run time.
     """
-    b = bigrams(texts, "doc_id", "font_id").groupBy("doc_id", "font_id", "ch", "nx").agg(F.count("*").alias("n"))
+    b = pair_counts(texts)
     a = advances.select("font_id", "ch", "advance")
     k = kerns.select("font_id", F.col("left_ch").alias("ch"), F.col("right_ch").alias("nx"), "value")
     j = b.join(a, ["font_id", "ch"], "left").join(k, ["font_id", "ch", "nx"], "left")
