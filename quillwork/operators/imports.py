@@ -36,8 +36,8 @@ def path_to_cubics(glyphs: DataFrame) -> DataFrame:
     """Path commands to cubic curves, folded along the commands of one glyph.
 
     glyphs(..., cmds array<struct<type, x, y, x1, y1, x2, y2>>). Straight lines take handles at
-    thirds, quadratics at two thirds, open contours are closed, and a contour with positive area
-    is an outer one.
+    thirds, quadratics at two thirds, open contours are closed, commands of any other kind are
+    passed over, and a contour with positive area is an outer one.
     """
     to = _pt("c.x", "c.y")
     quad = ("named_struct('contour', s.k, 'p0', s.cur,"
@@ -58,7 +58,7 @@ def path_to_cubics(glyphs: DataFrame) -> DataFrame:
     fold = ("aggregate(cmds, " + state.format(cur=none, start=none, k="0", open="false", out=f"cast(array() AS {CURVES})") + ", (s, c) -> CASE c.type"
             " WHEN 'M' THEN " + state.format(cur=to, start=to, k=next_k, open="false", out=closing) +
             f" WHEN 'L' THEN {draw(_line('s.cur', to))} WHEN 'C' THEN {draw(cubic)} WHEN 'Q' THEN {draw(quad)}"
-            " ELSE " + state.format(cur="s.start", start="s.start", k=next_k, open="false", out=closing) + " END, s -> " + closing + ")")
+            " WHEN 'Z' THEN " + state.format(cur="s.start", start="s.start", k=next_k, open="false", out=closing) + " ELSE s END, s -> " + closing + ")")
     g = held(glyphs, raw=fold)
     # area of each contour, from the starting points of its curves
     g = held(g, loops="transform(array_distinct(transform(raw, r -> r.contour)), k -> named_struct('k', k, 'p',"

@@ -199,7 +199,8 @@ def stroke_width(spark, sf):
 
 
 FINDINGS = SOLVED + "," + AREAS.split(C.OBS + ",", 1)[1] + "," + NORM.split(SOLVED + ",", 1)[1] + "," \
-    + WIDTHS.split(C.OBS + ",", 1)[1] + "," + MISSING.split(C.OBS + ",", 1)[1] + "," + SLANT + """,
+    + WIDTHS.split(C.OBS + ",", 1)[1] + "," + MISSING.split(C.OBS + ",", 1)[1] + "," + SLANT + "," + LOOK.replace("," + C.CHARSET, "") + """,
+lk AS (SELECT *, row_number() OVER (PARTITION BY font_id ORDER BY round(similarity, 9) DESC, a_ord, b_ord) AS k FROM look WHERE similarity > 0.93::DOUBLE),
 fd AS (
   SELECT font_id, 0 AS rank, CASE WHEN floor(median(scale) + 0.5) > 20 THEN 'warn' ELSE 'info' END AS level,
     'low-resolution' AS code, 0 AS n FROM solved WHERE x_height > 0 GROUP BY font_id HAVING floor(median(scale) + 0.5) > 12
@@ -209,6 +210,7 @@ fd AS (
   UNION ALL SELECT a.font_id, 4, 'warn', 'faint', count(*) FROM areas a
     JOIN (SELECT font_id, median(area) AS mid FROM areas WHERE area > 0 GROUP BY 1) m USING (font_id)
     WHERE area < mid * 0.06::DOUBLE AND ch NOT IN (""" + SMALL + """) GROUP BY 1
+  UNION ALL SELECT font_id, 5, 'warn', 'lookalike', count(DISTINCT ch) FROM (SELECT font_id, unnest([a, b]) AS ch FROM lk WHERE k <= 4) GROUP BY 1
   UNION ALL SELECT n.font_id, 6, 'warn', 'size-outlier', count(*) FROM norm n JOIN (SELECT font_id, zone, median(height) AS mid
     FROM norm WHERE zone NOT IN ('full', 'mid') GROUP BY ALL HAVING count(*) >= 4) m ON m.font_id = n.font_id AND m.zone = n.zone
     WHERE height / mid > 1.5 OR height / mid < 0.6::DOUBLE GROUP BY 1
@@ -227,9 +229,9 @@ sc AS (SELECT ct.font_id, captured, expected, greatest(0, least(100, 100
 def all_findings(spark, sf):
     g = _obs(spark, sf)
     solved = cut_lineage(solved_rows(spark, sf))
-    none = spark.createDataFrame([], "font_id bigint, a string, b string")  # these fonts have no glyph images
+    alike = H.top_lookalikes(look_pairs(spark, sf).withColumn("similarity", F.round("similarity", 9)))
     return H.findings(
-        H.resolution(solved), H.missing_chars(g, g, spark), H.faint(areas(spark, sf)), none,
+        H.resolution(solved), H.missing_chars(g, g, spark), H.faint(areas(spark, sf)), alike,
         H.size_outlier(heights(spark, sf, solved)), H.stroke_weight(pen_widths(spark, sf)),
         solved.where("NOT confident"), font_slant(spark, sf).where(F.abs("slant") > H.LEAN_DEG))
 
