@@ -90,16 +90,14 @@ def otsu(spark, sf):
     return R.otsu(A.scan_pixels(spark, sf))
 
 
-SAUVOLA = INTEGRAL + "," + OTSU + """,
-rad AS (SELECT *, greatest(15, floor(least(w, h) / 16.0 + 0.5)::INT | 1) // 2 AS r FROM integral),
-cor AS (SELECT *, greatest(0, x - r) AS x0, least(w, x + r + 1) AS x1, greatest(0, y - r) AS y0, least(h, y + r + 1) AS y1 FROM rad),
-four AS (SELECT c.*, (a.s - coalesce(b.s, 0) - coalesce(d.s, 0) + coalesce(e.s, 0)) AS bs, (a.q - coalesce(b.q, 0) - coalesce(d.q, 0) + coalesce(e.q, 0)) AS bq,
-    ((c.x1 - c.x0) * (c.y1 - c.y0))::DOUBLE AS n FROM cor c
-  JOIN integral a ON a.scan_id = c.scan_id AND a.x = c.x1 - 1 AND a.y = c.y1 - 1
-  LEFT JOIN integral b ON b.scan_id = c.scan_id AND b.x = c.x1 - 1 AND b.y = c.y0 - 1
-  LEFT JOIN integral d ON d.scan_id = c.scan_id AND d.x = c.x0 - 1 AND d.y = c.y1 - 1
-  LEFT JOIN integral e ON e.scan_id = c.scan_id AND e.x = c.x0 - 1 AND e.y = c.y0 - 1),
-mm AS (SELECT *, bs / n AS m, sqrt(greatest(0::DOUBLE, bq / n - (bs / n) * (bs / n))) AS sd FROM four),
+# window sums along the line and then across lines; frames are cut off at the page's edges like the window is
+SAUVOLA = C.PAGE_PIXELS + "," + OTSU + """,
+rad AS (SELECT *, (greatest(15, floor(least(w, h) / 16.0 + 0.5)::INT | 1) // 2)::BIGINT AS r FROM pixels),
+along AS (SELECT *, sum(gray) OVER f AS ls, sum(gray * gray) OVER f AS lq, count(*) OVER f AS ln FROM rad
+  WINDOW f AS (PARTITION BY scan_id, y ORDER BY x ROWS BETWEEN r PRECEDING AND r FOLLOWING)),
+box AS (SELECT *, sum(ls) OVER f AS bs, sum(lq) OVER f AS bq, (sum(ln) OVER f)::DOUBLE AS n FROM along
+  WINDOW f AS (PARTITION BY scan_id, x ORDER BY y ROWS BETWEEN r PRECEDING AND r FOLLOWING)),
+mm AS (SELECT *, bs / n AS m, sqrt(greatest(0::DOUBLE, bq / n - (bs / n) * (bs / n))) AS sd FROM box),
 sauv AS (SELECT mm.scan_id, w, h, y, x FROM mm JOIN ot USING (scan_id)
   WHERE gray < least(m * (1 + 0.28::DOUBLE * (sd / 128 - 1)), m - 8) AND gray < least(250, otsu + 55))"""
 
