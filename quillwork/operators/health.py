@@ -11,11 +11,13 @@ from pyspark.sql import Window as W
 from quillwork.functions import dims
 from quillwork.functions.num import half_up
 
+# --- fixed values -----------------------------------------------------------------------
 COARSE = 12
 VERY_COARSE = 20
 SIMILAR = 0.93
 SIG = 14
 LEAN_DEG = 4.0
+# ----------------------------------------------------------------------------------------
 
 
 def resolution(solved: DataFrame) -> DataFrame:
@@ -190,3 +192,21 @@ def score_label(score):
     """H12"""
     return (F.when(score >= 92, "Excellent").when(score >= 78, "Good")
             .when(score >= 60, "Usable").otherwise("Needs work"))
+
+
+def audit(layouts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Every character of a layout or of the wanted ones, with its number of cells and a verdict.
+
+    layouts(layout_id, ch) has one row per cell, wanted(ch) the characters each layout should hold once. ``missing`` has no
+    cell, ``duplicated`` more than one, ``unknown`` is laid out but not wanted.
+    """
+    want = F.broadcast(wanted.select("ch").distinct().withColumn("wanted", F.lit(True)))
+    cells = layouts.groupBy("layout_id", "ch").agg(F.count("*").alias("cells"))
+    # a charset is one small array, so every layout gets it in one row and unfolds it
+    whole = F.broadcast(wanted.agg(F.collect_set("ch").alias("chs")).withColumn("one", F.lit(1)))
+    due = (layouts.select("layout_id").distinct().withColumn("one", F.lit(1)).join(whole, "one")
+           .select("layout_id", F.explode("chs").alias("ch")))
+    both = due.join(cells, ["layout_id", "ch"], "full").join(want, "ch", "left").na.fill(0, ["cells"])
+    verdict = (F.when(F.col("wanted").isNull(), "unknown").when(F.col("cells") == 0, "missing")
+               .when(F.col("cells") > 1, "duplicated").otherwise("ok"))
+    return both.select("layout_id", "ch", "cells", verdict.alias("verdict"))

@@ -276,6 +276,19 @@ def audit_sheets(spark, sf):
     return used.join(F.broadcast(cells), "ch", "left").join(F.broadcast(entries), "ch", "left").na.fill(0)
 
 
+@query("layout_audit", f"""WITH {C.CHARSET},
+ly AS (SELECT p_partkey // 112 AS layout_id, c.ch FROM part JOIN charset c ON c.ord = (p_partkey + p_size) % 138),
+rq AS (SELECT ch FROM charset WHERE kind = 'required'), n AS (SELECT layout_id, ch, count(*) AS cells FROM ly GROUP BY ALL),
+du AS (SELECT l.layout_id, rq.ch FROM (SELECT DISTINCT layout_id FROM ly) l, rq)
+SELECT coalesce(du.layout_id, n.layout_id) AS layout_id, coalesce(du.ch, n.ch) AS ch, coalesce(cells, 0) AS cells,
+  CASE WHEN du.ch IS NULL THEN 'unknown' WHEN cells IS NULL THEN 'missing' WHEN cells > 1 THEN 'duplicated' ELSE 'ok' END AS verdict
+FROM du FULL JOIN n ON n.layout_id = du.layout_id AND n.ch = du.ch""")
+def layout_audit(spark, sf):
+    """H14 over layouts of 112 parts each, which repeat, lack and make up characters."""
+    cells = A.table(spark, sf, "part").selectExpr("p_partkey div 112 AS layout_id", "cast((p_partkey + p_size) % 138 AS int) AS ord")
+    return H.audit(cells.join(dims.charset(spark).select("ord", "ch"), "ord"), dims.required(spark))
+
+
 @query("shown_chars", f"""WITH {C.OBS}, {C.SHEETS}
 SELECT font_id, s.sheet_no, string_agg(s.ch, '' ORDER BY s.k) AS shown
 FROM (SELECT DISTINCT font_id, ch FROM obs) h JOIN sheets s ON s.ch = h.ch AND s.sheet_no < 14 GROUP BY ALL""")
