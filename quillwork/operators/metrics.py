@@ -18,6 +18,7 @@ from quillwork.functions.num import half_up
 from quillwork.functions.shuffle import spread
 from quillwork.session import cut_lineage
 
+# --- fixed values -----------------------------------------------------------------------
 X = float(dims.TARGET_X)
 X_OVER_ASC = 0.54
 DESC_OVER_X = 0.46
@@ -29,6 +30,8 @@ GRID_REACH = 14
 KERN_STRENGTH = 0.7
 KERN_MIN = 14.0
 KERN_MAX = 220.0
+LOSS_ABOVE, LOSS_BELOW = 0.75, 0.8
+# ----------------------------------------------------------------------------------------
 
 
 def _median_in(col: str, *zones: str) -> Column:
@@ -146,12 +149,15 @@ def bitmap_profile(runs: DataFrame) -> DataFrame:
         "(lo - pad) * scale + shift AS left", "(hi - pad) * scale + shift AS right")
 
 
-def band_weight(y: Column, x: float, asc: Column, desc: Column) -> Column:
-    above = F.greatest(F.lit(0.25), 1 - 0.75 * F.least(
-        F.lit(1.0), (y - x) / F.greatest(F.lit(1.0), asc - x)))
-    below = F.greatest(F.lit(0.2), 1 - 0.8 * F.least(
-        F.lit(1.0), -y / F.greatest(F.lit(1.0), -desc)))
-    return F.when((y >= 0) & (y <= x), F.lit(1.0)).when(y > x, above).otherwise(below)
+def taper(beyond: Column, span: Column, loss: float) -> Column:
+    """1 at the band's edge, falling evenly by ``loss`` over the span beyond it and no further."""
+    share = F.greatest(F.lit(0.0), beyond) / F.greatest(F.lit(1.0), span)
+    return 1 - loss * F.least(F.lit(1.0), share)
+
+
+def eye_weight(y: Column, x: float, asc: Column, desc: Column) -> Column:
+    """How much a scanline counts: in full in the band of small letters, less towards either end of the font."""
+    return taper(y - x, asc - x, LOSS_ABOVE) * taper(-y, -desc, LOSS_BELOW)
 
 
 def font_extent(glyphs: DataFrame, x: float = X) -> DataFrame:
@@ -164,7 +170,7 @@ def font_extent(glyphs: DataFrame, x: float = X) -> DataFrame:
 def perceived_margin(profiles: DataFrame, extent: DataFrame, x: float = X) -> DataFrame:
     """M7: weighted mean of the clamped side margins of each glyph."""
     p = profiles.join(extent, "font_id")
-    w = band_weight(F.col("y"), x, F.col("ascender"), F.col("descender"))
+    w = eye_weight(F.col("y"), x, F.col("ascender"), F.col("descender"))
     p = p.withColumn("wt", w)
     cap = F.lit(x * MAX_DEPTH)
     left = F.sum(F.least(F.col("left"), cap) * F.col("wt"))
