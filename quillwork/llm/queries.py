@@ -47,7 +47,20 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("piece").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-@query("op3_sharding")
+# CRC-32 bit by bit: 3988292384 is its polynomial, reversed
+OP3 = """
+WITH b AS (
+  SELECT doc_id, text, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT) AS bytes FROM documents
+), s AS (
+  SELECT doc_id, len(bytes) + 1 AS size, xor(list_reduce(bytes, lambda c, x: list_reduce([0, 0, 0, 0, 0, 0, 0, 0],
+    lambda r, z: xor(r >> 1, 3988292384 * (r & 1)), xor(c, x)), 4294967295), 4294967295) AS text_crc32 FROM b
+), g AS (SELECT *, sum(size) OVER (ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS upto, sum(size) OVER () AS total FROM s),
+d AS (SELECT *, least(((2 * upto - size) * 8) // (2 * total), 7)::INT AS shard FROM g)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, NULL::INT AS grown_shard FROM d
+"""
+
+
+@query("op3_sharding", OP3)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in eight contiguous shards of near equal bytes."""
     raw = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
