@@ -120,8 +120,8 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP8 = """
 WITH docs AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE length(text) > 0),
-chars AS (SELECT doc_id, chr(1) || chr(1) || chr(1) || text AS padded, unnest(range(1, n + 1)) AS i FROM docs),
-grams AS (SELECT doc_id, substr(padded, i, 4) AS g FROM chars),
+chars AS (SELECT doc_id, string_split(chr(1) || chr(1) || chr(1) || text, '') AS c, n FROM docs),
+grams AS (SELECT doc_id, unnest(list_transform(range(1, n + 1), lambda i: c[i] || c[i + 1] || c[i + 2] || c[i + 3])) AS g FROM chars),
 c4 AS (SELECT g, count(*) AS n FROM grams GROUP BY g),
 c3 AS (SELECT substr(g, 2, 3) AS g, sum(n) AS n FROM c4 GROUP BY 1),
 c2 AS (SELECT substr(g, 2, 2) AS g, sum(n) AS n FROM c3 GROUP BY 1),
