@@ -26,6 +26,8 @@ from quillwork.llm.common import append_columns, texts
 DIM = 1024
 CLASSES = 64  # 0 for what is no letter, 1 to 26 for a to z, the rest shared by all other letters
 GRAM = 3
+TURN = 1 << 14  # n-gram vectors turned to floats at a time
+ROWS = 64  # documents counted at a time
 UNKNOWN = "und"
 
 
@@ -58,6 +60,13 @@ class Profiles:
             self.rows = np.concatenate([self.rows, bound])
         return self.rows[self.row[codes]].astype(np.float32)
 
+    def bundles(self, table: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The sums of the n-grams' vectors by the rows of ``table``, a bounded number of n-grams at a time."""
+        out = np.zeros((len(table), DIM), dtype=np.float32)
+        for at in range(0, len(codes), TURN):
+            out += table[:, at : at + TURN] @ self.vectors(codes[at : at + TURN])
+        return out
+
     def counts(self, docs: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(documents by n-grams, the n-grams' codes). Runs of other marks count as one gap, as do both ends."""
         classes = letter_classes()
@@ -94,15 +103,15 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
                 table, codes = profiles().counts(list(texts(part)))
                 if not len(codes):
                     continue
                 table /= np.maximum(table.sum(axis=1, keepdims=True), 1)
                 names = np.array(part.column("lang").to_pylist(), dtype=object)
                 own = sorted(set(names))
-                bundles = np.stack([table[names == n].sum(axis=0) for n in own]) @ profiles().vectors(codes)
+                bundles = profiles().bundles(np.stack([table[names == n].sum(axis=0) for n in own]), codes)
                 for name, bundle in zip(own, bundles.astype(np.float64), strict=True):
                     sums[name] = sums.get(name, 0) + bundle
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array(list(map(list, sums.values())), pa.list_(pa.float64()))],
@@ -133,7 +142,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "tex
             lang, score = np.full(batch.num_rows, UNKNOWN, dtype=object), np.zeros(batch.num_rows)
             some = table.any(axis=1) if len(codes) else np.zeros(batch.num_rows, bool)
             if against is not None and some.any():
-                vectors = table[some] @ profiles().vectors(codes)
+                vectors = profiles().bundles(table[some], codes)
                 cosines = vectors @ against / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
                 lang[some] = names[cosines.argmax(axis=1)]
                 score[some] = np.clip(cosines.max(axis=1), 0, 1)
@@ -141,7 +150,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "tex
 
         return fn
 
-    return append_columns(docs, [StructField("lang_pred", StringType()), StructField("score", DoubleType())], make, 128)
+    return append_columns(docs, [StructField("lang_pred", StringType()), StructField("score", DoubleType())], make, ROWS)
 
 
 def held_out(doc: str = "doc_id") -> Column:
