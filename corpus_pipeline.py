@@ -15,14 +15,17 @@ from quillwork.llm import langid, packing, simhash, toxicity
 from quillwork.llm.common import Stage, read
 from quillwork.llm.queries import WORDS
 
-LEAST_COSINE = 0.02  # a text this far from every language is in none of them
+LEAST_COSINE = 0.02  # a text this far from every language is in none of them; the languages' own spread decides on the others
 
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps texts in a known language: those with a letter and a cosine of ``LEAST_COSINE`` with its prototype."""
-    prototypes = langid.learn(docs.where(~langid.held_out()))
-    told = langid.predict(docs.select(F.struct("*").alias("row"), "text"), prototypes)
-    return told.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_COSINE)).select("row.*")
+    """Keeps texts in a known language: those with a letter and a cosine with its prototype of ``LEAST_COSINE`` and in keeping
+    with the learning part's texts of the language."""
+    learning = docs.where(~langid.held_out())
+    prototypes = langid.learn(learning)
+    known = langid.usual_enough(langid.usual(learning, prototypes))
+    told = langid.predict(docs.select(F.struct("*").alias("row"), "text"), prototypes, worth="worth")
+    return told.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_COSINE) & known).select("row.*")
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -29,6 +29,8 @@ GRAM = 3
 TURN = 1 << 14  # n-gram vectors turned to floats at a time
 ROWS = 64  # documents counted at a time
 UNKNOWN = "und"
+SPREADS, HALF = 4, 0.5
+CHANCE = 2 / DIM**0.5  # two deviations of one random cosine
 
 
 @lru_cache(maxsize=1)
@@ -127,8 +129,9 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str,
     return {k: out[k] / max(np.linalg.norm(out[k]), 1e-12) for k in sorted(out) if np.any(out[k])}
 
 
-def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred string`` and ``score double`` (the cosine, 0 to 1). A map without a shuffle.
+def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text", worth: str | None = None) -> DataFrame:
+    """``docs`` with ``lang_pred string`` and ``score double`` (the cosine, 0 to 1). A map without a shuffle. With ``worth``, a
+    column of that name tells how many different, equally frequent n-grams the text's vector is worth.
 
     Texts that are null or have no letter get ``und`` and 0, as do all if no prototype is given. Equal cosines go to the
     first language by name. Whole texts count, of any length. Columns with the new names are replaced.
@@ -139,18 +142,45 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "tex
     def make():
         def fn(batch: pa.RecordBatch) -> list:
             table, codes = profiles().counts(list(texts(batch, text)))
-            lang, score = np.full(batch.num_rows, UNKNOWN, dtype=object), np.zeros(batch.num_rows)
+            lang, score, count = np.full(batch.num_rows, UNKNOWN, dtype=object), np.zeros(batch.num_rows), np.zeros(batch.num_rows)
             some = table.any(axis=1) if len(codes) else np.zeros(batch.num_rows, bool)
             if against is not None and some.any():
                 vectors = profiles().bundles(table[some], codes)
-                cosines = vectors @ against / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
+                length = np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
+                cosines = vectors @ against / length
                 lang[some] = names[cosines.argmax(axis=1)]
                 score[some] = np.clip(cosines.max(axis=1), 0, 1)
-            return [pa.array(lang, pa.string()), pa.array(score)]
+                count[some] = DIM * (table[some].sum(axis=1) / length[:, 0]) ** 2
+            return [pa.array(lang, pa.string()), pa.array(score), pa.array(count)][: len(fields)]
 
         return fn
 
-    return append_columns(docs, [StructField("lang_pred", StringType()), StructField("score", DoubleType())], make, ROWS)
+    fields = [StructField("lang_pred", StringType()), StructField("score", DoubleType()), *([StructField(worth, DoubleType())] if worth else [])]
+    return append_columns(docs, fields, make, ROWS)
+
+
+def usual(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text", lang: str = "lang") -> dict[str, tuple[float, float]]:
+    """(mean, spread) by language over the rows of ``docs`` that are told right: a text worth m n-grams usually has the cosine
+    mean times the root of m, and spread is the deviation from that. A language spreads as far as all together at least.
+    """
+    rows = docs.where(F.col(f"`{lang}`").isNotNull()).select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"))
+    told = predict(rows, prototypes, worth="worth").where("lang_pred = lang AND worth > 0")
+    root = F.sqrt("worth")  # the squared deviations are made of plain sums
+    sums = told.groupBy("lang").agg(F.count("*").alias("n"), F.avg(F.col("score") / root).alias("mean"), F.sum(F.col("score") ** 2).alias("cc"),
+                                    F.sum(F.col("score") * root).alias("cr"), F.sum("worth").alias("rr")).collect()
+    off = {r["lang"]: max(r["cc"] - 2 * r["mean"] * r["cr"] + r["mean"] ** 2 * r["rr"], 0.0) for r in sums}
+    least = max((sum(off.values()) / max(sum(r["n"] for r in sums), 1)) ** 0.5, DIM**-0.5)
+    return {r["lang"]: (r["mean"], max((off[r["lang"]] / r["n"]) ** 0.5, least)) for r in sums}
+
+
+def usual_enough(learned: dict[str, tuple[float, float]], lang: str = "lang_pred", score: str = "score", worth: str = "worth") -> Column:
+    """Whether a cosine is in keeping with the language told: above chance, and at most ``SPREADS`` spreads under the usual one of
+    a text worth as many n-grams. From ``HALF`` on it always is, so texts in two languages are. A language never told right
+    has only the bound of chance."""
+    bound = F.lit(0.0)
+    for name, (mean, spread) in learned.items():
+        bound = F.when(F.col(lang) == name, F.sqrt(worth) * mean - SPREADS * spread).otherwise(bound)
+    return F.col(score) >= F.greatest(F.least(bound, F.lit(HALF)), F.lit(CHANCE))
 
 
 def held_out(doc: str = "doc_id") -> Column:

@@ -1,5 +1,7 @@
 """The pipeline: each stage decides what its operator decides, on all that the one before kept."""
 
+import random
+
 import corpus_pipeline
 from quillwork.llm import langid, packing, simhash, toxicity
 from quillwork.llm.common import read
@@ -40,3 +42,28 @@ def test_odd_rows(spark, sf):
     for _, step in corpus_pipeline.STAGES:
         empty = step(spark, empty, sf)
     assert empty.count() == 0 and simhash.RADIUS == 2
+
+
+FOREIGN = ["Wczoraj wieczorem poszliśmy na spacer wzdłuż rzeki i rozmawialiśmy o starych czasach.", "Вчера вечером мы гуляли вдоль реки и говорили о старых временах.",
+           "Eilen illalla kävelimme joen rantaa pitkin ja puhuimme vanhoista ajoista.", "昨天晚上我们沿着河边散步，谈论过去的时光。", "昨日の夕方、私たちは川に沿って歩き、昔のことを話しました。",
+           "Tegnap este sétáltunk a folyó mentén és a régi időkről beszélgettünk.", "Χθες το βράδυ περπατήσαμε κατά μήκος του ποταμού και μιλήσαμε για τα παλιά."]
+
+
+def test_language_stage_tells_short_texts_from_foreign_ones(spark):
+    sf = "/root/testdata/sf0.01"
+    docs = read(spark, sf, "documents")
+    rng = random.Random(5)
+    held = [r["text"].split() for r in docs.where(langid.held_out()).orderBy("doc_id").collect()]
+    clean = []
+    for words in (w for w in held if len(w) > 60):
+        at = rng.randrange(len(words) - 30)
+        clean += [" ".join(words[at : at + n]) for n in (2, 4, 8, 30)]
+    letters = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz     ", k=n)) for n in (60, 300, 5000) for _ in range(40)]
+    made = [*((100_000 + i, t) for i, t in enumerate(clean)), *((200_000 + i, t) for i, t in enumerate(FOREIGN)), *((300_000 + i, t) for i, t in enumerate(letters))]
+    rows = spark.createDataFrame([(d, t, None, "s", len(t)) for d, t in made], docs.schema)
+    left = {r["doc_id"] for r in corpus_pipeline.languages(spark, docs.union(rows), sf).collect()}
+    assert not {d for d in left if 200_000 <= d < 300_000}
+    assert sum(d >= 300_000 for d in left) <= 0.05 * len(letters)
+    assert sum(100_000 <= d < 200_000 for d in left) >= 0.97 * len(clean)
+    assert sum(d < 100_000 for d in left) >= 990
+    print(len(clean), sum(100_000 <= d < 200_000 for d in left), len(letters), sum(d >= 300_000 for d in left), sum(d < 100_000 for d in left))
