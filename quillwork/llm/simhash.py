@@ -99,15 +99,15 @@ def links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame
     return own.unionByName(sent).groupBy("tile", "part").applyInArrow(compare, "a long, b long")
 
 
-def grouped(docs: DataFrame, doc: str = "doc_id", text: str = "text", radius: int = RADIUS) -> DataFrame:
-    """One row for each document: ``doc``, ``fingerprint`` (16 lowercase hex digits) and ``component_id``, the least id that
-    links of ``radius`` bits reach.
+def grouped(docs: DataFrame, doc: str = "doc_id", text: str = "text", radius: int = RADIUS, size: int = SHINGLE) -> DataFrame:
+    """One row for each document: ``doc``, ``fingerprint`` (16 lowercase hex digits, from shingles of ``size`` words) and
+    ``component_id``, the least id that links of ``radius`` bits reach.
 
     Documents without a word have fingerprint zero and link like any other. Ids that are null are never the least unless a
     group has no other; then the component is null. Repeated rows stay. Other columns are left out.
     """
     stage = Stage(docs.sparkSession, "simhash")
-    keyed = stage.put(fingerprints(docs.select(F.col(f"`{doc}`").alias(doc), F.col(f"`{text}`").alias("text")))
+    keyed = stage.put(fingerprints(docs.select(F.col(f"`{doc}`").alias(doc), F.col(f"`{text}`").alias("text")), size=size)
                       .select(doc, "fp"))
     distinct = stage.put(keyed.groupBy("fp").agg(F.min(doc).alias("least")))
     roots = components(stage, stage.put(links(distinct.select("fp"), radius)))

@@ -75,6 +75,17 @@ def test_simhash_groups_of_odd_rows(spark):
     assert simhash.grouped(df.limit(0)).count() == 0
 
 
+def test_simhash_groups_of_other_shingles_and_radius(spark):
+    rng = random.Random(3)
+    base = [rng.choice("aa bb cc dd ee ff gg hh".split()) + str(rng.randrange(50)) for _ in range(300)]
+    rows = [(k, " ".join(base[:at] + ["changed"] + base[at + 1 :])) for k, at in enumerate((10, 90, 150, 280))] + [(9, "quite another text of some words")]
+    fps = [simhash.fingerprint(t.encode(), 5) for _, t in rows]
+    radius = max((a ^ b).bit_count() for a in fps[:4] for b in fps[:4])
+    assert 2 < radius < min((a ^ fps[4]).bit_count() for a in fps[:4])
+    got = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in simhash.grouped(spark.createDataFrame(rows, "doc_id long, text string"), size=5, radius=radius).collect()}
+    assert got == {d: (f"{fp:016x}", 9 if d == 9 else 0) for (d, _), fp in zip(rows, fps, strict=True)}
+
+
 @pytest.mark.parametrize("block", [4096, 7])
 def test_links_join_what_all_pairs_join(spark, block):
     rng = random.Random(8)
