@@ -9,7 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillwork.llm import bpe, chat, embedding, langid, ngram_lm, packing, sharding, simhash, topk, toxicity
+from quillwork.llm import (bpe, chat, embedding, langid, ngram_lm, packing, periodic, quality, sharding, simhash, spelling, topk,
+                           toxicity)
 from quillwork.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -234,3 +235,80 @@ SELECT conv, turn, call_id, kind, status, errors, level,
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every message that calls for an answer with the answer, in topological order and as canonical JSON."""
     return chat.link(*messages(spark, sf_dir), SCHEMAS)
+
+
+OP11 = """
+WITH RECURSIVE runs AS (
+  SELECT doc_id, w, count(*) AS c FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS w
+    FROM documents) WHERE length(w) >= 6 GROUP BY ALL
+), b AS (
+  SELECT w, c, list_transform(regexp_extract_all(hex(encode(doc_id || ':' || w)), '..'), lambda h: ('0x' || h)::BIGINT) AS bytes FROM runs
+), hashed AS (
+  SELECT w, c, xor(list_reduce(bytes, lambda c, x: list_reduce([0, 0, 0, 0, 0, 0, 0, 0],
+    lambda r, z: xor(r >> 1, 3988292384 * (r & 1)), xor(c, x)), 4294967295), 4294967295) AS h FROM b
+), words AS (
+  SELECT CASE WHEN h % 199 = 0 THEN left(w, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, sum(c)::BIGINT AS n
+  FROM hashed GROUP BY 1 HAVING length(word) >= 6 AND sum(c) >= 5
+), gaps AS (
+  SELECT word, n, left(word, i) || '-' || substr(word, i + 2) AS gapped, left(word, i) || substr(word, i + 2) AS shorter
+  FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)
+), inserted AS (SELECT DISTINCT g.word AS l, g.n AS ln, w.word AS s, w.n AS sn FROM gaps g JOIN words w ON w.word = g.shorter),
+pairs AS (
+  SELECT a.word, b.word AS other, b.n AS m FROM gaps a JOIN gaps b ON a.gapped = b.gapped AND a.word <> b.word
+  UNION ALL SELECT l, s, sn FROM inserted UNION ALL SELECT s, l, ln FROM inserted
+), best AS (
+  SELECT word, count(*) AS n_near, first(other ORDER BY m DESC, other) AS other, max(m) AS m FROM pairs GROUP BY word
+), formed AS (
+  SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.m >= 5 * w.n THEN b.other END AS form, CASE WHEN b.m >= 5 * w.n THEN b.m END AS form_n
+  FROM words w LEFT JOIN best b ON b.word = w.word
+), up AS (
+  SELECT word, word AS at FROM formed UNION ALL SELECT up.word, f.form FROM up JOIN formed f ON f.word = up.at WHERE f.form IS NOT NULL
+)
+SELECT f.word, f.form, u.at AS root, f.n, f.n_near, f.form_n
+FROM formed f JOIN up u ON u.word = f.word JOIN formed e ON e.word = u.at AND e.form IS NULL
+"""
+
+
+def dropped_letter(h: int, run: str) -> str:
+    """One in 199 runs loses the letter that its hash names."""
+    at = h % len(run)
+    return run if h % 199 else run[:at] + run[at + 1 :]
+
+
+@query("op11_spelling_variants", OP11)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of all documents with its near words, form and root."""
+    return spelling.variants(spelling.count_words(read(spark, sf_dir, "documents"), change=dropped_letter))
+
+
+def with_periodic_ends(docs: DataFrame) -> DataFrame:
+    """``(doc_id, text)`` where one text in ten repeats its own words from some place to its end."""
+    found = "regexp_extract_all(text, '[^\\\\x20\\\\x09-\\\\x0D]+', 0)"
+    a, p = "cast(g % size(w) AS int)", "cast(1 + floor((size(w) - a) / (3 + g % 8)) AS int)"
+    # lambdas over arrays of one element, so that each step is made once a row
+    tail = f"transform(array({p}), p -> array_join(concat(slice(w, 1, a), slice(flatten(array_repeat(slice(w, a + 1, p), cast(ceil((size(w) - a) / p) AS int))), 1, size(w) - a)), ' '))[0]"
+    text = f"transform(array({found}), w -> IF(size(w) = 0, '', transform(array({a}), a -> {tail})[0]))[0]"
+    hashed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+    return hashed.selectExpr("doc_id", "h div 10 AS g", "h % 10 AS k", "text").selectExpr("doc_id", f"IF(k = 0, {text}, text) AS text")
+
+
+@query("op12_periodic_runs")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's periodic runs, the one of the greatest exponent, and the text without their repetitions."""
+    found = periodic.find(with_periodic_ends(read(spark, sf_dir, "documents")))
+    best = F.expr("aggregate(runs, CAST(NULL AS struct<start: bigint, length: bigint, period: bigint>),"
+                  " (b, r) -> IF(b IS NULL OR r.length * b.period > b.length * r.period, r, b))").alias("best")
+    told = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\\n')), '')")
+    digest = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best, F.sha2(told.cast("binary"), 256).alias("runs_sha256"),
+                          F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+    return digest.selectExpr("doc_id", "n_runs", "best.start", "best.length", "best.period", "1000 * best.length div best.period AS exponent_milli",
+                             "runs_sha256", "collapsed_sha256")
+
+
+@query("op13_quality_rules")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics of every text, the base rule and the trees' verdict."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    trees = quality.fit(docs, read(spark, sf_dir, "labels"))
+    return quality.judge(docs, trees).select("doc_id", *quality.COUNTS, "base_failed", "kept", "score")
