@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 import os
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,7 +30,8 @@ from quillwork.llm.common import Stage, append_columns, texts
 
 DIMS, BITS = 4, 12  # of the curve
 HASHED = 2048  # length of the hashed document vector
-KEEP = 400_000  # words a task remembers the ids of; beyond that it starts anew
+SLICE = 64  # documents counted at once
+KEEP = 200_000  # words of one generation that a worker remembers the ids of; it holds two at most
 LATIN = regex.compile(r"[\x21-\x7e¡-įĲ-ſ]+")  # composed already, and one small letter for each capital
 ODD_SPACE = regex.compile(r"[\x1c-\x1f]")  # white space to Python only
 MATCH = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")  # fixed value: the file's own pattern
@@ -41,7 +43,11 @@ class WordIds:
     The vocabulary drops white space and joins nothing across it, so a text's ids are those of its words in a row and a
     word's ids can be remembered. A word of plain Latin letters is composed and needs no more than lower case, the file's
     pattern and its merges; the merges run in tiktoken with the word's end as a byte that no text has. Every other word,
-    and every text with white space that only Python knows, goes to the library itself.
+    and every text with white space that only Python knows or with one of the file's added tokens (which the library takes as
+    one id wherever it stands), goes to the library itself.
+
+    Words are remembered in two generations: a full one becomes the old one, and a word met again moves to the young one, so
+    frequent words stay known and memory stays bounded.
     """
 
     def __init__(self, path: str):
@@ -52,7 +58,6 @@ class WordIds:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves in such files
@@ -66,16 +71,21 @@ class WordIds:
                 ranks[bytes(byte_of[c] for c in (token[: -len(end)] if last else token)) + b"\xff" * last] = rank
         self.merge = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
         self.kind = "<u2" if len(spec["model"]["vocab"]) <= 1 << 16 else "<u4"
+        self.added = regex.compile("|".join(regex.escape(t["content"]) for t in spec["added_tokens"]) or "(?!)")
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def packed(self, ids: list[int]) -> bytes:
-        return np.array(ids, dtype=self.kind).tobytes()
+        return struct.pack(f"<{len(ids)}{'H' if self.kind == '<u2' else 'I'}", *ids)
 
     def word(self, word: str) -> bytes:
         got = self.known.get(word)
         if got is not None:
             return got
-        if not LATIN.fullmatch(word):
+        got = self.old.get(word)
+        if got is not None:
+            pass
+        elif not LATIN.fullmatch(word):
             got = self.packed(self.library.encode(word, add_special_tokens=False).ids)
         elif word[-1] in ".," and word[-2:-1].isalpha():
             got = self.word(word[:-1]) + self.word(word[-1])
@@ -83,20 +93,23 @@ class WordIds:
             got = self.word(small)
         else:
             ids: list[int] = []
-            for match in MATCH.findall(word):
+            for match in (word,) if word.isalpha() else MATCH.findall(word):
                 ids += self.merge(match.encode() + b"\xff")
             got = self.packed(ids)
         if len(word) <= 64:
             if len(self.known) >= KEEP:
-                self.known.clear()
+                self.old, self.known = self.known, {}
             self.known[word] = got
         return got
 
     def text(self, text: str) -> bytes:
-        if ODD_SPACE.search(text):
+        if ODD_SPACE.search(text) or self.added.search(text):
             return self.packed(self.library.encode(text, add_special_tokens=False).ids)
-        known, word = self.known, self.word
-        return b"".join([known.get(w) or word(w) for w in text.split()])
+        words = text.split()
+        got = list(map(self.known.get, words))
+        if None in got:
+            got = [self.word(w) if ids is None else ids for w, ids in zip(words, got, strict=True)]
+        return b"".join(got)
 
 
 @lru_cache(maxsize=2)
@@ -120,8 +133,15 @@ def projector(dims: int, size: int = 1 << 16):
     turn = np.random.default_rng(7).standard_normal((HASHED, dims))
 
     def points(docs: list[np.ndarray]) -> np.ndarray:
-        counts = np.stack([np.bincount(bucket[d & (size - 1)], weights=sign[d & (size - 1)], minlength=HASHED) for d in docs])
-        damped = np.sign(counts) * np.log1p(np.abs(counts))
+        damped = np.zeros((len(docs), HASHED))
+        for at in range(0, len(docs), SLICE):
+            some = docs[at : at + SLICE]
+            ids = np.concatenate(some) & (size - 1)
+            row = np.repeat(np.arange(len(some)) * HASHED, [len(d) for d in some])
+            counts = np.bincount(bucket[ids] + row, weights=sign[ids], minlength=len(some) * HASHED)
+            met = np.flatnonzero(counts)
+            flat = damped[at : at + SLICE].reshape(-1)
+            flat[met] = np.copysign(np.log1p(np.abs(counts[met])), counts[met])
         return damped @ turn / np.maximum(np.linalg.norm(damped, axis=1, keepdims=True), 1e-12)
 
     return points

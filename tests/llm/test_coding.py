@@ -70,21 +70,46 @@ def test_bpe_query_digests(spark, sf):
 
 @pytest.fixture(scope="module")
 def library():
-    t = Tokenizer.from_file(queries.WORDS)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(queries.WORDS)
 
 
 def test_word_ids_are_those_of_the_library(library):
     words = packing.words_of(queries.WORDS)
     rng = random.Random(5)
     letters = "abcXYZéÈßñÇ'’.,!?-_0123 \n\t ΣσİŉĲſ日한é…"
-    texts = [t or "" for t in TEXTS] + ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(2000)]
+    special = ["a <|endoftext|> b", "mid<|endoftext|>dle <|startoftext|><|endoftext|>", "<|endoftext|", "<|ENDOFTEXT|>", "x" * 70 + "<|startoftext|>Y"]
+    assert 49407 in library.encode(special[0], add_special_tokens=False).ids
+    texts = [t or "" for t in TEXTS] + special + ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(2000)]
     for t in texts:
         ids = np.frombuffer(words.text(t), words.kind).tolist()
         assert ids == library.encode(t, add_special_tokens=False).ids, t
 
 
+def test_words_are_remembered_within_bounds(library, monkeypatch):
+    monkeypatch.setattr(packing, "KEEP", 20)
+    words = packing.WordIds(queries.WORDS)
+    rng = random.Random(9)
+    for _ in range(300):
+        t = " ".join(f"w{int(rng.paretovariate(0.7)) % 500}." for _ in range(10))
+        assert np.frombuffer(words.text(t), words.kind).tolist() == library.encode(t, add_special_tokens=False).ids
+        assert len(words.known) <= 20 and len(words.old) <= 20
+
+
+def test_points_against_counts_one_by_one():
+    rng = np.random.default_rng(2)
+    docs = [rng.integers(0, 49408, n).astype("<u2") for n in [0, 1, 5000, *rng.integers(1, 300, 200)]]
+    points = packing.projector(4)
+    h = packing.mixed(np.arange(1 << 16))
+    bucket, sign = (h % np.uint64(packing.HASHED)).astype(int), np.where(h >> np.uint64(63), 1.0, -1.0)
+    turn = np.random.default_rng(7).standard_normal((packing.HASHED, 4))
+    for d, got in zip(docs, points(docs), strict=True):
+        v = np.zeros(packing.HASHED)
+        for i in d:
+            v[bucket[i]] += sign[i]
+        v = np.sign(v) * np.log1p(np.abs(v))
+        assert np.allclose(got, v @ turn / max(np.linalg.norm(v), 1e-12), atol=1e-12)
+
+
 def check_packing(got, expected, length=4096):
     by_doc, by_seq = {}, {}
     for r in got:
