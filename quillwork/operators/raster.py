@@ -81,7 +81,11 @@ def rect_sum(integral: DataFrame, rects: DataFrame) -> DataFrame:
 
 def otsu(pixels: DataFrame) -> DataFrame:
     """The gray level that best parts ink from paper; at most 256 rows a page after counting."""
-    hist = pixels.groupBy("scan_id", "gray").agg(F.count("*").cast("double").alias("n"))
+    return otsu_of(pixels.groupBy("scan_id", "gray").agg(F.count("*").cast("double").alias("n")))
+
+
+def otsu_of(hist: DataFrame) -> DataFrame:
+    """The same from counts, hist(scan_id, gray, n)."""
     page = W.partitionBy("scan_id")
     run = page.orderBy("gray").rowsBetween(W.unboundedPreceding, 0)
     t = hist.select(
