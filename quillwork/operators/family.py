@@ -161,12 +161,15 @@ def glyph_defs(glyphs: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [base, alt, lig, derived_glyphs(base)])
 
 
-def style_glyphs(defs: DataFrame, weight: float = 0.0, bold: float = BOLD, italic: float = ITALIC_DEG) -> DataFrame:
+def style_glyphs(defs: DataFrame, weight: float = 0.0, bold: float = BOLD, italic: float | str = ITALIC_DEG) -> DataFrame:
     """the glyphs of all four styles with box, offset, advance and index; 0 and 1 are .notdef and space.
 
-    Alternates come after all others.
+    Alternates come after all others. ``italic`` is an angle, or SQL for each font's own (``italic_angle``).
     """
-    st = ", ".join(f"named_struct('style', '{n}', 'amount', {(b * bold + weight) * 1000!r}D, 'deg', {lean * italic!r}D,"
+    def deg(lean: int) -> str:
+        return f"cast({lean} * ({italic}) AS double)" if isinstance(italic, str) else f"{lean * italic!r}D"
+
+    st = ", ".join(f"named_struct('style', '{n}', 'amount', {(b * bold + weight) * 1000!r}D, 'deg', {deg(lean)},"
                    f" 'italic', {str(it).lower()}, 'weight_class', {wc})" for n, b, lean, wc, _, it in dims.STYLES)
     g = defs.selectExpr("*", f"explode(array({st})) AS s").select(*defs.columns, "s.*")
     g = bounds(slant(embolden(g, "amount"), "deg")).where("bx0 IS NOT NULL")

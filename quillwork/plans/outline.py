@@ -66,7 +66,8 @@ def crack_edges(spark, sf):
 
 @query("trace_loops", f"WITH RECURSIVE {LOOPS} SELECT glyph_id, contour, pos AS i, x, y FROM cnt")
 def trace_loops(spark, sf):
-    return _points(T.trace_loops(T.crack_edges(ink(spark, sf))))
+    """T2 over the runs of each glyph, specks included."""
+    return _points(T.traced(ink(spark, sf).selectExpr("glyph_id", "y", "x AS x0", "x + 1 AS x1"), 0.0))
 
 
 @query("signed_area", f"WITH RECURSIVE {LOOPS} SELECT glyph_id, contour, n, area FROM area")

@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from quillwork.functions import dims
 from quillwork.functions.num import r6
+from quillwork.operators import pages as P
 from quillwork.operators import raster as R
 from quillwork.plans import ctes as C
 from quillwork.plans.registry import query
 from quillwork.sources import adapters as A
 from quillwork.sources import images
+from quillwork.stages import Stages
 
 
 def rgb_pixels(spark, sf):
@@ -241,7 +243,11 @@ def ink_ratio(spark, sf):
 
 @query("preprocess")
 def preprocess(spark, sf):
-    return R.preprocess(A.page_pixels(spark, sf))[1]
+    """R13 from images: decoded, shrunk, straightened and cleaned; angle, slant, ink and rules of every page."""
+    stages = Stages(spark, "preprocess")
+    info = P.preprocess(stages.put("lines", lambda: P.gray_lines(A.sheet_images(spark, sf))), stages.put)[1]
+    stages.finish(keep=["info"])
+    return info
 
 
 STROKES = """st AS (SELECT vec_id AS glyph_id, list_transform(range(0, 12, 2), lambda i: {'x': 4 + 24 * (e[i + 1] - lo) / (hi - lo),

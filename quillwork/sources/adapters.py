@@ -6,6 +6,8 @@ over the columns it names.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,6 +85,27 @@ def page_pixels(spark: SparkSession, sf: str) -> DataFrame:
         " THEN gray[(y - y0) * 8 + x - x0] ELSE 255 END AS gray")
 
 
+def sheet_images(spark: SparkSession, sf: str) -> DataFrame:
+    """The sheet pages as decoded images, scans(scan_id, w, h, n, data): what the image source gives for a gray file.
+
+    A page holds a row of at most 13 of the small images, so it is painted in one row.
+    """
+    p = sheet_pages(spark, sf).groupBy("scan_id", "w", "h").agg(F.collect_list(F.struct("x0", "y0", "gray")).alias("g"))
+
+    def paint(batches):
+        for batch in batches:
+            data = []
+            for w, h, placed in zip(*(batch.column(k).to_pylist() for k in (1, 2, 3))):
+                page = np.full((h, w), 255, np.uint8)
+                for g in placed:
+                    page[g["y0"] : g["y0"] + 8, g["x0"] : g["x0"] + 8] = np.reshape(g["gray"], (8, 8))
+                data.append(page.tobytes())
+            ones = pa.array([1] * batch.num_rows, pa.int32())
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(3)), ones, pa.array(data, pa.binary())], names=["scan_id", "w", "h", "n", "data"])
+
+    return p.mapInArrow(paint, "scan_id bigint, w int, h int, n int, data binary")
+
+
 def page_ink(spark: SparkSession, sf: str) -> DataFrame:
     """ink(scan_id, w, h, y, x) of the sheet pages: gray below 128."""
     p = sheet_pages(spark, sf).select(

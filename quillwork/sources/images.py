@@ -4,15 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillwork.operators import raster
+from quillwork.operators import pages, raster
 
 
 def read_scans(spark: SparkSession, path: str) -> DataFrame:
-    """scans(scan_id, origin, w, h, data) of image files; data is blue-green-red bytes.
+    """scans(scan_id, origin, w, h, n, data) of image files; data is blue-green-red bytes.
 
-    Spark decodes each file in the task that reads it. Files that are no images are dropped.
+    Spark decodes each file in the task that reads it. Files that are no images have no row here but one in ``unreadable``.
     """
-    img = spark.read.format("image").option("dropInvalid", True).load(path)
+    return read_all(spark, path).where("w > 0")
+
+
+def unreadable(spark: SparkSession, path: str) -> DataFrame:
+    """(scan_id, origin) of the files that are no images."""
+    return read_all(spark, path).where("w <= 0").select("scan_id", "origin")
+
+
+def read_all(spark: SparkSession, path: str) -> DataFrame:
+    """Every file; one that is no image has w = -1 and no data."""
+    img = spark.read.format("image").load(path)
     return img.selectExpr(
         "xxhash64(image.origin) AS scan_id", "image.origin AS origin", "image.width AS w", "image.height AS h",
         "image.nChannels AS n", "image.data AS data")
@@ -33,5 +43,7 @@ def scan_pixels(scans: DataFrame) -> DataFrame:
 
 
 def working_gray(scans: DataFrame, drop_blue: bool = False) -> DataFrame:
-    """Gray pages capped so that a turned page still fits the largest working size."""
-    return raster.box_downscale(raster.gray_luma(scan_pixels(scans), drop_blue), raster.WORKING_DIM)
+    """Gray pages capped so that a turned page still fits the largest working size, pixel by pixel; shrunk where they were decoded."""
+    lines = pages.gray_lines(scans, raster.WORKING_DIM, drop_blue)
+    return lines.selectExpr("scan_id", "w", "h", "y", "explode(sequence(0, w - 1)) AS x", "line").selectExpr(
+        "scan_id", "w", "h", "y", "x", "cast(conv(hex(substring(line, x + 1, 1)), 16, 10) AS int) AS gray")
