@@ -42,12 +42,14 @@ def _count_in(*zones: str) -> Column:
     return F.count(F.when(F.col("zone").isin(*zones), F.lit(1)))
 
 
-def row_metrics(glyphs: DataFrame) -> DataFrame:
+def row_metrics(glyphs: DataFrame, keep: Column | None = None) -> DataFrame:
     """M1: guide lines of each glyph row, from medians by zone or from the guides it states.
 
     Input: font_id, rw, sheet_no, o, zone, y0, y1, guides. Output also carries what the row
-    solver needs: the sheet of the first glyph, the median bottom and the median height.
+    solver needs: the sheet of the first glyph, the median bottom and the median height. With
+    ``keep`` a struct of each glyph comes along in an array ``glyphs``; a row of writing bounds it.
     """
+    kept = [] if keep is None else [F.collect_list(keep).alias("glyphs")]
     g = glyphs.groupBy("font_id", "rw").agg(
         _median_in("y1", "x", "asc").alias("b"),
         _median_in("y0", "x", "desc").alias("x"),
@@ -61,7 +63,7 @@ def row_metrics(glyphs: DataFrame) -> DataFrame:
                  F.when(F.col("guides.x_height") > 0, F.col("o"))).alias("s"),
         F.min_by("sheet_no", "o").alias("sheet_no"),
         F.median("y1").alias("mid_bottom"),
-        F.median(F.col("y1") - F.col("y0")).alias("mid_height"))
+        F.median(F.col("y1") - F.col("y0")).alias("mid_height"), *kept)
     many = "9223372036854775807"
     return g.selectExpr(
         "font_id", "rw", "sheet_no",
@@ -73,22 +75,27 @@ def row_metrics(glyphs: DataFrame) -> DataFrame:
         "IF(s IS NULL, b - a, IF(s.asc_height > 0, s.asc_height, NULL)) AS asc_height",
         "IF(s IS NULL, d - b, IF(s.desc_depth > 0, s.desc_depth, NULL)) AS desc_depth",
         *[f"IF(s IS NULL, {c}, {many}) AS {c}" for c in ("n_b", "n_x", "n_a", "n_d")],
-        "mid_bottom", "mid_height")
+        "mid_bottom", "mid_height", *(["glyphs"] if kept else []))
 
 
 def solve_rows(rows: DataFrame) -> DataFrame:
     """M2: fill what a row could not measure from its sheet, its font or typical proportions.
 
-    The row table is read three times here and is far smaller than the glyphs it comes from, so
+    The row table is read twice here and is far smaller than the glyphs it comes from, so
     it is written once to the checkpoint folder.
     """
-    rows = cut_lineage(rows)
+    return solved_from(cut_lineage(rows))
+
+
+def solved_from(rows: DataFrame) -> DataFrame:
+    """The same from a stored row table: one aggregate by font, with a median for each sheet there is, and one join."""
     good = F.when(F.col("x_height") > 0, F.col("x_height"))
-    by_sheet = rows.groupBy("font_id", "sheet_no").agg(F.median(good).alias("sheet_x"))
+    sheets = range(len(dims.SHEETS) + 1)
     by_font = rows.groupBy("font_id").agg(
         F.median(good).alias("font_x"),
-        F.median(F.when(F.col("asc_height") > 0, F.col("asc_height"))).alias("font_asc"))
-    r = rows.join(by_sheet, ["font_id", "sheet_no"], "left").join(by_font, "font_id", "left")
+        F.median(F.when(F.col("asc_height") > 0, F.col("asc_height"))).alias("font_asc"),
+        F.array(*[F.median(F.when(F.col("sheet_no") == k, good)) for k in sheets]).alias("by_sheet"))
+    r = rows.join(by_font, "font_id", "left").withColumn("sheet_x", F.get("by_sheet", F.col("sheet_no")))
     r = r.withColumn("xh", F.coalesce(
         good,
         F.when(F.col("asc_height") > 0, F.col("asc_height") * X_OVER_ASC),
@@ -104,7 +111,8 @@ def solve_rows(rows: DataFrame) -> DataFrame:
         F.coalesce(F.when(F.col("asc_height") > 0, F.col("asc_height")), "font_asc",
                    F.col("xh") / X_OVER_ASC).alias("asc_height"),
         F.coalesce(F.when(F.col("desc_depth") > 0, F.col("desc_depth")),
-                   F.col("xh") * DESC_OVER_X).alias("desc_depth"))
+                   F.col("xh") * DESC_OVER_X).alias("desc_depth"),
+        *(["glyphs"] if "glyphs" in rows.columns else []))
 
 
 def normalize_boxes(glyphs: DataFrame, solved: DataFrame) -> DataFrame:

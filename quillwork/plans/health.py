@@ -7,12 +7,14 @@ from pyspark.sql import Window as W
 
 from quillwork.functions import dims
 from quillwork.functions.num import r6
+from quillwork.functions.shuffle import held
 from quillwork.operators import health as H
+from quillwork.operators import metrics as M
 from quillwork.plans import ctes as C
 from quillwork.plans.metrics import SOLVED, solved_rows
 from quillwork.plans.registry import query
-from quillwork.session import cut_lineage
 from quillwork.sources import adapters as A
+from quillwork.stages import Stages
 
 SMALL = ", ".join("'" + c.replace("'", "''") + "'" for c in dims.SMALL_MARKS)
 # ink area of an observed glyph: its box, thinned where the quantity is lowest
@@ -226,41 +228,40 @@ sc AS (SELECT ct.font_id, captured, expected, greatest(0, least(100, 100
   FROM ct JOIN ex USING (font_id))"""
 
 
-def all_findings(spark, sf):
-    g = _obs(spark, sf)
-    solved = cut_lineage(solved_rows(spark, sf))
-    alike = H.top_lookalikes(look_pairs(spark, sf).withColumn("similarity", F.round("similarity", 9)))
-    return H.findings(
-        H.resolution(solved), H.missing_chars(g, g, spark), H.faint(areas(spark, sf)), alike,
-        H.size_outlier(heights(spark, sf, solved)), H.stroke_weight(pen_widths(spark, sf)),
-        solved.where("NOT confident"), font_slant(spark, sf).where(F.abs("slant") > H.LEAN_DEG))
+def reported(spark, sf):
+    """H13, one row a font. Observations are read once and stored by row of writing; the images are read once, slants once."""
+    st = Stages(spark, "report")
+    glyph = F.expr("struct(ch, zone, y0, y1, w * (y1 - y0) / CASE WHEN o.q = 1 THEN 40D ELSE 1D END AS area,"
+                   " (4 + o.part % 5) * CASE WHEN o.supp % 10 = 7 THEN 3D ELSE 1D END AS t)")
+    rows = st.put("rows", lambda: M.row_metrics(_obs(spark, sf), glyph))
+    solved = st.put("solved", lambda: M.solved_from(rows))
+    # pens too broad for the 8x8 raster: ink is decided on blocks of 4 x 2 px, i div 16 and i % 8 div 4
+    images = held(A.scan_arrays(spark, sf).withColumnRenamed("gray", "levels"), gray="levels")
+    images = held(images, blocks="transform(sequence(0, 7), b -> aggregate(sequence(0, 7), 0, (a, k) -> a + gray[b div 2 * 16 + k div 4 * 8 + b % 2 * 4 + k % 4]))")
+    images = images.selectExpr("scan_id AS glyph_id", "w", "transform(sequence(0, 63), i -> blocks[i div 16 * 2 + i % 8 div 4] / 8D < 128) AS ink")
+    alike = H.alike_chars(_letters(spark, sf), H.box_vectors(images))
+    out = st.put("report", lambda: H.report(H.measures(solved), alike, font_slant(spark, sf)))
+    st.finish(keep=["report"])
+    return out
 
 
 @query("health_report", f"WITH {FINDINGS} SELECT font_id, rank, level, code, n FROM fd")
 def health_report(spark, sf):
-    return all_findings(spark, sf)
-
-
-def capture_counts(spark, sf):
-    g = _obs(spark, sf)
-    sizes = dims.sheets(spark, ligatures=False).groupBy("sheet_no").agg(F.count("*").alias("n"))
-    expected = g.select("font_id", "sheet_no").distinct().join(F.broadcast(sizes), "sheet_no").groupBy("font_id").agg(
-        F.sum("n").alias("expected"))
-    return g.groupBy("font_id").agg(F.countDistinct("ch").alias("captured")).join(expected, "font_id")
+    return reported(spark, sf).select("font_id", F.explode("findings").alias("f")).select("font_id", "f.*")
 
 
 @query("health_score", f"""WITH {FINDINGS}
 SELECT font_id, captured, expected, score, CASE WHEN score >= 92 THEN 'Excellent' WHEN score >= 78 THEN 'Good'
   WHEN score >= 60 THEN 'Usable' ELSE 'Needs work' END AS label FROM sc""")
 def health_score(spark, sf):
-    return H.health_score(all_findings(spark, sf), capture_counts(spark, sf))
+    return reported(spark, sf).drop("findings")
 
 
 @query("score_label", f"""WITH {FINDINGS}
 SELECT CASE WHEN score >= 92 THEN 'Excellent' WHEN score >= 78 THEN 'Good' WHEN score >= 60 THEN 'Usable'
   ELSE 'Needs work' END AS label, count(*) AS fonts, min(score) AS lowest, max(score) AS highest FROM sc GROUP BY 1""")
 def score_label(spark, sf):
-    return H.health_score(all_findings(spark, sf), capture_counts(spark, sf)).groupBy("label").agg(
+    return reported(spark, sf).groupBy("label").agg(
         F.count("*").alias("fonts"), F.min("score").alias("lowest"), F.max("score").alias("highest"))
 
 

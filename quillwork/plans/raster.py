@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from quillwork.functions import dims
@@ -241,13 +243,48 @@ def ink_ratio(spark, sf):
     return r.select("scan_id", F.col("n").cast("bigint").alias("n"), r6(F.col("ratio")).alias("ratio"))
 
 
-@query("preprocess")
+def again(sql: str, mark: str) -> str:
+    """The CTEs of a stage under other names, so that a chain may hold the stage twice."""
+    names = ("pixels hist cum ot rad along box mm sauv ink isl runs num adj both_ways reach root lab comp srt keep desp hi ln lg tk dm "
+             "a1 a2 t1 p1 s1 b1 t2 p2 s2 walk fin").split()
+    return re.sub(rf"\b({'|'.join(names)})\b", rf"\1_{mark}", sql)
+
+
+SKEW_SQL, SLANT_SQL = (search_sql(*a).rsplit("\nSELECT", 1)[0] for a in (
+    (R.SKEW, 1.0, "y + CASE WHEN tan < 0 THEN pad ELSE 0 END - floor(tan * x + 0.5)::INT", "h + pad + 1", "ceil(abs(tan) * w)::INT", ""),
+    (R.SLANT, 2.0, "x + floor(tan * y + 0.5)::INT + pad", "w + 2 * pad - 1", "ceil(abs(tan) * h)::INT + 2", "-")))
+SAUVOLA_ONLY, RULES_ONLY = SAUVOLA[len(C.PAGE_PIXELS) + 1:], RULES[len(RULED) + 1:]
+TURN = """
+pgs AS (SELECT DISTINCT p.scan_id, w, h, radians(coalesce(deg, -8)::DOUBLE) AS t, coalesce(deg, -8)::DOUBLE AS deg FROM pixels p LEFT JOIN fin_b USING (scan_id)),
+pgt AS (SELECT *, cos(a) AS c, sin(a) AS s, ceil(abs(w * cos(a)) + abs(h * sin(a)))::INT AS nw, ceil(abs(w * sin(a)) + abs(h * cos(a)))::INT AS nh
+  FROM (SELECT *, CASE WHEN abs(t) < 0.0001 THEN 0 ELSE t END::DOUBLE AS a FROM pgs)),
+tgt AS (SELECT *, CASE WHEN a = 0 THEN x ELSE c * (x - nw / 2.0::DOUBLE) + s * (y - nh / 2.0::DOUBLE) + w / 2.0::DOUBLE END AS sx,
+    CASE WHEN a = 0 THEN y ELSE -s * (x - nw / 2.0::DOUBLE) + c * (y - nh / 2.0::DOUBLE) + h / 2.0::DOUBLE END AS sy
+  FROM (SELECT *, unnest(range(nw))::INT AS x FROM (SELECT *, unnest(range(nh))::INT AS y FROM pgt))),
+src AS (SELECT *, floor(sx)::INT AS ix, floor(sy)::INT AS iy, sx - floor(sx) AS fx, sy - floor(sy) AS fy FROM tgt),
+pixels_c AS (SELECT t.scan_id, nw AS w, nh AS h, t.y, t.x, CASE WHEN a = 0 THEN p.gray WHEN sx < 0 OR sy < 0 OR sx >= t.w - 1 OR sy >= t.h - 1 THEN 255
+    ELSE round_even(p.gray * (1 - fx) * (1 - fy) + q.gray * fx * (1 - fy) + u.gray * (1 - fx) * fy + v.gray * fx * fy, 0)::INT END AS gray
+  FROM src t LEFT JOIN pixels p ON p.scan_id = t.scan_id AND p.y = iy AND p.x = ix LEFT JOIN pixels q ON q.scan_id = t.scan_id AND q.y = iy AND q.x = ix + 1
+  LEFT JOIN pixels u ON u.scan_id = t.scan_id AND u.y = iy + 1 AND u.x = ix LEFT JOIN pixels v ON v.scan_id = t.scan_id AND v.y = iy + 1 AND v.x = ix + 1)"""
+# the pages are below the analysis size, so nothing is shrunk
+PREPROCESS = f"""WITH RECURSIVE {C.PAGE_PIXELS}, pixels_a AS (SELECT * FROM pixels), {again(SAUVOLA_ONLY, 'a')},
+ink_a AS (SELECT * FROM sauv_a), {again(DESPECKLE, 'a')}, ink_b AS (SELECT scan_id, w, h, y, unnest(range(x0, x1))::INT AS x FROM desp_a), {again(SKEW_SQL, 'b')}, {TURN},
+{again(SAUVOLA_ONLY, 'c')}, ink_c AS (SELECT * FROM sauv_c), {again(RULES_ONLY, 'c')}, ink_d AS (SELECT scan_id, w, h, y, x FROM dm_c WHERE NOT doomed),
+{again(DESPECKLE, 'd')}, ink_e AS (SELECT scan_id, w, h, y, unnest(range(x0, x1))::INT AS x FROM desp_d), {again(SLANT_SQL, 'e')}
+SELECT g.scan_id, round(g.deg, 6) + 0.0 AS angle_deg, round(-coalesce(fin_e.deg, -32), 6) + 0.0 AS slant, coalesce(n, 0)::BIGINT AS n,
+  round(coalesce(n, 0) / (nw::DOUBLE * nh), 6) AS ratio, coalesce(rules, 0) AS rules, coalesce(removed, 0) AS removed
+FROM pgt g LEFT JOIN fin_e USING (scan_id) LEFT JOIN (SELECT scan_id, count(*) AS n FROM ink_e GROUP BY 1) USING (scan_id)
+LEFT JOIN (SELECT scan_id, count(*) FILTER (WHERE lh AND x = h0) + count(*) FILTER (WHERE lv AND y = v0) AS rules, count(*) FILTER (WHERE doomed) AS removed FROM dm_c GROUP BY 1) USING (scan_id)"""
+
+
+@query("preprocess", PREPROCESS)
 def preprocess(spark, sf):
     """R13 from images: decoded, shrunk, straightened and cleaned; angle, slant, ink and rules of every page."""
     stages = Stages(spark, "preprocess")
     info = P.preprocess(stages.put("lines", lambda: P.gray_lines(A.sheet_images(spark, sf))), stages.put)[1]
     stages.finish(keep=["info"])
-    return info
+    return info.select("scan_id", r6(F.col("angle_deg")).alias("angle_deg"), r6(F.col("slant")).alias("slant"), F.col("n").cast("bigint").alias("n"),
+                       r6(F.col("ratio")).alias("ratio"), "rules", "removed")
 
 
 STROKES = """st AS (SELECT vec_id AS glyph_id, list_transform(range(0, 12, 2), lambda i: {'x': 4 + 24 * (e[i + 1] - lo) / (hi - lo),
