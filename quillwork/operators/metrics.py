@@ -50,7 +50,8 @@ def row_metrics(glyphs: DataFrame, keep: Column | None = None) -> DataFrame:
     ``keep`` a struct of each glyph comes along in an array ``glyphs``; a row of writing bounds it.
     """
     kept = [] if keep is None else [F.collect_list(keep).alias("glyphs")]
-    g = glyphs.groupBy("font_id", "rw").agg(
+    # a row has a dozen glyphs: combining before the shuffle would fold next to nothing and cost a buffer for each median
+    g = spread(glyphs, "font_id", "rw").groupBy("font_id", "rw").agg(
         _median_in("y1", "x", "asc").alias("b"),
         _median_in("y0", "x", "desc").alias("x"),
         _median_in("y0", "asc", "full").alias("a"),
