@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections import deque
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -22,6 +23,9 @@ WINDOW_MS = 60_000
 FUTURE_MS = 1_000
 # ----------------------------------------------------------------------------------------
 
+PIECE = 10_000  # decisions handed on at once
+SALTS = 256
+
 DECISION = T.StructType([
     T.StructField("key", T.StringType()),
     T.StructField("hit_id", T.LongType()),
@@ -48,36 +52,53 @@ def spans(hits: DataFrame, window_ms: int = WINDOW_MS) -> DataFrame:
     return b.withColumn("span", F.sum("fresh").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("fresh")
 
 
-def admit(hits: DataFrame, limit: int = DEVICE_LIMIT, window_ms: int = WINDOW_MS) -> DataFrame:
-    """Decide every hit. Work is split by key and by idle period, both exact.
+def admissions(hits: DataFrame, limit: int = DEVICE_LIMIT, window_ms: int = WINDOW_MS) -> DataFrame:
+    """What is decided about each millisecond of a key: (key, ts_ms, used, admitted, oldest).
 
-    Within a period rows stream through in time order and only the admitted hits of one window
-    are remembered, so memory is bounded by the limit and not by the key.
+    ``used`` hits were live before the first of it, ``admitted`` of its hits are let in, and refused ones wait for ``oldest``. That
+    needs counts only, so hits are combined to (key, millisecond) before the shuffle, and the fold along a key and idle period
+    costs a row a millisecond however many hits there are. It remembers the admitted hits of one window: ``limit`` at most.
     """
-    s = spans(hits, window_ms).select("key", "bucket", "span")
-    h = hits.withColumn("bucket", F.expr(f"ts_ms div {window_ms}")).join(s, ["key", "bucket"])
-    h = h.select(F.col("key").cast("string").alias("key"), "span", "ts_ms", "hit_id")
-    ordered = h.repartition("key", "span").sortWithinPartitions("key", "span", "ts_ms", "hit_id")
+    n = hits.groupBy("key", "ts_ms").agg(F.count("*").alias("n")).withColumn("bucket", F.expr(f"ts_ms div {window_ms}"))
+    n = n.join(spans(hits, window_ms).select("key", "bucket", "span"), ["key", "bucket"]).select(F.col("key").cast("string").alias("key"), "span", "ts_ms", "n")
+    ordered = n.repartition("key", "span").sortWithinPartitions("key", "span", "ts_ms")
 
-    def decide(batches):
-        current, live = None, deque()
+    def fold(batches):
+        current, live, used = None, deque(), 0  # live: (time, admitted then)
         for pdf in batches:
             out = []
-            for key, span, ts in zip(pdf["key"], pdf["span"], pdf["ts_ms"]):
+            for key, span, ts, n in zip(pdf["key"], pdf["span"], pdf["ts_ms"], pdf["n"]):
                 if (key, span) != current:
-                    current, live = (key, span), deque()
-                while live and live[0] <= ts - window_ms:
-                    live.popleft()
-                used = len(live)
-                if used < limit:
-                    out.append((True, used, limit - used, 0))
-                    live.append(ts)
-                else:
-                    out.append((False, used, 0, max(0, live[0] + window_ms - ts)))
-            res = pd.DataFrame(out, columns=["allowed", "used", "remaining", "retry_after_ms"])
-            yield pd.concat([pdf[["key", "hit_id", "ts_ms"]].reset_index(drop=True), res], axis=1)
+                    current, live, used = (key, span), deque(), 0
+                while live and live[0][0] <= ts - window_ms:
+                    used -= live.popleft()[1]
+                admitted = min(n, limit - used)
+                if admitted:
+                    live.append((ts, admitted))
+                out.append((used, admitted, live[0][0] if live else ts))
+                used += admitted
+            told = pd.DataFrame(out, columns=["used", "admitted", "oldest"])
+            yield pd.concat([pdf[["key", "ts_ms"]].reset_index(drop=True), told], axis=1)
+
+    return ordered.mapInPandas(fold, "key string, ts_ms bigint, used bigint, admitted bigint, oldest bigint")
+
 
-    return ordered.mapInPandas(decide, DECISION)
+def admit(hits: DataFrame, limit: int = DEVICE_LIMIT, window_ms: int = WINDOW_MS) -> DataFrame:
+    """Decide every hit.
+
+    ``admissions`` decides about milliseconds; each hit then meets its own millisecond by key and time, so the hits of one key
+    are spread over all tasks. In a millisecond that admits some the least ids come first.
+    """
+    told = admissions(hits, limit, window_ms).withColumnsRenamed({"ts_ms": "ms", "key": "k"})
+    h = hits.select(F.col("key").cast("string").alias("key"), "hit_id", "ts_ms")
+    h = h.join(told, (F.col("key") == F.col("k")) & (F.col("ts_ms") == F.col("ms")))
+    # hits that are refused whatever their id are ranked in many small groups, so a crowded millisecond is no hot group
+    salt = F.when(F.col("admitted") > 0, -1).otherwise(F.pmod(F.xxhash64("hit_id"), F.lit(SALTS)))
+    rank = F.row_number().over(W.partitionBy("key", "ts_ms", salt).orderBy("hit_id")) - 1
+    h = h.withColumn("rank", rank)
+    return h.withColumn("allowed", F.expr("rank < admitted")).selectExpr(
+        "key", "hit_id", "ts_ms", "allowed", f"cast(IF(allowed, used + rank, {limit}) AS int) AS used",
+        f"cast(IF(allowed, {limit} - used - rank, 0) AS int) AS remaining", f"IF(allowed, 0L, greatest(0L, oldest + {window_ms} - ts_ms)) AS retry_after_ms")
 
 
 def retry_seconds(decisions: DataFrame) -> DataFrame:
@@ -118,9 +139,12 @@ class RollingLimit(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues):
         kept = [r[0] for r in self.live.get()] if self.live.exists() else []
-        for pdf in rows:
-            pdf = pdf.sort_values(["ts_ms", "hit_id"])
-            out, kept = self.decide(str(key[0]), zip(pdf["ts_ms"], pdf["hit_id"]), kept)
+        # a key's rows come in pieces in no order; two numbers a hit are held until the micro-batch's are together
+        pieces = [pdf[["ts_ms", "hit_id"]].to_numpy(dtype="int64") for pdf in rows]
+        hits = np.concatenate(pieces)
+        hits = hits[np.lexsort((hits[:, 1], hits[:, 0]))]
+        for at in range(0, len(hits), PIECE):
+            out, kept = self.decide(str(key[0]), hits[at : at + PIECE].tolist(), kept)
             yield pd.DataFrame(out, columns=DECISION.names)
         self.live.put([(t,) for t in kept])
         for old in list(self.handle.listTimers()):
@@ -158,7 +182,8 @@ def admit_stream(hits: DataFrame, limit: int = DEVICE_LIMIT, window_ms: int = WI
     """E1, E2 on a stream of (key, ts_ms, hit_id); needs the RocksDB state store.
 
     A key's memory ends in event time: it lasts until the watermark, ``late_ms`` behind the newest hit of the stream, has
-    passed a window after the key's last admitted hit. Triggers may therefore be as far apart as they like, and
+    passed a window after the key's last admitted hit. A micro-batch's hits of a key are decided in time order, 16 bytes
+    each in memory; the trigger bounds them. Triggers may therefore be as far apart as they like, and
     a replay decides as the first run did. Hits behind the watermark are dropped undecided.
     """
     timed = hits.withColumn("at", F.timestamp_millis("ts_ms")).withWatermark("at", f"{late_ms} milliseconds")

@@ -3,6 +3,7 @@
 import random
 import uuid
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from quillwork.streaming import eta as E
@@ -49,6 +50,75 @@ def test_blocked_past_the_address_limit(spark):
     assert L.retry_seconds(d).first().retry_after == 60
 
 
+def test_a_hot_key_is_decided_on_many_tasks(spark):
+    rnd = random.Random(7)
+    hits = [(7, rnd.randrange(300), i) for i in range(3000)] + [(7, 50, 9000 + i) for i in range(400)] + [(7, 50, 9000)]
+    hits += [(8, 10, 1), (8, 10, 2)]
+    df = spark.createDataFrame(hits, HIT)
+    for limit, window in ((3, 20), (50, 7), (1, 1)):
+        got = sorted((r.key, r.ts_ms, r.hit_id, r.allowed, r.used, r.retry_after_ms) for r in L.admit(df, limit, window).collect())
+        want = []
+        for key in (7, 8):
+            live = []
+            for _, ts, hit in sorted(h for h in hits if h[0] == key):
+                now = [t for t in live if t > ts - window]
+                ok = len(now) < limit
+                want.append((str(key), ts, hit, ok, len(now), 0 if ok else max(0, min(now) + window - ts)))
+                live = now + [ts] if ok else now
+        assert got == sorted(want)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        placed = L.admit(df, 3, 20).where("key = '7'").groupBy(F.spark_partition_id().alias("p")).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(placed) >= 3 and max(r["count"] for r in placed) < 0.7 * len(hits)
+
+
+def test_streams_decide_in_time_order_whatever_the_pieces(spark):
+    class Held:
+        def __init__(self):
+            self.value, self.timers = None, []
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            return self.value
+
+        def put(self, value):
+            self.value = value
+
+        update = put
+        listTimers = lambda self: iter(())
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+    class Clock:
+        getCurrentWatermarkInMs = lambda self: 0
+
+    rnd = random.Random(4)
+    hits = [(rnd.randrange(2000), i) for i in range(300)]
+    want = {i: d for i, d in brute([(1, t, i) for t, i in hits], 5, 90).items()}
+    for size in (1, 7, 300):
+        limit = L.RollingLimit(5, 90)
+        limit.handle = limit.live = Held()
+        parts = [pd.DataFrame(hits[k : k + size], columns=["ts_ms", "hit_id"]) for k in range(0, 300, size)]
+        out = pd.concat(list(limit.handleInputRows((1,), iter(parts), Clock())))
+        assert {r.hit_id: (r.allowed, r.used, r.retry_after_ms) for r in out.itertuples()} == want
+    readings = [(1000 + 40 * i + rnd.randrange(30), i, min(1.0, i / 250 + rnd.random() / 50)) for i in range(250)]
+    rnd.shuffle(readings)
+    told = []
+    for size in (1, 9, 250):
+        run = E.ProgressEta(1000)
+        run.state = Held()
+        parts = [pd.DataFrame(readings[k : k + size], columns=["ts_ms", "seq", "p"]) for k in range(0, 250, size)]
+        told.append(pd.concat(list(run.handleInputRows(("r",), iter(parts), Clock()))).reset_index(drop=True))
+    assert told[0].equals(told[1]) and told[1].equals(told[2]) and told[0]["confident"].any()
+
+
 def _stream(spark, tmp_path, rows, schema, build, order):
     """Feed rows in three files, in time order, through a stateful stream."""
     src = str(tmp_path / "in")
