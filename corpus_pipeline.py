@@ -11,21 +11,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillwork.llm import langid, packing, simhash, toxicity
+from quillwork.llm import langid, near, packing, toxicity
 from quillwork.llm.common import Stage, read
 from quillwork.llm.queries import WORDS
 
-LEAST_COSINE = 0.02  # a text this far from every language is in none of them; the languages' own spread decides on the others
-
-
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps texts in a known language: those with a letter and a cosine with its prototype of ``LEAST_COSINE`` and in keeping
-    with the learning part's texts of the language."""
+    """Keeps texts in a known language: those with a letter and a cosine with its prototype in keeping with the learning part's texts
+    of the language."""
     learning = docs.where(~langid.held_out())
     prototypes = langid.learn(learning)
     known = langid.usual_enough(langid.usual(learning, prototypes))
     told = langid.predict(docs.select(F.struct("*").alias("row"), "text"), prototypes, worth="worth")
-    return told.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_COSINE) & known).select("row.*")
+    return told.where((F.col("lang_pred") != langid.UNKNOWN) & known).select("row.*")
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,9 +33,9 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def single(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each group of near duplicates, and rows without an id."""
-    gone = simhash.grouped(docs).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Keeps one document of each group of near duplicates: SimHash candidates of five-word shingles, held against each other by the
+    exact resemblance of their shingles, 0.8 or more."""
+    return near.single(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
