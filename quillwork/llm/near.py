@@ -5,8 +5,8 @@ groups. Within a group resemblance is then exact, on sets of shingles: a text go
 ``LEAST`` or more. Texts are taken by id, so of a set of near copies the least id stays. Equal texts are folded before
 anything is compared.
 
-Small groups are settled in one task each. In a group of more than ``SETTLED`` different texts, the least text is held against all
-others by a join, what resembles it goes, and the rest is a smaller group in the next round.
+A group is settled in one task as long as it has ``SETTLED`` different texts and ``HELD`` bytes at most. In a larger one the least text
+is held against all others by a join, what resembles it goes, and the rest is a smaller group in the next round.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from quillwork.llm import simhash
 from quillwork.llm.common import Stage, append_columns, components, raw_texts
 
 SHINGLE, RADIUS, LEAST = 5, 5, 0.8
-SETTLED = 256  # texts of a group that one task settles
+SETTLED, HELD = 4096, 64 << 20  # texts of a group that one task settles, and bytes of shingles they may have
 SEED = 42
 
 
@@ -63,7 +63,7 @@ def staying(docs: DataFrame, doc: str = "doc_id", text: str = "text", size: int
     roots = components(stage, stage.put(simhash.links(distinct.select("fp").distinct(), radius)))
     member = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("h1", "h2", "id", F.coalesce("root", "fp").alias("root"))
     many = member.groupBy("root").agg(F.count("*").alias("n")).where("n > 1")
-    member = stage.put(member.join(many, "root").select("root", "h1", "h2", "id", "n"))
+    member = stage.put(member.join(many, "root").select("root", "h1", "h2", "id"))
 
     def make():
         return lambda batch: [pa.array([shingles(t, size).tobytes() for t in raw_texts(batch)], pa.binary())]
@@ -71,16 +71,17 @@ def staying(docs: DataFrame, doc: str = "doc_id", text: str = "text", size: int
     # one row of each text: that with its least id
     wanted = member.toDF(*[f"m_{c}" for c in member.columns])
     one = (rows.join(wanted, (F.col("h1") == F.col("m_h1")) & (F.col("h2") == F.col("m_h2")) & F.col("id").eqNullSafe(F.col("m_id")))
-           .select("h1", "h2", "id", F.col("m_root").alias("root"), F.col("m_n").alias("n"), "text").dropDuplicates(["h1", "h2", "id"]))
-    left = stage.put(append_columns(one, [StructField("shingles", BinaryType())], make).drop("text").withColumn("lost_id", F.col("id").isNull()))
+           .select("h1", "h2", "id", F.col("m_root").alias("root"), "text").dropDuplicates(["h1", "h2", "id"]))
+    left = stage.put(append_columns(one, [StructField("shingles", BinaryType())], make).drop("text", "n").withColumn("lost_id", F.col("id").isNull()))
     gone = []
     key = ["h1", "h2"]
     while True:
-        small = left.where(f"n <= {SETTLED}")
-        gone.append(stage.put(small.groupBy("root").applyInArrow(lambda t: _settle(t, least), "h1 bigint, h2 bigint")))
-        large = left.where(f"n > {SETTLED}")
-        if large.isEmpty():
+        size_of = left.groupBy("root").agg((~((F.count("*") <= SETTLED) & (F.sum(F.length("shingles")) <= HELD))).alias("is_large"))
+        large_roots = size_of.where("is_large").select("root")
+        gone.append(stage.put(left.join(large_roots, "root", "left_anti").groupBy("root").applyInArrow(lambda t: _settle(t, least), "h1 bigint, h2 bigint")))
+        if large_roots.isEmpty():
             break
+        large = left.join(large_roots, "root", "left_semi")
         first = large.groupBy("root").agg(F.min_by(F.struct("h1", "h2", F.col("shingles").alias("of")), F.struct("lost_id", "id", "h1", "h2")).alias("first"))
 
         def compare():
@@ -88,10 +89,11 @@ def staying(docs: DataFrame, doc: str = "doc_id", text: str = "text", size: int
 
         met = large.join(first, "root").select(*large.columns, "first.of", F.expr("h1 = first.h1 AND h2 = first.h2").alias("own"))
         met = stage.put(append_columns(met, [StructField("close", BooleanType())], compare).drop("of"))
-        gone.append(met.where("close AND NOT own").select(*key))
-        rest = met.where("NOT close AND NOT own").drop("close", "own", "n")
-        before, left = left, stage.put(rest.join(rest.groupBy("root").agg(F.count("*").alias("n")), "root").select(*left.columns))
+        gone.append(stage.put(met.where("close AND NOT own").select(*key)))
+        before, left = left, stage.put(met.where("NOT close AND NOT own").select(*left.columns))
         stage.drop(before)
+        stage.drop(met)
+    stage.drop(left)
     out = gone[0]
     for g in gone[1:]:
         out = out.union(g)
