@@ -83,6 +83,6 @@ def test_files_become_a_family_and_a_lost_job_goes_on(spark, folder, monkeypatch
     assert sorted(r.code for r in family.refused.collect()) == ["no-file", "no-ink", "not-an-image"]
     n = family.classes.agg(F.max("c1"), F.max("c2"), F.count("*")).first()
     assert family.kerning.count() > 0 and n[2] == (n[0] + 1) * (n[1] + 1)
-    assert {r.code for r in family.findings.collect()} >= {"missing-letters", "not-written"}
+    assert {r.code for r in family.findings.collect()} >= {"missing-symbols", "not-written"}
     turned = {r.scan_id: r for r in family.pages.collect()}
     assert len(turned) == 3 and all(abs(r.angle_deg) <= 8 for r in turned.values())
