@@ -1,179 +1,269 @@
-"""Stupid-backoff scores of documents under a character n-gram model of the whole corpus, computed with joins.
-
-A gram is the last ``ORDER`` characters (UTF-16 units) up to a position, packed exactly into one long, so contexts and shorter
-grams are shifts and masks of it. Starts are padded with zero units. The steps:
-
-1. Count. A map counts grams per slice of documents and Spark sums them by hash of the gram.
-2. Score the tables. The counts of shorter grams are sums over the longest; each order's table meets its contexts' counts and
-   the next shorter order's scores in hash joins. A gram seen ``LEAST`` times or more scores log(count / context's count), a
-   rarer one log(ALPHA) plus the score of its end; single characters score log(count / all).
-3. Score the documents. Grams that make up a ``1 / COMMON`` part of all positions or more, at most ``COMMON`` of them, are hot join
-   keys. They alone go to every task as a table of bounded size and are summed in the map. All other grams of a
-   document are exploded with their counts and joined to the score table by hash. Sums per document are combined before
-   their shuffle.
+"""Stupid-backoff scores of documents under a model of pairs of words of the whole corpus, computed relationally.
+
+Words are runs of other characters than the six ASCII white spaces. A word after another scores log(n(pair) / n(pairs that begin so))
+if its pair stands ``LEAST`` times or more in the corpus, else log(ALPHA) plus log(n(word) / all words). A document begins with
+a mark that counts as a word before its first. Words are told apart by 63 bits of a hash.
+
+1. Count words: a map counts by the slice, Spark sums by hash of the word.
+2. Explode: one row for each document and distinct pair. Words that make up ``1 / FREQUENT`` of all words or more, at most
+   ``FREQUENT`` of them, are written as short codes, so a row of two of them shuffles few bytes.
+3. Count pairs: exploded pairs are hash-partitioned once, by their first word if that is rare, so that the pairs' and the
+   contexts' counts lie where the exploded pairs lie and are met there without another shuffle. A frequent first word would be
+   a hot key: its pairs are spread by their second word, and its own count comes from the frequent words' table by a join.
+   Pairs of two words that each make up ``1 / HOT`` or more (at most ``HOT`` squared of them) are hot keys themselves: they are
+   counted beforehand, their rows lie on all partitions and meet the counts by a broadcast join.
+4. Back off: what is left with a rare second word is joined to the words' table by hash. Sums per document are combined
+   before their shuffle.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
-from quillwork.llm.common import Stage, texts
+from quillwork.llm.common import Stage, raw_texts
 
-ORDER, LEAST, ALPHA, COMMON = 4, 2, 0.4, 1 << 18
-SLOTS = 21  # bits of a common gram's place in the map's table
+LEAST, ALPHA = 2, 0.4
+FREQUENT, HOT = 1 << 16, 1 << 9
+START = 1  # the code before a document's first word; frequent words have the codes from 2 on, rare words none (0)
+CODE = 20  # bits of a code
 SLICE = 256
-MERGE = 1 << 21  # distinct grams a task holds before it gives its counts away
+PIECE = 1 << 22  # bytes hashed at a time
+MERGE = 1 << 21  # distinct keys a task holds before it gives its counts away
+
+SPACE = np.zeros(256, dtype=bool)
+SPACE[[32, 9, 10, 11, 12, 13]] = True
+BYTES = np.random.default_rng(8).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+BASE = 0x9E3779B97F4A7C15 | 3
+UNBASE = pow(BASE, -1, 1 << 64)
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(32))
+
+
+class Hasher:
+    """Hashes of all words of a buffer at once, from prefix sums of its bytes times powers of a base."""
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def powers(self, n: int) -> None:
+        if len(self.up) < n:
+            for name, base in (("up", BASE), ("down", UNBASE)):
+                steps = np.full(n, base, np.uint64)
+                steps[0] = 1
+                setattr(self, name, np.cumprod(steps, dtype=np.uint64))
 
+    def buffer(self, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """(hash, first byte's place) of every word; the sign bit of a hash is set."""
+        raw = np.frombuffer(raw, np.uint8)
+        inside = np.concatenate(([0], (~SPACE[raw]).view(np.int8), [0]))
+        edge = np.diff(inside)
+        first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        self.powers(len(raw) + 1)
+        sums = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(BYTES[raw] * self.up[: len(raw)], out=sums[1:])
+        h = mixed((sums[last] - sums[first]) * self.down[first] + (last - first).astype(np.uint64))
+        return h | np.uint64(1 << 63), first
 
-def grams(docs: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(gram of every position of all texts, positions of each text)."""
-    units = [np.frombuffer(t.encode("utf-16-le", "surrogatepass"), dtype="<u2") for t in docs]
-    sizes = np.array([len(u) for u in units], dtype=np.int64)
-    pad = np.zeros(ORDER - 1, dtype=np.uint16)
-    flat = np.concatenate([x for u in units for x in (pad, u)] or [pad]).astype(np.uint64)
-    key = flat.copy()
-    for back in range(1, ORDER):
-        key[back:] |= flat[:-back] << np.uint64(16 * back)
-    real = np.ones(len(flat), dtype=bool)
-    starts = np.cumsum(sizes + ORDER - 1) - sizes
-    for back in range(1, ORDER):
-        real[starts - back] = False
-    return key[real] if len(docs) else np.zeros(0, np.uint64), sizes
+    def words(self, docs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(hash of every word of all texts, words of each text). Long texts are hashed in pieces that end at a blank."""
+        sizes = np.zeros(len(docs), np.int64)
+        parts: list[np.ndarray] = []
+        held, held_bytes, at = [], 0, 0
 
+        def flush(upto: int) -> None:
+            nonlocal held, held_bytes, at
+            if held:
+                h, first = self.buffer(b" ".join(held))
+                begins = np.cumsum([0, *(len(d) + 1 for d in held[:-1])])
+                sizes[at:upto] = np.bincount(np.searchsorted(begins, first, side="right") - 1, minlength=len(held))
+                parts.append(h)
+            held, held_bytes, at = [], 0, upto
 
-def count(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``(gram, n)`` over all texts."""
+        for i, doc in enumerate(docs):
+            if len(doc) > PIECE:
+                flush(i)
+                for piece in pieces(doc):
+                    h, _ = self.buffer(piece)
+                    parts.append(h)
+                    sizes[i] += len(h)
+                at = i + 1
+                continue
+            if held_bytes + len(doc) > PIECE:
+                flush(i)
+            held.append(doc)
+            held_bytes += len(doc) + 1
+        flush(len(docs))
+        return np.concatenate(parts) if parts else np.zeros(0, np.uint64), sizes
+
+
+def pieces(doc: bytes, size: int = PIECE) -> Iterator[bytes]:
+    """``doc`` cut at white space into pieces of about ``size`` bytes; a longer word stays whole."""
+    at = 0
+    while at < len(doc):
+        end = min(at + size, len(doc))
+        while end < len(doc) and not SPACE[doc[end]]:
+            end += 1
+        yield doc[at:end]
+        at = end
+
+
+def counted(docs: DataFrame, rows: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], key: str) -> DataFrame:
+    """``(key long, n long, ends long)``: ``rows`` gives a slice's keys, and which of them end a document, from hashes and sizes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def give(parts: list) -> pa.RecordBatch:
-            keys = np.concatenate([k for k, _ in parts])
-            keys, where = np.unique(keys, return_inverse=True)
-            n = np.bincount(where, weights=np.concatenate([c for _, c in parts]), minlength=len(keys)).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["gram", "n"])
-
-        held: list = []
-        size = 0
+        def merged(held: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            keys, where = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
+            return keys, *(np.bincount(where, weights=np.concatenate([h[i] for h in held]), minlength=len(keys)).astype(np.int64) for i in (1, 2))
+
+        def batch_of(k: np.ndarray, n: np.ndarray, e: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n), pa.array(e)], names=[key, "n", "ends"])
+
+        hasher, held, size = Hasher(), [], 0
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
-                keys, _ = grams(list(texts(batch.slice(at, SLICE))))
-                held.append(np.unique(keys, return_counts=True))
-                size += len(held[-1][0])
+                keys, ends = rows(*hasher.words(list(raw_texts(batch.slice(at, SLICE)))))
+                keys, where = np.unique(keys, return_inverse=True)
+                held.append((keys, np.bincount(where, minlength=len(keys)), np.bincount(where, weights=ends, minlength=len(keys))))
+                size += len(keys)
                 if size >= MERGE:
-                    merged = give(held)
-                    held = [(merged.column(0).to_numpy().view(np.uint64), merged.column(1).to_numpy())]
+                    held = [merged(held)]
                     size = len(held[0][0])
                     if size >= MERGE // 2:
-                        yield merged
+                        yield batch_of(*held[0])
                         held, size = [], 0
         if held:
-            yield give(held)
-
-    return docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-
-
-def score_table(counts: DataFrame, documents: int, least: int = LEAST, alpha: float = ALPHA) -> DataFrame:
-    """``(gram, n, score)`` of every longest gram. ``documents``: how many starts there are."""
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    by_order = {ORDER: counts}
-    for k in range(ORDER - 1, 0, -1):
-        mask = F.lit((1 << (16 * k)) - 1).cast("long")
-        by_order[k] = by_order[k + 1].groupBy(F.col("gram").bitwiseAND(mask).alias("gram")).agg(F.sum("n").alias("n"))
-    scored = by_order[1].select("gram", "n", F.log(F.col("n") / F.lit(float(max(total, 1)))).alias("score"))
-    for k in range(2, ORDER + 1):
-        shorter = scored.select(F.col("gram").alias("end"), F.col("score").alias("end_score"))
-        # a context of nothing but starts ends before the first character, where no gram of its own is counted
-        contexts = by_order[k - 1].select(F.col("gram").alias("context"), F.col("n").alias("context_n"))
-        mask = F.lit((1 << (16 * (k - 1))) - 1).cast("long")
-        this = by_order[k].select("gram", "n", F.col("gram").bitwiseAND(mask).alias("end"), F.shiftrightunsigned("gram", 16).alias("context"))
-        met = this.join(contexts, "context", "left").join(shorter, "end")
-        starts = F.coalesce("context_n", F.lit(0)) + F.when(F.col("context") == 0, documents).otherwise(0)
-        scored = met.select("gram", "n", F.when(F.col("n") >= least, F.log(F.col("n") / starts))
-                            .otherwise(F.col("end_score") + math.log(alpha)).alias("score"))
-    return scored
-
-
-class Common:
-    """Scores of common grams by a hash of the gram. Grams whose places collide are left to the join."""
-
-    def __init__(self, gram: np.ndarray, score: np.ndarray):
-        at = self.place(gram)
-        _, first = np.unique(at, return_index=True)
-        self.gram, self.score = gram[first], score[first]
-
-    @staticmethod
-    def place(gram: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            h = (gram ^ (gram >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
-        return (h >> np.uint64(64 - SLOTS)).astype(np.int64)
-
-    def look(self):
-        keys, scores = np.zeros(1 << SLOTS, np.uint64), np.zeros(1 << SLOTS)
-        taken = np.zeros(1 << SLOTS, bool)
-        at = self.place(self.gram)
-        keys[at], scores[at], taken[at] = self.gram, self.score, True
-
-        def of(grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            where = self.place(grams)
-            known = taken[where] & (keys[where] == grams)
-            return known, np.where(known, scores[where], 0.0)
-
-        return of
-
-
-def score(docs: DataFrame, doc: str = "doc_id", text: str = "text", common: int = COMMON, least: int = LEAST, alpha: float = ALPHA) -> DataFrame:
-    """One row for each document: ``doc``, ``n_grams long`` (its characters), ``score double`` (the sum of their log scores) and
-    ``mean_score double`` (null without characters). Null and empty texts have no grams and score 0. Rows stay as they are,
-    with repeated or null ids too. U+0000 in a text counts as a start. Other columns are left out.
-    """
-    stage = Stage(docs.sparkSession, "ngram")
-    docs = docs.select(F.col(f"`{doc}`").alias(doc), F.col(f"`{text}`").alias("text"))
-    counts = stage.put(count(docs))
-    documents = docs.where(F.length("text") > 0).count()
-    table = stage.put(score_table(counts, documents, least, alpha))
-    total = table.agg(F.sum("n")).first()[0] or 0
-    frequent = table.where(F.col("n") * common >= total).select("gram", "score").toPandas()  # ``common`` rows at most
-    known = Common(frequent["gram"].to_numpy(np.int64).view(np.uint64), frequent["score"].to_numpy(np.float64))
-    doc_type = docs.schema[doc]
-    schema = StructType([StructField("row", LongType()), doc_type, StructField("n_grams", LongType()), StructField("known", DoubleType()),
-                         StructField("gram", LongType()), StructField("n", LongType())])
+            yield batch_of(*merged(held))
+
+    told = docs.select("text").mapInArrow(run, f"{key} long, n long, ends long")
+    return told.groupBy(key).agg(F.sum("n").alias("n"), F.sum("ends").alias("ends"))
+
+
+def ending(sizes: np.ndarray) -> np.ndarray:
+    """Whether a word is the last of its text."""
+    out = np.zeros(int(sizes.sum()), np.int64)
+    out[np.cumsum(sizes)[sizes > 0] - 1] = 1
+    return out
+
+
+class Codes:
+    """Codes of frequent words, and which of them are hot."""
+
+    def __init__(self, word: np.ndarray, hot: np.ndarray):
+        order = np.argsort(word)
+        self.word = word[order]
+        self.hot = np.concatenate(([False, True], hot[order]))  # of no code, of the start, of the words
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        if not len(self.word):
+            return np.zeros(len(h), np.int64)
+        at = np.minimum(np.searchsorted(self.word, h), len(self.word) - 1)
+        return np.where(self.word[at] == h, at + START + 1, 0)
+
+    def pairs(self, h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(hash of the word before, code before, code) of every word."""
+        code = self.of(h)
+        before, code_before = np.roll(h, 1), np.roll(code, 1)
+        first = (np.cumsum(sizes) - sizes)[sizes > 0]
+        before[first], code_before[first] = 0, START
+        return before, code_before, code
+
+
+def exploded(docs: DataFrame, codes: Codes, doc: str) -> DataFrame:
+    """One row for each document (``pair`` -1, ``n`` its words) and for each distinct pair of a document.
+
+    ``pair`` holds both codes, ``word`` the second word's hash if it has no code, ``place`` what the row is partitioned by."""
+    schema = StructType([*(StructField(c, LongType()) for c in ("place", "pair", "word", "row", "n")), docs.schema[doc]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        look, number = known.look(), TaskContext.get().partitionId() << 33
+        hasher, number = Hasher(), TaskContext.get().partitionId() << 33
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                keys, sizes = grams(list(texts(part)))
-                owner = np.repeat(np.arange(len(sizes)), sizes)
-                sure, value = look(keys)
-                sums = np.bincount(owner, weights=value, minlength=len(sizes))
-                rare, whose = keys[~sure], owner[~sure]
-                order = np.lexsort((rare, whose))
-                rare, whose = rare[order], whose[order]
-                new = np.ones(len(rare), bool)
-                new[1:] = (rare[1:] != rare[:-1]) | (whose[1:] != whose[:-1])
-                first = np.flatnonzero(new)
-                times = np.diff(np.append(first, len(rare)))
-                rows = number + np.arange(len(sizes))
-                number += len(sizes)
-                n, m = len(sizes), len(first)
-                ids = part.column(0)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(rows), ids, pa.array(sizes), pa.array(sums), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], names=schema.names)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(rows[whose[first]]), pa.nulls(m, ids.type), pa.nulls(m, pa.int64()), pa.nulls(m, pa.float64()),
-                    pa.array(rare[first].view(np.int64)), pa.array(times.astype(np.int64))], names=schema.names)
-
-    told = stage.put(docs.mapInArrow(run, schema))
-    rare = (told.where(F.col("gram").isNotNull()).select("row", "gram", "n").join(table.select("gram", F.col("score").alias("s")), "gram")
-            .groupBy("row").agg(F.sum(F.col("n") * F.col("s")).alias("rare")))
-    whole = told.where(F.col("gram").isNull()).join(rare, "row", "left")
-    total_score = F.col("known") + F.coalesce("rare", F.lit(0.0))
-    return whole.select(doc, "n_grams", total_score.alias("score"), (total_score / F.nullif(F.col("n_grams"), F.lit(0))).alias("mean_score"))
+                h, sizes = hasher.words(list(raw_texts(part)))
+                count = len(sizes)
+                row = number + np.arange(count)
+                number += count
+                before, first, second = codes.pairs(h, sizes)
+                owner = np.repeat(np.arange(count), sizes)
+                told_before = np.where(first > 0, first.astype(np.uint64), before)
+                told = np.where(second > 0, second.astype(np.uint64), h)
+                key = mixed(mixed(mixed(told_before) + told) + owner.astype(np.uint64))
+                _, pick, times = np.unique(key, return_index=True, return_counts=True)
+                order = np.argsort(pick)
+                pick, times = pick[order], times[order]
+                before, first, second, h, owner = before[pick], first[pick], second[pick], h[pick].view(np.int64), owner[pick]
+                pair = (first << CODE) | second
+                word = np.where(second > 0, 0, h)
+                hot = codes.hot[first] & codes.hot[second]
+                place = np.where(first == 0, before.view(np.int64), np.where(second == 0, h, np.where(hot, row[owner], pair)))
+                whole = np.zeros(count, np.int64)
+                yield pa.RecordBatch.from_arrays([*map(pa.array, (row, whole - 1, whole, row, sizes)), part.column(0)], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*map(pa.array, (place, pair, word, row[owner], times)), pa.nulls(len(pick), part.column(0).type)],
+                                                 names=schema.names)
+
+    return docs.mapInArrow(run, schema)
+
+
+def score(docs: DataFrame, doc: str = "doc_id", text: str = "text", least: int = LEAST, alpha: float = ALPHA,
+          frequent: int = FREQUENT, hot: int = HOT) -> DataFrame:
+    """One row for each document: ``doc``, ``n_grams long`` (its words), ``score double`` (the sum of their log scores) and
+    ``mean_score double`` (null without words). Null and empty texts and texts of nothing but white space have no words and score
+    0. Rows stay as they are, with repeated or null ids too, and repeated texts are counted as often as they stand. An empty
+    table gives an empty table. Other columns are left out, whatever their names.
+
+    ``frequent`` and ``hot`` bound what is broadcast and spread hot keys; scores do not depend on them.
+    """
+    spark = docs.sparkSession
+    stage = Stage(spark, "ngram")
+    docs = docs.select(F.col(f"`{doc}`").alias(doc), F.col(f"`{text}`").alias("text"))
+    words = stage.put(counted(docs, lambda h, sizes: (h, ending(sizes)), "word"))
+    total, begun = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("ends"), F.lit(0))).first()
+    known = words.where(F.col("n") * frequent >= total).toPandas().sort_values("word", key=lambda s: s.to_numpy(np.int64).view(np.uint64))
+    n = known["n"].to_numpy(np.int64)
+    codes = Codes(known["word"].to_numpy(np.int64).view(np.uint64), n * hot >= total)
+    coded = [(START, None, int(begun)), *((i + START + 1, int(a), int(a - e)) for i, (a, e) in enumerate(zip(n, known["ends"], strict=True)))]
+    coded = spark.createDataFrame(coded, "code long, n_coded long, begins long")  # ``frequent`` rows and one
+
+    def hot_pairs(h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        _, first, second = codes.pairs(h, sizes)
+        both = codes.hot[first] & codes.hot[second]
+        pair = ((first << CODE) | second)[both].view(np.uint64)
+        return pair, np.zeros(len(pair))
+
+    hot_n = stage.put(counted(docs, hot_pairs, "pair")).select("pair", F.col("n").alias("n_hot"))  # (``hot`` + 1) * ``hot`` rows at most
+    before = F.shiftright("pair", CODE)
+    code = F.when(F.col("pair") >= 0, F.col("pair").bitwiseAND((1 << CODE) - 1))
+    pairs = exploded(docs, codes, doc).withColumn("before", before).repartition("place")
+    here = ["place", "before"]
+    met = (pairs.withColumn("n_pair", F.sum("n").over(Window.partitionBy(*here, "pair", "word")))
+           .withColumn("n_begin", F.sum("n").over(Window.partitionBy(*here)))
+           .join(F.broadcast(hot_n), "pair", "left").withColumn("code", code)
+           .join(F.broadcast(coded.select(F.col("code").alias("before"), "begins")), "before", "left")
+           .join(F.broadcast(coded.select("code", "n_coded")), "code", "left"))
+    n_pair, n_begin = F.coalesce("n_hot", "n_pair"), F.coalesce("begins", "n_begin")
+    log_all = math.log(max(total, 1))
+    is_doc, enough, rare = F.col("pair") < 0, n_pair >= least, F.col("word") != 0
+    value = (F.when(is_doc, 0.0).when(enough, F.log(n_pair.cast("double") / n_begin)).when(rare, math.log(alpha) - log_all)
+             .otherwise(math.log(alpha) + F.log("n_coded") - log_all))
+    open_word = F.when(~is_doc & ~enough & rare, F.col("word"))
+    sums = stage.put(met.select("row", open_word.alias("open"), (value * F.col("n")).alias("value"), F.when(~is_doc, F.col("n")).alias("n"),
+                                F.when(is_doc, F.struct(F.col(doc).alias("id"), F.col("n").alias("n_grams"))).alias("whole"))
+                     .groupBy("row", "open").agg(F.sum("value").alias("value"), F.sum("n").alias("n"), F.first("whole", True).alias("whole")))
+    back = (sums.where("open is not null").join(words.select(F.col("word").alias("open"), F.col("n").alias("n_word")), "open")
+            .select("row", (F.col("value") + F.col("n") * F.log("n_word")).alias("value"), F.lit(None).cast(sums.schema["whole"].dataType).alias("whole")))
+    out = (sums.where("open is null").select("row", "value", "whole").unionByName(back)
+           .groupBy("row").agg(F.sum("value").alias("score"), F.first("whole", True).alias("whole")))
+    return out.select(F.col("whole.id").alias(doc), F.col("whole.n_grams").alias("n_grams"), "score",
+                      (F.col("score") / F.nullif(F.col("whole.n_grams"), F.lit(0))).alias("mean_score"))

@@ -119,34 +119,25 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding.grouped(read(spark, sf_dir, "embeddings"))
 
 
-OP8 = """
-WITH docs AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE length(text) > 0),
-chars AS (SELECT doc_id, string_split(chr(1) || chr(1) || chr(1) || text, '') AS c, n FROM docs),
-grams AS (SELECT doc_id, unnest(list_transform(range(1, n + 1), lambda i: c[i] || c[i + 1] || c[i + 2] || c[i + 3])) AS g FROM chars),
-c4 AS (SELECT g, count(*) AS n FROM grams GROUP BY g),
-c3 AS (SELECT substr(g, 2, 3) AS g, sum(n) AS n FROM c4 GROUP BY 1),
-c2 AS (SELECT substr(g, 2, 2) AS g, sum(n) AS n FROM c3 GROUP BY 1),
-c1 AS (SELECT substr(g, 2, 1) AS g, sum(n) AS n FROM c2 GROUP BY 1),
-starts AS (SELECT chr(1) AS g, count(*) AS n FROM docs),
-x1 AS (SELECT * FROM c1 UNION ALL SELECT * FROM starts),
-x2 AS (SELECT * FROM c2 UNION ALL SELECT repeat(g, 2), n FROM starts),
-x3 AS (SELECT * FROM c3 UNION ALL SELECT repeat(g, 3), n FROM starts),
-s1 AS (SELECT g, ln(n::DOUBLE / (SELECT sum(n) FROM c1)) AS s FROM c1),
-s2 AS (SELECT c2.g, CASE WHEN c2.n >= 2 THEN ln(c2.n::DOUBLE / x1.n) ELSE ln(0.4) + s1.s END AS s
-       FROM c2 JOIN x1 ON x1.g = substr(c2.g, 1, 1) JOIN s1 ON s1.g = substr(c2.g, 2, 1)),
-s3 AS (SELECT c3.g, CASE WHEN c3.n >= 2 THEN ln(c3.n::DOUBLE / x2.n) ELSE ln(0.4) + s2.s END AS s
-       FROM c3 JOIN x2 ON x2.g = substr(c3.g, 1, 2) JOIN s2 ON s2.g = substr(c3.g, 2, 2)),
-s4 AS (SELECT c4.g, CASE WHEN c4.n >= 2 THEN ln(c4.n::DOUBLE / x3.n) ELSE ln(0.4) + s3.s END AS s
-       FROM c4 JOIN x3 ON x3.g = substr(c4.g, 1, 3) JOIN s3 ON s3.g = substr(c4.g, 2, 3)),
-sums AS (SELECT doc_id, count(*) AS n, sum(s) AS s FROM grams JOIN s4 USING (g) GROUP BY doc_id)
+OP8 = r"""
+WITH texts AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS x FROM documents),
+g AS (SELECT doc_id, unnest([' '] || x[1:len(x) - 1]) AS b, unnest(x) AS w FROM texts WHERE len(x) > 0),
+pairs AS (SELECT b, w, count(*) AS n FROM g GROUP BY b, w),
+begins AS (SELECT b, count(*) AS n FROM g GROUP BY b),
+words AS (SELECT w, count(*) AS n FROM g GROUP BY w),
+scored AS (
+  SELECT p.b, p.w, CASE WHEN p.n >= 2 THEN ln(p.n::DOUBLE / begins.n)
+                        ELSE ln(0.4) + ln(words.n::DOUBLE / (SELECT count(*) FROM g)) END AS s
+  FROM pairs p JOIN begins ON begins.b = p.b JOIN words ON words.w = p.w
+), sums AS (SELECT doc_id, count(*) AS n, sum(s) AS s FROM g JOIN scored ON scored.b = g.b AND scored.w = g.w GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n, 0) AS n_grams, round(coalesce(s, 0), 3) AS score, round(s / n, 6) AS mean_score
-FROM documents d LEFT JOIN sums USING (doc_id)
+FROM documents d LEFT JOIN sums ON sums.doc_id = d.doc_id
 """
 
 
 @query("op8_ngram_lm", OP8)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's stupid-backoff score under the character model of all documents."""
+    """Every document's stupid-backoff score under the model of word pairs of all documents."""
     told = ngram_lm.score(read(spark, sf_dir, "documents"))
     return told.select("doc_id", "n_grams", F.round("score", 3).alias("score"), F.round("mean_score", 6).alias("mean_score"))
 

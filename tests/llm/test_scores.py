@@ -1,6 +1,7 @@
 """Language ID, toxicity and n-gram scores: held-out accuracy, brute force and odd rows."""
 
 import math
+import re
 from collections import Counter
 
 import numpy as np
@@ -74,32 +75,37 @@ def test_near_you_and_masked_words_are_seen():
 
 
 def brute(texts):
-    pad = "\0" * 3
-    grams = [[(pad + t)[i : i + 4] for i in range(len(t))] for t in texts]
-    c = {4: Counter(g for d in grams for g in d)}
-    for k in (3, 2, 1):
-        c[k] = Counter()
-        for g, n in c[k + 1].items():
-            c[k][g[1:]] += n
-    starts = sum(bool(t) for t in texts)
-
-    def score(g):
-        if len(g) == 1:
-            return math.log(c[1][g] / sum(c[1].values()))
-        if c[len(g)][g] >= 2:
-            ctx = g[:-1]
-            return math.log(c[len(g)][g] / (starts if ctx.strip("\0") == "" else c[len(ctx)][ctx]))
-        return math.log(0.4) + score(g[1:])
-
-    return [sum(map(score, d)) for d in grams]
-
-
-@pytest.mark.parametrize("common", [1 << 18, 20, 1])
-def test_ngram_scores_against_brute_force(spark, common):
-    texts = ["", "abcab", "abcabd", "the cat sat", "the cat sat", "a", "été à la plage", "zq" * 500, None]
-    df = spark.createDataFrame([(i % 8, t, "n") for i, t in enumerate(texts)], "doc_id long, text string, gram string").repartition(3)
-    got = ngram_lm.score(df, common=common).collect()
-    want = sorted((i % 8, len(t or ""), round(s, 6)) for (i, t), s in zip(enumerate(texts), brute([t or "" for t in texts]), strict=True))
-    assert sorted((r["doc_id"], r["n_grams"], round(r["score"], 6)) for r in got) == want
+    docs = [re.findall(r"[^\x20\x09-\x0D]+", t) for t in texts]
+    grams = [list(zip([None, *d], d)) for d in docs]  # noqa: B905
+    pair = Counter(g for d in grams for g in d)
+    begins = Counter(b for d in grams for b, _ in d)
+    word = Counter(w for d in docs for w in d)
+
+    def score(b, w):
+        return math.log(pair[b, w] / begins[b]) if pair[b, w] >= 2 else math.log(0.4) + math.log(word[w] / word.total())
+
+    return [(len(d), sum(score(*g) for g in d)) for d in grams]
+
+
+@pytest.mark.parametrize(("frequent", "hot"), [(1 << 16, 1 << 9), (20, 6), (8, 8), (1, 1)])
+def test_ngram_scores_against_brute_force(spark, frequent, hot):
+    texts = ["", "a b c a b", "a b c\td\n", "the cat sat", "the cat sat", "a", "été à la plage \x00 à la", "zq " * 500, None, " \x0b\n ", "\u2028 \u00a0x the cat"]
+    df = spark.createDataFrame([(i % 8, t, "n") for i, t in enumerate(texts)], "doc_id long, text string, pair string").repartition(3)
+    got = ngram_lm.score(df, frequent=frequent, hot=hot).collect()
+    want = sorted((i % 8, n, round(s, 6) + 0.0) for i, (n, s) in enumerate(brute([t or "" for t in texts])))
+    assert sorted((r["doc_id"], r["n_grams"], round(r["score"], 6) + 0.0) for r in got) == want
     assert all((r["mean_score"] is None) == (r["n_grams"] == 0) for r in got)
     assert ngram_lm.score(df.limit(0)).count() == 0
+
+
+def test_word_hashes_of_pieces(monkeypatch):
+    rng = np.random.default_rng(3)
+    texts = ["".join(rng.choice(list("ab \n"), n)).encode() for n in (0, 1, 5, 40, 300, 2000, 7, 0)]
+    whole, sizes = ngram_lm.Hasher().words(texts)
+    words = [w for t in texts for w in t.split()]
+    assert sizes.tolist() == [len(t.split()) for t in texts] and len(whole) == len(words)
+    assert len(set(zip(words, whole.tolist(), strict=True))) == len(set(words)) == len(set(whole.tolist()))
+    monkeypatch.setattr(ngram_lm, "PIECE", 64)
+    monkeypatch.setattr(ngram_lm.pieces, "__defaults__", (64,))
+    again, sizes_again = ngram_lm.Hasher().words(texts)
+    assert (again == whole).all() and (sizes_again == sizes).all()
