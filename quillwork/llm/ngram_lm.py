@@ -5,15 +5,16 @@ if its pair stands ``LEAST`` times or more in the corpus, else log(ALPHA) plus l
 a mark that counts as a word before its first. Words are told apart by 63 bits of a hash.
 
 1. Count words: a map counts by the slice, Spark sums by hash of the word.
-2. Explode: one row for each document and distinct pair. Words that make up ``1 / FREQUENT`` of all words or more, at most
-   ``FREQUENT`` of them, are written as short codes, so a row of two of them shuffles few bytes.
+2. Explode: the distinct pairs of a stretch of documents, each with the documents it stands in. Words that make up
+   ``1 / FREQUENT`` of all words or more, at most ``FREQUENT`` of them, are written as short codes, so that a row of two of them
+   shuffles few bytes.
 3. Count pairs: exploded pairs are hash-partitioned once, by their first word if that is rare, so that the pairs' and the
    contexts' counts lie where the exploded pairs lie and are met there without another shuffle. A frequent first word would be
    a hot key: its pairs are spread by their second word, and its own count comes from the frequent words' table by a join.
    Pairs of two words that each make up ``1 / HOT`` or more (at most ``HOT`` squared of them) are hot keys themselves: they are
    counted beforehand, their rows lie on all partitions and meet the counts by a broadcast join.
-4. Back off: what is left with a rare second word is joined to the words' table by hash. Sums per document are combined
-   before their shuffle.
+4. Back off: a rare second word after a frequent one has its count where its pairs lie; after a rare one it is joined to the words'
+   table by hash. Sums per document are combined before their shuffle.
 """
 
 from __future__ import annotations
@@ -26,16 +27,17 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from quillwork.llm.common import Stage, raw_texts
 
 LEAST, ALPHA = 2, 0.4
-FREQUENT, HOT = 1 << 16, 1 << 9
+FREQUENT, HOT = 1 << 18, 1 << 9
 START = 1  # the code before a document's first word; frequent words have the codes from 2 on, rare words none (0)
 CODE = 20  # bits of a code
 SLICE = 256
 PIECE = 1 << 22  # bytes hashed at a time
+CHUNK = 1 << 20  # words whose pairs are put together before they are shuffled
 MERGE = 1 << 21  # distinct keys a task holds before it gives its counts away
 
 SPACE = np.zeros(256, dtype=bool)
@@ -180,38 +182,65 @@ class Codes:
         return before, code_before, code
 
 
-def exploded(docs: DataFrame, codes: Codes, doc: str) -> DataFrame:
-    """One row for each document (``pair`` -1, ``n`` its words) and for each distinct pair of a document.
+def exploded(docs: DataFrame, codes: Codes) -> DataFrame:
+    """The distinct pairs of stretches of about ``CHUNK`` words, each with its documents.
 
-    ``pair`` holds both codes, ``word`` the second word's hash if it has no code, ``place`` what the row is partitioned by."""
-    schema = StructType([*(StructField(c, LongType()) for c in ("place", "pair", "word", "row", "n")), docs.schema[doc]])
+    ``pair`` holds both codes, ``word`` the second word's hash if neither has one, ``place`` what the row is partitioned by. A pair's
+    documents are ``entries``: how often it stands there, times 2**16, plus the document's number from ``base`` on. Two more kinds
+    of rows: documents (``pair`` -1, ``n`` its words) and second words without a code after a word without one (``pair`` -2)."""
+    long = LongType()
+    schema = StructType([*(StructField(c, long) for c in ("place", "pair", "word", "base", "n")), StructField("entries", ArrayType(long)), docs.schema["id"]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, number = Hasher(), TaskContext.get().partitionId() << 33
+        hasher, base = Hasher(), TaskContext.get().partitionId() << 33
+
+        def rows(place, pair, word, n, starts, entries, ids) -> pa.RecordBatch:
+            same = np.full(len(place), base)
+            lists = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(entries))
+            return pa.RecordBatch.from_arrays([*map(pa.array, (place, pair, word, same, n)), lists, ids], names=schema.names)
+
+        def give(held: list, ids: list) -> Iterator[pa.RecordBatch]:
+            before, first, second, h, owner, sizes = (np.concatenate(x) for x in zip(*held, strict=True))
+            ids = pa.concat_arrays(ids)
+            number = np.arange(len(sizes))
+            none = np.zeros(len(sizes), np.int64)
+            yield rows(base + number, none - 1, none, sizes, np.arange(len(sizes) + 1), sizes << 16 | number, ids)
+            pair = (first << CODE) | second
+            coded = (first > 0) & (second > 0)
+            told = mixed(mixed(np.where(first > 0, first.astype(np.uint64), before)) + np.where(second > 0, second.astype(np.uint64), h))
+            key = np.where(coded, pair.view(np.uint64), told | np.uint64(1 << 63))
+            order = np.argsort(key, kind="stable")
+            key, owner = key[order], owner[order]
+            new_key = np.concatenate(([True], key[1:] != key[:-1]))[: len(key)]
+            entry = np.flatnonzero(new_key | np.concatenate(([True], owner[1:] != owner[:-1]))[: len(key)])
+            times = np.diff(np.append(entry, len(key)))
+            at = np.flatnonzero(new_key[entry])  # a pair's first entry
+            pick = order[entry[at]]
+            before, first, second, h, pair = before[pick].view(np.int64), first[pick], second[pick], h[pick].view(np.int64), pair[pick]
+            n = np.add.reduceat(times, at) if len(at) else times
+            place = np.where(first == 0, before, np.where(second == 0, h, np.where(codes.hot[first] & codes.hot[second], base, pair)))
+            rare = (first == 0) & (second == 0)
+            nulls = lambda k: pa.nulls(k, ids.type)
+            yield rows(place, pair, np.where(rare, h, 0), n, np.append(at, len(entry)), times << 16 | owner[entry], nulls(len(at)))
+            word, where = np.unique(h[rare], return_inverse=True)
+            seen = np.bincount(where, weights=n[rare], minlength=len(word)).astype(np.int64)
+            none = np.zeros(len(word), np.int64)
+            yield rows(word, none - 2, none, seen, np.zeros(len(word) + 1), none[:0], nulls(len(word)))
+
+        held, ids, size, count = [], [], 0, 0
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
                 h, sizes = hasher.words(list(raw_texts(part)))
-                count = len(sizes)
-                row = number + np.arange(count)
-                number += count
-                before, first, second = codes.pairs(h, sizes)
-                owner = np.repeat(np.arange(count), sizes)
-                told_before = np.where(first > 0, first.astype(np.uint64), before)
-                told = np.where(second > 0, second.astype(np.uint64), h)
-                key = mixed(mixed(mixed(told_before) + told) + owner.astype(np.uint64))
-                _, pick, times = np.unique(key, return_index=True, return_counts=True)
-                order = np.argsort(pick)
-                pick, times = pick[order], times[order]
-                before, first, second, h, owner = before[pick], first[pick], second[pick], h[pick].view(np.int64), owner[pick]
-                pair = (first << CODE) | second
-                word = np.where(second > 0, 0, h)
-                hot = codes.hot[first] & codes.hot[second]
-                place = np.where(first == 0, before.view(np.int64), np.where(second == 0, h, np.where(hot, row[owner], pair)))
-                whole = np.zeros(count, np.int64)
-                yield pa.RecordBatch.from_arrays([*map(pa.array, (row, whole - 1, whole, row, sizes)), part.column(0)], names=schema.names)
-                yield pa.RecordBatch.from_arrays([*map(pa.array, (place, pair, word, row[owner], times)), pa.nulls(len(pick), part.column(0).type)],
-                                                 names=schema.names)
+                held.append((*codes.pairs(h, sizes), h, np.repeat(np.arange(count, count + len(sizes)), sizes), sizes))
+                ids.append(part.column(0))
+                size, count = size + len(h), count + len(sizes)
+                if size >= CHUNK or count > (1 << 16) - SLICE:
+                    yield from give(held, ids)
+                    base += count
+                    held, ids, size, count = [], [], 0, 0
+        if held:
+            yield from give(held, ids)
 
     return docs.mapInArrow(run, schema)
 
@@ -227,7 +256,7 @@ def score(docs: DataFrame, doc: str = "doc_id", text: str = "text", least: int =
     """
     spark = docs.sparkSession
     stage = Stage(spark, "ngram")
-    docs = docs.select(F.col(f"`{doc}`").alias(doc), F.col(f"`{text}`").alias("text"))
+    docs = docs.select(F.col(f"`{doc}`").alias("id"), F.col(f"`{text}`").alias("text"))
     words = stage.put(counted(docs, lambda h, sizes: (h, ending(sizes)), "word"))
     total, begun = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("ends"), F.lit(0))).first()
     known = words.where(F.col("n") * frequent >= total).toPandas().sort_values("word", key=lambda s: s.to_numpy(np.int64).view(np.uint64))
@@ -242,28 +271,31 @@ def score(docs: DataFrame, doc: str = "doc_id", text: str = "text", least: int =
         pair = ((first << CODE) | second)[both].view(np.uint64)
         return pair, np.zeros(len(pair))
 
-    hot_n = stage.put(counted(docs, hot_pairs, "pair")).select("pair", F.col("n").alias("n_hot"))  # (``hot`` + 1) * ``hot`` rows at most
-    before = F.shiftright("pair", CODE)
-    code = F.when(F.col("pair") >= 0, F.col("pair").bitwiseAND((1 << CODE) - 1))
-    pairs = exploded(docs, codes, doc).withColumn("before", before).repartition("place")
-    here = ["place", "before"]
-    met = (pairs.withColumn("n_pair", F.sum("n").over(Window.partitionBy(*here, "pair", "word")))
-           .withColumn("n_begin", F.sum("n").over(Window.partitionBy(*here)))
-           .join(F.broadcast(hot_n), "pair", "left").withColumn("code", code)
+    hot_n = stage.put(counted(docs, hot_pairs, "pair")).select("pair", F.col("n").alias("n_hot"))  # about ``hot`` squared rows at most
+    pairs = (exploded(docs, codes).repartition("place").withColumn("before", F.shiftright("pair", CODE))
+             .withColumn("code", F.when(F.col("pair") >= 0, F.col("pair").bitwiseAND((1 << CODE) - 1))))
+    seen = F.when((F.col("before") > 0) | (F.col("pair") == -2), F.col("n"))  # of a word without a code, wherever it is the second
+    met = (pairs.withColumn("n_pair", F.sum("n").over(Window.partitionBy("place", "before", "pair", "word")))
+           .withColumn("n_begin", F.sum("n").over(Window.partitionBy("place", "before")))
+           .withColumn("n_seen", F.sum(seen).over(Window.partitionBy("place")))
+           .join(F.broadcast(hot_n), "pair", "left")
            .join(F.broadcast(coded.select(F.col("code").alias("before"), "begins")), "before", "left")
            .join(F.broadcast(coded.select("code", "n_coded")), "code", "left"))
     n_pair, n_begin = F.coalesce("n_hot", "n_pair"), F.coalesce("begins", "n_begin")
     log_all = math.log(max(total, 1))
-    is_doc, enough, rare = F.col("pair") < 0, n_pair >= least, F.col("word") != 0
-    value = (F.when(is_doc, 0.0).when(enough, F.log(n_pair.cast("double") / n_begin)).when(rare, math.log(alpha) - log_all)
-             .otherwise(math.log(alpha) + F.log("n_coded") - log_all))
-    open_word = F.when(~is_doc & ~enough & rare, F.col("word"))
-    sums = stage.put(met.select("row", open_word.alias("open"), (value * F.col("n")).alias("value"), F.when(~is_doc, F.col("n")).alias("n"),
-                                F.when(is_doc, F.struct(F.col(doc).alias("id"), F.col("n").alias("n_grams"))).alias("whole"))
-                     .groupBy("row", "open").agg(F.sum("value").alias("value"), F.sum("n").alias("n"), F.first("whole", True).alias("whole")))
-    back = (sums.where("open is not null").join(words.select(F.col("word").alias("open"), F.col("n").alias("n_word")), "open")
-            .select("row", (F.col("value") + F.col("n") * F.log("n_word")).alias("value"), F.lit(None).cast(sums.schema["whole"].dataType).alias("whole")))
-    out = (sums.where("open is null").select("row", "value", "whole").unionByName(back)
-           .groupBy("row").agg(F.sum("value").alias("score"), F.first("whole", True).alias("whole")))
-    return out.select(F.col("whole.id").alias(doc), F.col("whole.n_grams").alias("n_grams"), "score",
-                      (F.col("score") / F.nullif(F.col("whole.n_grams"), F.lit(0))).alias("mean_score"))
+    is_doc, enough = F.col("pair") < 0, n_pair >= least
+    is_open = ~is_doc & ~enough & (F.col("word") != 0)
+    value = (F.when(is_doc, 0.0).when(enough, F.log(n_pair.cast("double") / n_begin))
+             .when(~is_open, F.log(F.coalesce("n_coded", "n_seen")) + (math.log(alpha) - log_all)))
+    each = met.select("base", F.when(is_open, F.col("word")).alias("open"), value.alias("value"), F.when(is_doc, F.col("n")).alias("n_grams"), "id",
+                      F.explode("entries").alias("e"))
+    times = F.shiftright("e", 16)
+    sums = stage.put(each.select((F.col("base") + F.col("e").bitwiseAND(0xFFFF)).alias("row"), "open", (F.col("value") * times).alias("value"),
+                                 F.when(F.col("open").isNotNull(), times).alias("n"), "n_grams", "id")
+                     .groupBy("row", "open").agg(F.sum("value").alias("value"), F.sum("n").alias("n"), F.max("n_grams").alias("n_grams"),
+                                                 F.first("id", True).alias("id")))
+    back = (sums.where("open is not null").select("row", "open", "n").join(words.select(F.col("word").alias("open"), F.col("n").alias("n_word")), "open")
+            .groupBy("row").agg(F.sum(F.col("n") * (F.log("n_word") + (math.log(alpha) - log_all))).alias("back")))
+    total_score = F.col("value") + F.coalesce("back", F.lit(0.0))
+    out = sums.where("open is null").join(back, "row", "left").select(F.col("id").alias(doc), "n_grams", total_score.alias("score"))
+    return out.withColumn("mean_score", F.col("score") / F.nullif(F.col("n_grams"), F.lit(0)))
