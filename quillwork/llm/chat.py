@@ -20,6 +20,7 @@ from pyspark.sql.types import StringType, StructField
 
 from quillwork.llm.common import Stage, append_columns
 
+DEEPEST = 200  # levels of nesting
 KINDS = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
 
 
@@ -35,6 +36,31 @@ def canonical(value: object) -> str:
     return json.dumps(plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
 
 
+def parsed(text: str) -> object:
+    """The value of a JSON text. ValueError for what is no JSON, what no double holds (``1e400``, NaN), lone surrogates, and more than
+    ``DEEPEST`` levels."""
+    def number(digits: str) -> float:
+        value = float(digits)
+        if math.isinf(value):
+            raise ValueError(digits)
+        return value
+
+    def refused(word: str) -> None:
+        raise ValueError(word)
+
+    try:
+        value = json.loads(text, parse_float=number, parse_constant=refused)
+    except RecursionError:
+        raise ValueError("nested too deep") from None
+    level = [value]
+    for _ in range(DEEPEST):
+        level = [x for v in level if isinstance(v, (dict, list)) for x in (v.values() if isinstance(v, dict) else v)]
+        if not level:
+            canonical(value).encode()  # a UnicodeEncodeError is a ValueError
+            return value
+    raise ValueError("nested too deep")
+
+
 def faults(value: object, schema: dict, at: str = "$") -> list[str]:
     """What a value breaks of a schema: type, enum, const, minimum, maximum, minLength, maxLength, required, properties,
     additionalProperties (false), items, minItems and maxItems."""
@@ -43,12 +69,13 @@ def faults(value: object, schema: dict, at: str = "$") -> list[str]:
     if want is not None:
         def fits(kind: str) -> bool:
             if kind in ("number", "integer"):
-                return isinstance(value, (int, float)) and not isinstance(value, bool) and (kind == "number" or float(value).is_integer())
+                return isinstance(value, (int, float)) and not isinstance(value, bool) and (kind == "number" or value == value // 1)
             return isinstance(value, KINDS[kind])
 
         if not any(map(fits, [want] if isinstance(want, str) else want)):
             return [f"{at}:type"]
-    if "enum" in schema and value not in schema["enum"] or "const" in schema and value != schema["const"]:
+    same = lambda x: canonical(x) == canonical(value)
+    if "enum" in schema and not any(map(same, schema["enum"])) or "const" in schema and not same(schema["const"]):
         out.append(f"{at}:enum")
     if isinstance(value, (int, float)) and not isinstance(value, bool):
         out += [f"{at}:minimum"] * (value < schema.get("minimum", -math.inf)) + [f"{at}:maximum"] * (value > schema.get("maximum", math.inf))
@@ -113,7 +140,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
     ``status`` of a call is ``repeated`` (not the first call of its id in the conversation by turn), ``no_id``,
     ``unanswered``, ``early`` (its result stands before it), ``circular``, ``unknown_after`` or ``linked``. That of a result
     row is ``orphan`` (no call has its id), ``repeated`` or ``no_id``. ``errors`` lists what the arguments break, joined by
-    ``;``: ``not_json``, ``unknown_tool``, or paths with the rule; null if nothing. ``position`` counts from 0 in a conversation by level
+    ``;``: ``not_json`` (see ``parsed``), ``unknown_tool``, or paths with the rule; null if nothing. ``position`` counts from 0 in a conversation by level
     (null last), turn, kind, id and copy. ``message`` holds the call, its parsed arguments (null if not JSON) and its
     result. Null turns stand first. Other columns are left out, whatever their names. Empty tables give an empty table.
     """
@@ -154,7 +181,7 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> Data
             wrong, value = [], None
             if r["kind"] == "call":
                 try:
-                    value = json.loads(r["arguments"] or "", parse_constant=lambda c: (_ for _ in ()).throw(ValueError(c)))
+                    value = parsed(r["arguments"] or "")
                 except ValueError:
                     wrong = ["not_json"]
                 if r["name"] not in schemas:

@@ -22,6 +22,24 @@ def test_faults():
     assert check({"a": 10, "b": [1], "d": 4}) == ["$.a:maximum", "$.b[0]:type", "$.d:type"]
 
 
+def test_equal_in_json():
+    assert chat.faults(True, {"enum": [1]}) == chat.faults(1, {"const": True}) == ["$:enum"]
+    assert chat.faults(1.0, {"enum": [1]}) == chat.faults({"a": [1]}, {"const": {"a": [1.0]}}) == []
+    assert chat.faults(10**400, {"type": "integer", "minimum": 0}) == [] and chat.faults(0.5, {"type": "integer"}) == ["$:type"]
+
+
+def test_arguments_that_cannot_be_written(spark):
+    bad = ['{"a": "\\ud800"}', '{"\\udfff": 1}', '{"a": 1e400}', '{"a": -Infinity}', "[" * 5000 + "]" * 5000, "[" * 300 + "]" * 300, "9" * 5000, ""]
+    good = ['{"a": "\\ud83d\\ude00"}', '{"a": 1' + "0" * 400 + "}", '{"a": 1e300}', '{"a": ' + "[" * 150 + "]" * 150 + "}"]
+    calls = [(1, i, f"c{i}", "any", a, None) for i, a in enumerate(bad + good)]
+    out = chat.link(spark.createDataFrame(calls, CALLS), spark.createDataFrame([], RESULTS), {"any": {"type": "object"}}).collect()
+    got = {r["turn"]: r["errors"] for r in out}
+    assert [got[i] for i in range(len(calls))] == ["not_json"] * len(bad) + [None] * len(good)
+    with_const = {"any": {"type": "object", "properties": {"a": {"type": "integer"}}}}
+    out = chat.link(spark.createDataFrame([calls[len(bad) + 1]], CALLS), spark.createDataFrame([], RESULTS), with_const).collect()
+    assert [r["errors"] for r in out] == [None]
+
+
 def test_canonical():
     assert chat.canonical({"b": [1.0, 0.5, None], "a": {"é": "\n\""}}) == '{"a":{"é":"\\n\\""},"b":[1,0.5,null]}'
 
