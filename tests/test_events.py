@@ -4,6 +4,7 @@ import random
 import uuid
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from quillwork.streaming import eta as E
@@ -162,6 +163,64 @@ def test_stream_of_progress_equals_batch(spark, tmp_path):
     assert key(got) == key(batch) and any(v[2] for v in key(batch).values())
 
 
+def told_one_by_one(readings):
+    """E4 reading by reading: {seq: (remaining, elapsed, confident)} of one run's (ts, seq, p) in order."""
+    out, start, last, rate, shown, known = {}, None, None, None, None, False
+    for t, seq, p in sorted(readings):
+        p = min(max(p, 0.0), 1.0)
+        if start is None:
+            start, last = t, (t, p)
+            out[seq] = (None, 0, False)
+            continue
+        if t > last[0] and p > last[1]:
+            v = (p - last[1]) / (t - last[0])
+            rate, last = v if rate is None else rate + 0.25 * (v - rate), (t, p)
+        if rate is None or p < 0.06 or t - start < 600 or p >= 1:
+            out[seq] = (None, t - start, False)
+            continue
+        left = (1 - p) / rate
+        if shown is not None:
+            aged = max(0.0, shown[0] - (t - shown[1]))
+            left = left if left < aged else aged + (left - aged) * 0.18
+        shown = (max(0.0, left), t)
+        known = known or shown[0] >= 1500
+        out[seq] = (shown[0], t - start, known)
+    return out
+
+
+@pytest.mark.parametrize("size", [1, 3, 40, 10_000])
+def test_a_run_over_many_blocks(spark, size):
+    """Blocks of one reading up to all of them; steady, falling and jumping progress, many readings a millisecond, short runs."""
+    rnd = random.Random(11)
+    rows = []
+    for run, (n, gap, back) in enumerate([(150, 90, 0.0), (150, 2, 0.5), (120, 400, 0.02), (90, 1, 1.0), (1, 5, 0), (2, 900, 0), (7, 700, 0.1)]):
+        t, p = 1_700_000_000_000, 0.0
+        for _ in range(n):
+            t += rnd.randrange(gap + 1) if gap > 2 else rnd.choice([0, 0, 0, 300])
+            p = rnd.random() if back == 1.0 else min(1.1, max(-0.1, p + rnd.uniform(-back / 4, 0.02)))
+            rows.append((run, len(rows), t, p))
+    df = spark.createDataFrame(rows, "run_id bigint, seq bigint, ts_ms bigint, p double")
+    got = {r.seq: r for r in E.progress_eta(df, size).collect()}
+    want = {}
+    for run in range(7):
+        want |= told_one_by_one([(t, s, p) for r, s, t, p in rows if r == run])
+    assert got.keys() == want.keys() and sum(w[2] for w in want.values()) > 50
+    for seq, (left, elapsed, known) in want.items():
+        r = got[seq]
+        assert (r.elapsed_ms, r.confident) == (elapsed, known), seq
+        assert (r.remaining_ms is None) == (left is None) and (left is None or r.remaining_ms == pytest.approx(left, rel=1e-9, abs=1e-6)), seq
+
+
+def test_readings_without_run_time_or_progress(spark):
+    schema = "run_id bigint, seq bigint, ts_ms bigint, p double"
+    rows = [(1, 0, 0, 0.0), (1, 1, None, 0.5), (1, 2, 4000, None), (1, 3, 5000, 0.5), (None, 4, 0, 0.0), (None, 5, 5000, 0.25)]
+    for size in (1, 100):
+        got = {r.seq: (r.run_id, r.remaining_ms, r.elapsed_ms, r.confident) for r in E.progress_eta(spark.createDataFrame(rows, schema), size).collect()}
+        assert got == {0: ("1", None, 0, False), 1: ("1", None, None, False), 2: ("1", None, 4000, False), 3: ("1", 5000.0, 5000, True),
+                       4: (None, None, 0, False), 5: (None, 15000.0, 5000, True)}
+    assert E.progress_eta(spark.createDataFrame([], schema)).count() == 0
+
+
 def test_linear_progress_is_estimated_right(spark):
     rows = [(1, i, i * 500, i / 40) for i in range(40)]
     e = E.progress_eta(spark.createDataFrame(rows, "run_id bigint, seq bigint, ts_ms bigint, p double")).where("confident").collect()
