@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from quillwork.functions import dims
 from quillwork.functions.num import overlap_ratio
+from quillwork.functions.shuffle import held
 from quillwork.operators.raster import _slide
 
 # --- fixed values -----------------------------------------------------------------------
@@ -89,36 +90,31 @@ def _median(xs: list) -> float:
     return (s[(len(s) - 1) // 2] + s[len(s) // 2]) / 2 if s else 0.0
 
 
-def _fuse_bands(row):
-    items = [dict(y0=b["y0"], y1=b["y1"], n=b["n"]) for b in row.bands]
-    fused = 0
-    while len(items) > row.want:
-        height = _median([b["y1"] - b["y0"] for b in items])
-        open_ = [(b["y0"] - a["y1"], i) for i, (a, b) in enumerate(zip(items, items[1:]))
-                 if a["n"] < row.sparsest - 1 or b["n"] < row.sparsest - 1]
-        if not open_ or min(open_)[0] > height * BAND_GAP:
-            break
-        i = min(open_)[1]
-        a, b = items[i], items.pop(i + 1)
-        items[i] = dict(y0=a["y0"], y1=b["y1"], n=a["n"] + b["n"])
-        fused += 1
-    dropped = max(0, len(items) - row.want)
-    if dropped:
-        best = sorted(range(len(items)), key=lambda i: -items[i]["n"])[:row.want]
-        items = [items[i] for i in sorted(best)]
-    return [(row.scan_id, i, b["y0"], b["y1"], b["n"], fused, dropped) for i, b in enumerate(items)]
-
-
 def reconcile_bands(counted: DataFrame, pages: DataFrame) -> DataFrame:
     """As many bands as the sheet has rows: close sparse ones fused, then the densest kept.
 
-    pages(scan_id, sheet_no). Output bands are numbered as rows, with how many were fused or dropped.
+    pages(scan_id, sheet_no). Output bands are numbered as rows, with how many were fused or dropped. A page's bands are one array
+    (bounded by its height). Each turn looks at the gaps beside a band too sparse for a row and closes the narrowest, the upper
+    one of equals, while it is narrow against the page's median band; what is over is then left out by count of marks.
     """
     want = sheet_rows(pages.sparkSession).groupBy("sheet_no").agg(
         F.count("*").alias("want"), F.min("want").alias("sparsest"))
-    b = counted.groupBy("scan_id").agg(F.sort_array(F.collect_list(F.struct("y0", "y1", "n"))).alias("bands"))
-    b = b.join(pages.join(F.broadcast(want), "sheet_no"), "scan_id").select("scan_id", "want", "sparsest", "bands")
-    return _each(b, _fuse_bands, "scan_id bigint, rw int, y0 int, y1 int, n int, fused int, dropped int")
+    b = counted.groupBy("scan_id").agg(F.sort_array(F.collect_list(
+        F.struct("y0", "y1", F.col("n").cast("int").alias("n")))).alias("bands"))
+    b = b.join(pages.join(F.broadcast(want), "sheet_no"), "scan_id")
+    gaps = ("filter(transform(sequence(0, size(s.bands) - 2), i -> struct(s.bands[i + 1].y0 - s.bands[i].y1 AS gap, i AS i,"
+            " least(s.bands[i].n, s.bands[i + 1].n) AS fewest)), g -> g.fewest < sparsest - 1)")
+    heights = "array_sort(transform(s.bands, v -> v.y1 - v.y0))"
+    closed = ("struct(concat(slice(s.bands, 1, g.i), array(struct(s.bands[g.i].y0 AS y0, s.bands[g.i + 1].y1 AS y1,"
+              " s.bands[g.i].n + s.bands[g.i + 1].n AS n)), slice(s.bands, g.i + 3, size(s.bands))) AS bands, s.fused + 1 AS fused)")
+    turn = (f"transform(array(struct(array_min({gaps}) AS g, {heights} AS h)), k -> IF("
+            f"k.g.gap <= (k.h[(size(k.h) - 1) div 2] + k.h[size(k.h) div 2]) / 2D * {BAND_GAP}D, {closed.replace('g.i', 'k.g.i')}, s))[0]")
+    b = held(b, met=f"aggregate(sequence(1, greatest(1, size(bands) - want)), struct(bands, 0 AS fused),"
+                    f" (s, _) -> IF(size(s.bands) > want, {turn}, s))")
+    densest = "slice(array_sort(transform(met.bands, (v, i) -> struct(-v.n AS few, i AS i))), 1, cast(want AS int))"
+    return held(b, kept=f"array_sort(transform({densest}, d -> met.bands[d.i]))").selectExpr(
+        "scan_id", "met.fused", "greatest(0, size(met.bands) - cast(want AS int)) AS dropped", "posexplode(kept) AS (rw, v)").selectExpr(
+        "scan_id", "rw", "v.y0", "v.y1", "v.n", "fused", "dropped")
 
 
 def assign_band(bands: DataFrame, comps: DataFrame) -> DataFrame:

@@ -158,15 +158,39 @@ def component_cap(spark, sf):
     return G.component_cap(A.text_runs(spark, sf), p)
 
 
-def _bands(spark, sf):
-    return G.reconcile_bands(G.band_counts(G.find_lines(page_labels(spark, sf)), marks(spark, sf)), pages(spark, sf))
-
-
-@query("reconcile_bands", f"""WITH RECURSIVE {BANDS},
-n AS (SELECT b.scan_id, b.band, b.y0, b.y1, count(c.comp_id) AS n FROM bands b LEFT JOIN comp c ON c.scan_id = b.scan_id AND cy >= b.y0 AND cy < b.y1 GROUP BY ALL)
-SELECT scan_id, 0 AS rw, y0, y1, n, 0 AS fused, 0 AS dropped FROM n WHERE band = 0 AND (SELECT max(band) FROM bands) = 0""")
+BAND_LINES = """counted AS (SELECT l_orderkey AS scan_id, y0, y0 + height AS y1, n FROM (
+  SELECT *, sum(height + gap) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, n
+    ROWS UNBOUNDED PRECEDING) - height - gap AS y0 FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, (20 + l_partkey % 21)::INT AS height, (l_suppkey % 3 * 7 + 2)::INT AS gap, (l_quantity::INT % 15)::INT AS n FROM lineitem)))"""
+
+
+def band_lines(spark, sf):
+    """Bands of writing from order lines: an order is a page, a line a band whose height, gap below and marks come from its part,
+    supplier and quantity. Pages hold few bands and many, close and far, sparse and full."""
+    line = A.table(spark, sf, "lineitem").selectExpr(
+        "l_orderkey AS scan_id", "l_linenumber", "l_partkey", "l_suppkey", "cast(20 + l_partkey % 21 AS int) AS height",
+        "cast(l_suppkey % 3 * 7 + 2 AS int) AS gap", "cast(cast(round(l_quantity) AS int) % 15 AS int) AS n")
+    above = F.sum(F.col("height") + F.col("gap")).over(W.partitionBy("scan_id").orderBy(
+        "l_linenumber", "l_partkey", "l_suppkey", "n").rowsBetween(W.unboundedPreceding, 0)) - F.col("height") - F.col("gap")
+    return line.withColumn("y0", above.cast("int")).selectExpr("scan_id", "y0", "y0 + height AS y1", "n")
+
+
+@query("reconcile_bands", f"""WITH RECURSIVE {C.SHEETS}, {BAND_LINES},
+want AS (SELECT sheet_no, count(*) AS want, min(n) AS sparsest FROM (SELECT sheet_no, rw, count(*) AS n FROM sheets GROUP BY ALL) GROUP BY 1),
+page AS (SELECT scan_id, list(struct_pack(y0 := y0, y1 := y1, n := n) ORDER BY y0) AS b FROM counted GROUP BY 1),
+rec AS (
+  SELECT scan_id, want, sparsest, b, 0 AS fused FROM page JOIN want ON sheet_no = scan_id % 15
+  UNION ALL
+  SELECT scan_id, want, sparsest, list_concat(list_concat(b[:g.i - 1], [struct_pack(y0 := b[g.i].y0, y1 := b[g.i + 1].y1, n := b[g.i].n + b[g.i + 1].n)]), b[g.i + 2:]), fused + 1
+  FROM (SELECT *, list_min(list_transform(list_filter(range(1, len(b)), lambda i: b[i].n < sparsest - 1 OR b[i + 1].n < sparsest - 1),
+      lambda i: struct_pack(gap := b[i + 1].y0 - b[i].y1, i := i))) AS g FROM rec WHERE len(b) > want)
+  WHERE g.gap <= list_median(list_transform(b, lambda x: x.y1 - x.y0)) * 0.45::DOUBLE),
+met AS (SELECT scan_id, any_value(want) AS want, arg_max(b, fused) AS b, max(fused) AS fused FROM rec GROUP BY 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY v.n DESC, v.y0) AS place FROM (SELECT scan_id, want, fused, len(b) AS bands, unnest(b) AS v FROM met))
+SELECT scan_id, row_number() OVER (PARTITION BY scan_id ORDER BY v.y0) - 1 AS rw, v.y0, v.y1, v.n, fused, greatest(0, bands - want) AS dropped
+FROM r WHERE place <= want""")
 def reconcile_bands(spark, sf):
-    return _bands(spark, sf)
+    pages = A.table(spark, sf, "lineitem").selectExpr("l_orderkey AS scan_id", "cast(l_orderkey % 15 AS int) AS sheet_no").distinct()
+    return G.reconcile_bands(band_lines(spark, sf), pages)
 
 
 @query("assign_band", f"""WITH RECURSIVE {BANDS},

@@ -1,5 +1,7 @@
 """Page operators against plain numpy on small pages."""
 
+import random
+import statistics
 import struct
 import zlib
 
@@ -215,3 +217,35 @@ def test_blank_rows_keep_their_place(spark):
     bands = spark.createDataFrame([(7, 0), (7, 1), (7, 2)], "scan_id bigint, rw int")
     groups = spark.createDataFrame([(7, 0, 5), (7, 0, 5), (7, 2, 4)], "scan_id bigint, rw int, observed int")
     assert sorted((r.rw, r.n) for r in G.observed_rows(bands, groups).collect()) == [(0, 5), (1, 0), (2, 4)]
+
+
+def test_bands_of_every_kind(spark):
+    """Random pages against the rule taken step by step: the narrowest open gap first, then the densest bands."""
+    rnd = random.Random(3)
+    want = {r.sheet_no: (r.rows, r.sparsest) for r in G.sheet_rows(spark).groupBy("sheet_no").agg(
+        F.count("*").alias("rows"), F.min("want").alias("sparsest")).collect()}
+    counted, pages, due = [], [], {}
+    for scan in range(60):
+        sheet, y, bands = rnd.choice(sorted(want)), 0, []
+        for _ in range(rnd.randrange(1, 9)):
+            h = rnd.randrange(20, 40)
+            bands.append((y, y + h, rnd.randrange(0, 14)))
+            y += h + rnd.choice([1, 4, 9, 9, 60])
+        pages.append((scan, sheet))
+        counted += [(scan, *b) for b in bands]
+        rows, sparsest = want[sheet]
+        fused = 0
+        while len(bands) > rows:
+            open_gaps = {i: bands[i + 1][0] - bands[i][1] for i in range(len(bands) - 1) if min(bands[i][2], bands[i + 1][2]) < sparsest - 1}
+            if not open_gaps or min(open_gaps.values()) > statistics.median(b[1] - b[0] for b in bands) * 0.45:
+                break
+            i = min(open_gaps, key=open_gaps.get)
+            bands[i : i + 2] = [(bands[i][0], bands[i + 1][1], bands[i][2] + bands[i + 1][2])]
+            fused += 1
+        over = max(0, len(bands) - rows)
+        keep = sorted(bands, key=lambda b: (-b[2], b[0]))[:rows]
+        due |= {(scan, k): (*b, fused, over) for k, b in enumerate(sorted(keep))}
+    assert {d[3] for d in due.values()} >= {0, 1, 2} and {d[4] for d in due.values()} >= {0, 1, 2}
+    got = G.reconcile_bands(spark.createDataFrame(counted, "scan_id bigint, y0 int, y1 int, n int"),
+                            spark.createDataFrame(pages, "scan_id bigint, sheet_no int"))
+    assert {(r.scan_id, r.rw): (r.y0, r.y1, r.n, r.fused, r.dropped) for r in got.collect()} == due
