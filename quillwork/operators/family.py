@@ -194,19 +194,35 @@ def style_kerning(kerns: DataFrame, index: DataFrame) -> DataFrame:
         "font_id", "style", "left_gid", "right_gid", "value")
 
 
+def _classes(kerns: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Left and right classes, and how many of each a font has, class 0 included."""
+    left = kerns.groupBy("font_id", "left_ch").agg(F.min("left_ord").alias("o"))
+    left = left.select("font_id", "left_ch", F.row_number().over(W.partitionBy("font_id").orderBy("o")).alias("c1"))
+    right = kerns.groupBy("font_id", "right_ch").agg(F.min(F.struct("left_ord", "right_ord")).alias("o"))
+    right = right.select("font_id", "right_ch", F.row_number().over(W.partitionBy("font_id").orderBy("o")).alias("c2"))
+    size = left.groupBy("font_id").agg((F.max("c1") + 1).alias("n1")).join(
+        right.groupBy("font_id").agg((F.max("c2") + 1).alias("n2")), "font_id")
+    return left, right, size
+
+
+def kern_tables(kerns: DataFrame) -> DataFrame:
+    """F8, one row a font with pairs: its classes, the bytes of its matrix and whether that fits its table.
+
+    The fonts that do not fit are the ones ``kern_classes`` has no rows for.
+    """
+    return _classes(kerns)[2].selectExpr("font_id", "n1 AS left_classes", "n2 AS right_classes", "cast(n1 AS bigint) * n2 * 2 AS matrix_bytes",
+                                         f"cast(n1 AS bigint) * n2 * 2 <= {MAX_TABLE_BYTES} AS fits")
+
+
 def kern_classes(kerns: DataFrame) -> DataFrame:
     """F8: kerning as a dense matrix of classes numbered by first appearance, class 0 included.
 
     kerns(font_id, left_ch, right_ch, left_ord, right_ord, value), in order of left then right
-    glyph. Fonts whose matrix would not fit its table have no rows. Alternates share the class of
+    glyph. Fonts whose matrix would not fit its table have no rows; ``kern_tables`` names them. Alternates share the class of
     their base, so classes are named by base character.
     """
-    left = kerns.groupBy("font_id", "left_ch").agg(F.min("left_ord").alias("o"))
-    left = left.select("font_id", "left_ch", F.row_number().over(W.partitionBy("font_id").orderBy("o")).alias("c1"))
-    right = kerns.groupBy("font_id", "right_ch").agg(F.min(F.struct("left_ord", "right_ord")).alias("o"))
-    right = right.select("font_id", "right_ch", F.row_number().over(W.partitionBy("font_id").orderBy("o")).alias("c2"))
-    size = left.groupBy("font_id").agg((F.max("c1") + 1).alias("n1")).join(
-        right.groupBy("font_id").agg((F.max("c2") + 1).alias("n2")), "font_id").where(F.col("n1") * F.col("n2") * 2 <= MAX_TABLE_BYTES)
+    left, right, size = _classes(kerns)
+    size = size.where(F.col("n1").cast("bigint") * F.col("n2") * 2 <= MAX_TABLE_BYTES)
     cells = size.selectExpr("font_id", "n2", "explode(sequence(0, n1 - 1)) AS c1").selectExpr("font_id", "c1", "explode(sequence(0, n2 - 1)) AS c2")
     v = kerns.join(left, ["font_id", "left_ch"]).join(right, ["font_id", "right_ch"]).selectExpr(
         "font_id", "c1", "c2", "greatest(-32768, least(32767, value)) AS value")

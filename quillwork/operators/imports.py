@@ -13,6 +13,8 @@ from quillwork.operators.outline import bounds
 # --- fixed values -----------------------------------------------------------------------
 RESTRICTED, NO_SUBSET, BITMAP_ONLY = 0x0002, 0x0100, 0x0200
 MIN_X_SHARE = 0.05
+RECORDS = {"family": ["fontFamily", "preferredFamily"], "designer": ["designer"], "description": ["license", "licence"],
+           "url": ["licenseURL", "licenceURL"]}
 # ----------------------------------------------------------------------------------------
 PT = "struct<x: double, y: double>"
 CURVES = f"array<struct<contour: int, p0: {PT}, c1: {PT}, c2: {PT}, p3: {PT}>>"
@@ -121,3 +123,48 @@ def import_coverage(cmap: DataFrame, spark) -> DataFrame:
     wanted = cmap.select("font_id").distinct().withColumn("ord", F.explode(F.expr("sequence(0, 111)"))).join(req, "ord")
     has = cmap.where("glyph_name <> '.notdef'").select("font_id", "ch", "unicode").distinct().withColumn("found", F.lit(True))
     return wanted.join(has, ["font_id", "ch", "unicode"], "left").na.fill(False, ["found"]).select("font_id", "ord", "ch", "found")
+
+
+def name_text(record: str) -> str:
+    """SQL for a font's name record: the English text, else the first one it carries; NULL where that is blank."""
+    own = f"filter(names, n -> n.record = '{record}')"
+    text = f"coalesce(get(filter({own}, n -> n.lang = 'en'), 0).text, get({own}, 0).text)"
+    return f"nullif(regexp_replace({text}, r'^\\s+|\\s+$', ''), '')"
+
+
+def licence_records(fonts: DataFrame) -> DataFrame:
+    """What a font says about itself, one row for each kind of record: (font_id, record, text).
+
+    fonts(font_id, names array<struct<record, lang, text>>). A kind that goes by two names is looked for under the second where
+    the first says nothing; a record that is not there or blank has a NULL text.
+    """
+    each = ", ".join(f"struct('{kind}' AS record, coalesce({', '.join(map(name_text, names))}) AS text)" for kind, names in RECORDS.items())
+    return fonts.selectExpr("font_id", f"inline(array({each}))")
+
+
+def import_gate(fonts: DataFrame) -> DataFrame:
+    """Whether a font may be built on: (font_id, restricted, no_subset, bitmap_only, refused).
+
+    Only the restricted bit refuses, whatever permissive bits stand beside it. Without embedding bits nothing is forbidden.
+    """
+    bits = "coalesce(fs_type, 0)"
+    return fonts.selectExpr("font_id", f"({bits} & {RESTRICTED}) <> 0 AS restricted", f"({bits} & {NO_SUBSET}) <> 0 AS no_subset",
+                            f"({bits} & {BITMAP_ONLY}) <> 0 AS bitmap_only", f"IF(({bits} & {RESTRICTED}) <> 0, 'restricted', NULL) AS refused")
+
+
+def importable(glyphs: DataFrame, fonts: DataFrame) -> DataFrame:
+    """Glyphs of the fonts that the gate lets through; a font without a licence row is one that says nothing and passes."""
+    return glyphs.join(import_gate(fonts).where("restricted").select("font_id"), "font_id", "left_anti")
+
+
+def import_found(glyphs: DataFrame, wanted: list[str]) -> DataFrame:
+    """I6 by outline: for each font and wanted character, whether the font gives it: (font_id, k, ch, found).
+
+    glyphs(font_id, ch, glyph_name, unicode, curves). A character is found if its glyph is a real one, carries its own code
+    point and has ink. ``wanted`` is any list of characters, numbered from 0; repeats count once, at their first place.
+    """
+    each = [F.struct(F.lit(k).alias("k"), F.lit(ch).alias("ch")) for k, ch in enumerate(dict.fromkeys(wanted))]
+    drawn = bounds(glyphs.where("glyph_name <> '.notdef' AND unicode = ascii(ch)")).where("bx0 IS NOT NULL")
+    asked = glyphs.select("font_id").distinct().withColumn("w", F.explode(F.array(*each))).select("font_id", "w.*")
+    return asked.join(drawn.select("font_id", "ch", F.lit(True).alias("found")).distinct(), ["font_id", "ch"], "left").na.fill(
+        False, ["found"]).select("font_id", "k", "ch", "found")

@@ -111,6 +111,68 @@ def licence_flags(spark, sf):
     return I.licence_flags(f)
 
 
+NAMED = """fonts AS (SELECT s_suppkey AS font_id, CASE WHEN s_suppkey % 11 <> 0 THEN (s_nationkey * 37 + s_suppkey * 2) % 1024 END AS fs_type,
+  CASE WHEN s_suppkey % 3 = 0 THEN s_name WHEN s_suppkey % 5 <> 0 THEN 'fr ' || s_name WHEN s_suppkey % 4 = 0 THEN 'P ' || s_name END AS family,
+  CASE WHEN s_suppkey % 2 = 0 THEN 'de ' || s_name END AS designer,
+  CASE WHEN s_suppkey % 7 = 0 THEN 'my terms ' || s_suppkey WHEN s_suppkey % 7 = 1 THEN 'terms ' || s_suppkey END AS description,
+  CASE WHEN s_suppkey % 6 = 1 THEN 'https://a/' || s_suppkey WHEN s_suppkey % 6 = 2 THEN 'https://b/' || s_suppkey END AS url FROM supplier)"""
+
+
+def named_fonts(spark, sf):
+    """Suppliers as fonts with name records: foreign, English, blank and missing ones under every name a record goes by."""
+    def rec(when, record, lang, text):
+        return f"IF({when}, array(struct('{record}' AS record, '{lang}' AS lang, {text} AS text)), array())"
+    names = ", ".join([
+        rec("true", "fontFamily", "fr", "IF(s_suppkey % 5 = 0, '  ', concat('fr ', s_name))"),
+        rec("s_suppkey % 3 = 0", "fontFamily", "en", "concat(' ', s_name, '\\n')"),
+        rec("s_suppkey % 4 = 0", "preferredFamily", "en", "concat('P ', s_name)"),
+        rec("s_suppkey % 2 = 0", "designer", "de", "concat('de ', s_name)"),
+        rec("s_suppkey % 7 = 0", "license", "en", "' '"), rec("s_suppkey % 7 = 1", "license", "en", "concat('terms ', s_suppkey)"),
+        rec("s_suppkey % 7 <= 1", "licence", "en", "concat('my terms ', s_suppkey)"),
+        rec("s_suppkey % 6 = 1", "licenseURL", "en", "concat('https://a/', s_suppkey)"),
+        rec("s_suppkey % 6 = 2", "licenceURL", "en", "concat('https://b/', s_suppkey)")])
+    return A.table(spark, sf, "supplier").selectExpr(
+        "s_suppkey AS font_id", "IF(s_suppkey % 11 <> 0, (s_nationkey * 37 + s_suppkey * 2) % 1024, NULL) AS fs_type", f"concat({names}) AS names")
+
+
+@query("licence_records", f"""WITH {NAMED}, r AS (SELECT font_id, unnest([struct_pack(record := 'family', text := family), struct_pack(record := 'designer', text := designer),
+  struct_pack(record := 'description', text := description), struct_pack(record := 'url', text := url)]) AS r FROM fonts) SELECT font_id, r.record, r.text FROM r""")
+def licence_records(spark, sf):
+    return I.licence_records(named_fonts(spark, sf))
+
+
+@query("import_gate", f"""WITH {NAMED}, g AS (SELECT p_partkey % (SELECT max(s_suppkey) FROM supplier) + 1 AS font_id, count(*) AS n FROM part GROUP BY 1)
+SELECT font_id, coalesce(fs_type & 2, 0) <> 0 AS restricted, coalesce(fs_type & 256, 0) <> 0 AS no_subset, coalesce(fs_type & 512, 0) <> 0 AS bitmap_only,
+  CASE WHEN coalesce(fs_type & 2, 0) <> 0 THEN 'restricted' END AS refused, CASE WHEN coalesce(fs_type & 2, 0) <> 0 THEN 0 ELSE coalesce(n, 0) END AS taken
+FROM fonts LEFT JOIN g USING (font_id)""")
+def import_gate(spark, sf):
+    """The gate's verdict on each font and how many glyphs it lets through."""
+    fonts = named_fonts(spark, sf)
+    n = A.table(spark, sf, "supplier").select(F.max("s_suppkey")).scalar()
+    glyphs = A.table(spark, sf, "part").select((F.col("p_partkey") % n + 1).alias("font_id"))
+    taken = I.importable(glyphs, fonts).groupBy("font_id").agg(F.count("*").alias("taken"))
+    return I.import_gate(fonts).join(taken, "font_id", "left").na.fill(0, ["taken"])
+
+
+WANTED = [*"AEIOUaeiou059.,&", "\u00e9", "\u03a9", "A"]
+
+
+@query("import_found", "WITH " + C.CHARSET + """, g AS (SELECT p_partkey // 130 AS font_id, c.ch, p_size % 7 <> 0 AND p_size % 11 <> 0 AND p_size % 5 <> 0 AS ok
+  FROM part LEFT JOIN charset c ON c.ord = p_partkey % 130)
+SELECT font_id, k, w.ch, EXISTS (SELECT 1 FROM g WHERE g.font_id = f.font_id AND g.ch = w.ch AND ok) AS found FROM (SELECT DISTINCT font_id FROM g) f,
+  (SELECT unnest(range(""" + str(len(WANTED) - 1) + """)) AS k, unnest([""" + ", ".join(f"'{c}'" for c in WANTED[:-1]) + """]) AS ch) w""")
+def import_found(spark, sf):
+    """I6 over every part as a slot of a font: some have no glyph, some another code point, some no ink."""
+    from quillwork.functions import dims
+    cs = dims.charset(spark).select("ord", "ch", "name", "unicode")
+    line = "array(named_struct('p0', {0}, 'c1', {0}, 'c2', {1}, 'p3', {1}))".format(
+        "named_struct('x', 0D, 'y', 0D)", "named_struct('x', 9D, 'y', cast(p_size AS double))")
+    g = A.table(spark, sf, "part").selectExpr("p_partkey AS glyph_id", "p_partkey div 130 AS font_id", "cast(p_partkey % 130 AS int) AS ord", "p_size").join(
+        cs, "ord", "left").selectExpr("glyph_id", "font_id", "ch", "IF(p_size % 7 = 0, '.notdef', name) AS glyph_name",
+                                      "IF(p_size % 11 = 0, 0, unicode) AS unicode", f"IF(p_size % 5 = 0, slice({line}, 1, 0), {line}) AS curves")
+    return I.import_found(g, WANTED)
+
+
 @query("import_coverage", """WITH """ + C.CHARSET + """,
 cm AS (SELECT p_partkey // 130 AS font_id, c.ch FROM part JOIN charset c ON c.ord = p_partkey % 130 AND c.kind = 'required' WHERE p_size % 7 <> 0 AND p_size % 11 <> 0)
 SELECT f.font_id, c.ord, c.ch, EXISTS (SELECT 1 FROM cm WHERE cm.font_id = f.font_id AND cm.ch = c.ch) AS found
@@ -284,6 +346,18 @@ def kern_classes(spark, sf):
     return Y.kern_classes(shape_kerning(spark, sf))
 
 
+WIDE = """pairs AS (SELECT DISTINCT l_suppkey % 23 AS font_id, l_partkey % (40 + 12 * (l_suppkey % 23)) AS l, l_orderkey % (40 + 9 * (l_suppkey % 23)) AS r FROM lineitem)"""
+
+
+@query("kern_tables", f"""WITH {WIDE}, n AS (SELECT font_id, count(DISTINCT l) + 1 AS n1, count(DISTINCT r) + 1 AS n2 FROM pairs GROUP BY 1)
+SELECT font_id, n1 AS left_classes, n2 AS right_classes, n1 * n2 * 2 AS matrix_bytes, n1 * n2 * 2 <= 65535 AS fits FROM n""")
+def kern_tables(spark, sf):
+    """F8's sizes over order lines as pairs of 23 fonts, from small character sets to ones whose matrix does not fit."""
+    p = A.table(spark, sf, "lineitem").selectExpr(
+        "l_suppkey % 23 AS font_id", "l_partkey % (40 + 12 * (l_suppkey % 23)) AS l", "l_orderkey % (40 + 9 * (l_suppkey % 23)) AS r").distinct()
+    return Y.kern_tables(p.selectExpr("font_id", "cast(l AS string) AS left_ch", "cast(r AS string) AS right_ch", "l AS left_ord", "r AS right_ord", "0 AS value"))
+
+
 @query("ligature_sets", f"""WITH {INDEX},
 p AS (SELECT l.font_id, l.style, l.gid AS lig_gid, l.ord, a.gid AS first_gid, b.gid AS second_gid FROM idx l
   JOIN idx a ON a.font_id = l.font_id AND a.style = l.style AND a.ch = l.ch[1] JOIN idx b ON b.font_id = l.font_id AND b.style = l.style AND b.ch = l.ch[2] WHERE l.kind = 'ligature')

@@ -106,3 +106,36 @@ def test_adapter_words_are_runs(spark, sf):
     r = A.text_runs(spark, sf).where("scan_id = 1").collect()
     text = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id = 1").first().text
     assert sum(x.x1 - x.x0 for x in r) == sum(len(w) for w in text.split()) and len(r) == len(text.split())
+
+
+def test_name_records_and_the_gate(spark):
+    names = "font_id int, fs_type int, names array<struct<record: string, lang: string, text: string>>"
+    fonts = spark.createDataFrame([
+        (1, 2 | 4, [("fontFamily", "ko", "K"), ("fontFamily", "en", " E\n"), ("licence", "en", "T"), ("designer", "de", " ")]),
+        (2, None, [("fontFamily", "en", " "), ("preferredFamily", "fr", "P"), ("licenseURL", "fr", "u")]),
+        (3, 0x300, []), (4, 8, None)], names)
+    told = {(r.font_id, r.record): r.text for r in I.licence_records(fonts).collect()}
+    assert len(told) == 16 and {k: v for k, v in told.items() if v is not None} == {
+        (1, "family"): "E", (1, "description"): "T", (2, "family"): "P", (2, "url"): "u"}
+    gate = {r.font_id: (r.refused, r.no_subset, r.bitmap_only) for r in I.import_gate(fonts).collect()}
+    assert gate == {1: ("restricted", False, False), 2: (None, False, False), 3: (None, True, True), 4: (None, False, False)}
+    glyphs = spark.createDataFrame([(f, c) for f in (1, 2, 3, 9) for c in "ab"], "font_id int, ch string")
+    assert {r.font_id for r in I.importable(glyphs, fonts).collect()} == {2, 3, 9}
+
+
+def test_wanted_characters_by_outline(spark):
+    ink = I.path_to_cubics(glyph(spark, ("M", 0, 0), ("L", 10, 0), ("L", 10, 9), ("Z",))).first().curves
+    none = I.path_to_cubics(glyph(spark, ("M", 0, 0))).schema["curves"].dataType.simpleString()
+    rows = [(1, 1, "a", "a", 97, ink), (2, 1, "b", ".notdef", 98, ink), (3, 1, "c", "c", 98, ink), (4, 1, "d", "d", 100, []), (5, 1, "d", "d2", 100, ink),
+            (6, 2, "é", "eacute", 233, ink), (7, 2, "e", "e", 101, None)]
+    g = spark.createDataFrame(rows, f"glyph_id int, font_id int, ch string, glyph_name string, unicode int, curves {none}")
+    got = {(r.font_id, r.ch): (r.k, r.found) for r in I.import_found(g, ["a", "b", "c", "d", "é", "a", "e"]).collect()}
+    assert {k for k, v in got.items() if v[1]} == {(1, "a"), (1, "d"), (2, "é")} and len(got) == 12 and got[1, "e"] == (5, False)
+
+
+def test_kerning_too_large_is_named(spark):
+    rows = [(1, f"l{i}", "r0", i, 0, 5) for i in range(4)] + [(2, f"l{i}", f"r{i}", i, i, 1) for i in range(200)]
+    k = spark.createDataFrame(rows, "font_id int, left_ch string, right_ch string, left_ord int, right_ord int, value int")
+    assert {r.font_id: (r.left_classes, r.right_classes, r.matrix_bytes, r.fits) for r in Y.kern_tables(k).collect()} == {
+        1: (5, 2, 20, True), 2: (201, 201, 80802, False)}
+    assert {r.font_id for r in Y.kern_classes(k).collect()} == {1}
