@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quillwork.stages import Stages
+
 # --- fixed values of ours: none of these is prescribed anywhere ---------------------------
 STOP_WORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "do", "for", "from", "how", "i", "in",
               "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "what", "with", "you"]
@@ -52,16 +54,25 @@ def postings(docs: DataFrame) -> DataFrame:
         "doc_id", "kind", "e.word", "e.in_title")
 
 
-def match(queries: DataFrame, docs: DataFrame) -> DataFrame:
+def write_index(docs: DataFrame, path: str) -> DataFrame:
+    """Postings kept at ``path`` for many batches of queries: a range of words a file, sorted, so that a word's entries lie
+    together, compress well and are skipped by a reader that asks for others."""
+    postings(docs).repartitionByRange("word", "doc_id").sortWithinPartitions("word", "doc_id").write.mode("overwrite").parquet(path)
+    return docs.sparkSession.read.parquet(path)
+
+
+def match(queries: DataFrame, docs: DataFrame | None, index: DataFrame | None = None) -> DataFrame:
     """D3: documents with a word beginning with each term of the query, and in which field.
 
-    The prefix match is made on the vocabulary: its words (distinct before their shuffle) are handed out under
+    The documents are cut into words once: without a kept ``index`` (``write_index``) their postings are staged as Parquet, as the
+    documents lie, and both the vocabulary and the join read them; the staged table stays in the shared folder, since the result
+    reads it. The prefix match is made on the vocabulary: its words (distinct before their shuffle) are handed out under
     their beginnings of up to four letters and meet the terms that begin alike. The words so hit then
     pick their postings by equality, so a document's other words meet nothing.
     """
     q = terms(queries).select("query_id", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
     need = q.select("term").distinct().withColumn("key", F.expr(f"left(term, {KEY})"))
-    p = postings(docs)
+    p = index if index is not None else Stages(queries.sparkSession, "search").put("postings", lambda: postings(docs))
     v = p.select("word").distinct().selectExpr(
         "*", f"explode(transform(sequence(1, least({KEY}, length(word))), n -> left(word, n))) AS key")
     hit = v.join(need, (v["key"] == need["key"]) & F.expr("startswith(word, term)")).select("word", "term")

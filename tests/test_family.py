@@ -139,3 +139,15 @@ def test_kerning_too_large_is_named(spark):
     assert {r.font_id: (r.left_classes, r.right_classes, r.matrix_bytes, r.fits) for r in Y.kern_tables(k).collect()} == {
         1: (5, 2, 20, True), 2: (201, 201, 80802, False)}
     assert {r.font_id for r in Y.kern_classes(k).collect()} == {1}
+
+
+def test_a_kept_index_serves_many_batches(spark, tmp_path):
+    docs = spark.createDataFrame(DOCS, "doc_id string, kind string, title string, body string")
+    index = D.write_index(docs, str(tmp_path / "index"))
+    for texts in (["pen", "install windows"], ["even light", "o", "***", None]):
+        q = spark.createDataFrame(list(enumerate(texts)), "query_id int, query string")
+        kept = sorted(map(tuple, D.match(q, None, index).collect()))
+        assert kept == sorted(map(tuple, D.match(q, docs).collect())) and kept
+    words = [r.word for r in index.collect()]
+    assert len(words) == D.postings(docs).count()
+    assert D.match(q, docs.limit(0)).count() == 0
