@@ -19,20 +19,20 @@ CHARS = """chars AS (SELECT {keys}, unnest(string_split(text, '')) AS ch FROM do
 
 @query("charset_dim", f"""WITH {C.CHARSET},
 c AS (SELECT unnest(string_split(text, '')) AS ch FROM documents), n AS (SELECT ch, count(*) AS n FROM c GROUP BY ch)
-SELECT s.ord, s.ch, s.name, s.zone, s.unicode, s.parts, s.grp, s.kind, n.n FROM charset s JOIN n ON n.ch = s.ch""")
+SELECT s.ord, s.ch, s.name, s.zone, s.unicode, s.parts, s.grp, s.kind, coalesce(n.n, 0) AS n FROM charset s LEFT JOIN n ON n.ch = s.ch""")
 def charset_dim(spark, sf):
-    """The inventory entries a text corpus uses, and how often."""
+    """Every entry of the inventory, derived ones too, and how often a text corpus uses it."""
     n = X.characters(A.table(spark, sf, "documents").select("text"))
-    return n.join(dims.charset(spark), "ch")
+    return dims.charset(spark).join(n, "ch", "left").na.fill(0, ["n"])
 
 
 @query("sheet_layout", f"""WITH {C.SHEETS},
 c AS (SELECT unnest(string_split(text, '')) AS ch FROM documents), n AS (SELECT ch, count(*) AS n FROM c GROUP BY ch)
-SELECT s.sheet_no, s.sheet_id, s.tier, s.rw, s.col, s.k, s.ch, n.n FROM sheets s JOIN n ON n.ch = s.ch""")
+SELECT s.sheet_no, s.sheet_id, s.tier, s.rw, s.col, s.k, s.ch, coalesce(n.n, 0) AS n FROM sheets s LEFT JOIN n ON n.ch = s.ch""")
 def sheet_layout(spark, sf):
-    """S3: where the characters of a text corpus are written: sheet, row, column, writing order."""
+    """S3: every place of every sheet (row, column, writing order), and how often a text corpus uses its character."""
     n = X.characters(A.table(spark, sf, "documents").select("text"))
-    return n.join(dims.sheets(spark), "ch")
+    return dims.sheets(spark).join(n, "ch", "left").na.fill(0, ["n"])
 
 
 FONTS = """fonts AS (SELECT lang, (ascii(lang) + ascii(substring(lang, 2, 1)))

@@ -287,10 +287,10 @@ def preprocess(spark, sf):
                        r6(F.col("ratio")).alias("ratio"), "rules", "removed")
 
 
-STROKES = """st AS (SELECT vec_id AS glyph_id, list_transform(range(0, 12, 2), lambda i: {'x': 4 + 24 * (e[i + 1] - lo) / (hi - lo),
+STROKES = """st AS (SELECT vec_id AS glyph_id, list_transform(range(0, len(e), 2), lambda i: {'x': 4 + 24 * (e[i + 1] - lo) / (hi - lo),
     'y': 4 + 24 * (e[i + 2] - lo) / (hi - lo), 'r': 1 + (i % 3) * 0.3::DOUBLE}) AS p
   FROM (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS e, list_min(embedding)::DOUBLE AS lo, list_max(embedding)::DOUBLE AS hi FROM embeddings)),
-sg AS (SELECT glyph_id, p[i] AS a, p[i + 1] AS b FROM st, range(1, 6) r(i)),
+sg AS (SELECT glyph_id, p[i] AS a, p[i + 1] AS b FROM (SELECT *, unnest(range(1, len(p))) AS i FROM st)),
 sn AS (SELECT *, greatest(1, ceil(sqrt(power(b.x - a.x, 2) + power(b.y - a.y, 2)) / 0.6::DOUBLE))::INT AS n FROM sg),
 ds AS (SELECT glyph_id, a.x + (b.x - a.x) * (k / n::DOUBLE) AS cx, a.y + (b.y - a.y) * (k / n::DOUBLE) AS cy, a.r + (b.r - a.r) * (k / n::DOUBLE) AS r
   FROM (SELECT *, unnest(range(0, n + 1)) AS k FROM sn)),
@@ -301,12 +301,12 @@ cv AS (SELECT glyph_id, y, x, max(cov) AS cov FROM pxs WHERE cov > 0 GROUP BY AL
 
 
 def strokes(spark, sf):
-    """One pen stroke of six points per embedding on a 32 x 32 pad."""
+    """One pen stroke per embedding on a 32 x 32 pad, through a point for every two components."""
     e = A.table(spark, sf, "embeddings").selectExpr(
         "vec_id AS glyph_id", "transform(embedding, v -> cast(v AS double)) AS e").selectExpr(
         "*", "array_min(e) AS lo", "array_max(e) AS hi")
     return e.selectExpr(
-        "glyph_id", "32 AS width", "32 AS height", "transform(sequence(0, 10, 2), i -> named_struct('x', 4 + 24 * (e[i] - lo) / (hi - lo),"
+        "glyph_id", "32 AS width", "32 AS height", "transform(sequence(0, size(e) - 2, 2), i -> named_struct('x', 4 + 24 * (e[i] - lo) / (hi - lo),"
         " 'y', 4 + 24 * (e[i + 1] - lo) / (hi - lo), 'r', 1 + (i % 3) * 0.3D)) AS points")
 
 
