@@ -27,7 +27,6 @@ from pyspark.sql.types import ArrayType, DoubleType, StructField
 from quillwork.llm.common import Stage, append_columns, texts
 
 SAMPLE = 6000  # labelled rows of each class at most that the model is fitted on
-TERMS = 20_000  # learned words and beginnings at most, the strongest first
 SEEN, LIFT, DOUBT = 5, 2.0, 1.5  # a learned term: in so many toxic texts at least, with log odds so high when so many standard errors less
 BEGIN = 5  # letters of a word's beginning
 NEAR = 5  # words between an insult and a "you"
@@ -206,7 +205,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc: str = "do
                  F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("other")))
     odds = (F.log((F.col("toxic") + 0.5) / (sizes[1] + 1)) - F.log((F.col("other") + 0.5) / (sizes[0] + 1))
             - DOUBT * F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("other") + 0.5)))
-    best = both.where((F.col("toxic") >= SEEN) & (odds >= LIFT)).orderBy(odds.desc(), "term").limit(TERMS)
+    best = both.where((F.col("toxic") >= SEEN) & (odds >= LIFT)).orderBy(odds.desc(), "term")
+    # terms of SEEN toxic texts or more of the ``sample`` taken, so their number does not grow with the documents
     counted = {r["term"]: (r["toxic"], r["other"]) for r in best.collect()}
 
     def stand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
