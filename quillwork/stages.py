@@ -8,13 +8,31 @@ tables that outlive the job.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 from quillwork.session import shared_dir
 
 
+@contextmanager
+def sized_joins(spark: SparkSession) -> Iterator[None]:
+    """Joins choose a broadcast by the size seen at run time only, not by that of a table's files.
+
+    A stage of runs or boxes is many times smaller as Parquet than as rows, and a broadcast is gathered as rows by the driver.
+    """
+    before = {k: spark.conf.get(k, None) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")}
+    static, seen = before
+    spark.conf.set(static, "-1")
+    spark.conf.set(seen, before[seen] or before[static] or "10MB")
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 class Stages:
     def __init__(self, spark: SparkSession, job: str, name: str | None = None):
         """Stages of ``job``; with ``name`` they can be resumed, without it they are this call's own."""
@@ -36,7 +54,8 @@ class Stages:
         self.names.append(name)
         path = f"{self.at}/{name}"
         if not self.done(name):
-            make().write.mode("overwrite").parquet(path)
+            with sized_joins(self.spark):
+                make().write.mode("overwrite").parquet(path)
         return self.spark.read.parquet(path)
 
     def finish(self, keep: Iterable[str] = ()) -> None:
