@@ -66,19 +66,29 @@ def match(queries: DataFrame, docs: DataFrame | None, index: DataFrame | None =
 
     The documents are cut into words once: without a kept ``index`` (``write_index``) their postings are staged as Parquet, as the
     documents lie, and both the vocabulary and the join read them; the staged table stays in the shared folder, since the result
-    reads it. The prefix match is made on the vocabulary: its words (distinct before their shuffle) are handed out under
-    their beginnings of up to four letters and meet the terms that begin alike. The words so hit then
-    pick their postings by equality, so a document's other words meet nothing.
+    reads it. The prefix match is made on the vocabulary: its words are handed out under
+    their beginnings of up to four letters and meet the terms that begin alike.
+
+    A document must hold all terms, so a query looks only at the documents with its rarest one (by the postings of the words that
+    begin with it; a query with a term that begins no word has none). Of those documents the words that were hit meet the query's
+    terms by equality. Which term is the rarest changes the work and not the result.
     """
     q = terms(queries).select("query_id", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
     need = q.select("term").distinct().withColumn("key", F.expr(f"left(term, {KEY})"))
-    p = index if index is not None else Stages(queries.sparkSession, "search").put("postings", lambda: postings(docs))
-    v = p.select("word").distinct().selectExpr(
+    st = Stages(queries.sparkSession, "search")
+    p = index if index is not None else st.put("postings", lambda: postings(docs))
+    v = p.groupBy("word").agg(F.count("*").alias("n")).selectExpr(
         "*", f"explode(transform(sequence(1, least({KEY}, length(word))), n -> left(word, n))) AS key")
-    hit = v.join(need, (v["key"] == need["key"]) & F.expr("startswith(word, term)")).select("word", "term")
-    found = p.join(hit, "word").groupBy("doc_id", "kind", "term").agg(
+    hit = st.put("hit", lambda: v.join(need, (v["key"] == need["key"]) & F.expr("startswith(word, term)")).select("word", "term", "n"))
+    rare = q.join(hit.groupBy("term").agg(F.sum("n").alias("n")), "term", "left").groupBy("query_id").agg(
+        F.min_by("term", F.struct("n", "term")).alias("term"), F.count_if(F.col("n").isNull()).alias("lost")).where("lost = 0")
+    among = hit.join(rare, "term").select("word", "query_id")
+    pairs = st.put("pairs", lambda: p.join(among, "word").select("query_id", "doc_id").distinct())
+    asked = pairs.join(q, "query_id")
+    near = p.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")
+    found = near.join(hit.select("word", "term"), "word").groupBy("doc_id", "kind", "term").agg(
         F.max("in_title").alias("in_title"), F.max(~F.col("in_title")).alias("in_body"))
-    return found.join(q, "term").groupBy("query_id", "doc_id", "kind", "n_terms").agg(
+    return found.join(asked, ["doc_id", "term"]).groupBy("query_id", "doc_id", "kind", "n_terms").agg(
         F.count("*").alias("n"), F.count_if(F.col("in_title")).alias("title_hits"),
         F.count_if(F.col("in_body")).alias("body_hits")).where("n = n_terms").drop("n")
 

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from quillwork.operators import search as D
 from quillwork.stages import Stages
 
 
@@ -25,3 +26,23 @@ def test_a_stage_is_not_broadcast_for_the_size_of_its_files(spark):
     assert "SortMergeJoin" in seen[0] and "BroadcastHashJoin" not in seen[0]
     assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") == before
     st.finish()
+
+
+def test_search_looks_only_where_the_rarest_term_is(spark, monkeypatch):
+    docs = spark.createDataFrame([(str(i), "faq", "common", f"common words here {'zebra' if i % 50 == 0 else ''}") for i in range(200)] +
+                                 [("t", "lesson", "zebras", "uncommon wordy text")], "doc_id string, kind string, title string, body string")
+    queries = spark.createDataFrame([(1, "zebra common"), (2, "zeb word"), (3, "absent zebra"), (4, "common")], "query_id bigint, query string")
+    pairs = []
+    put = Stages.put
+
+    def watched(self, name, make):
+        out = put(self, name, make)
+        if name == "pairs":
+            pairs.append(out)
+        return out
+
+    monkeypatch.setattr(Stages, "put", watched)
+    got = {(r.query_id, r.doc_id): (r.title_hits, r.body_hits) for r in D.match(queries, docs).collect()}
+    want = {(1, str(i)): (1, 2) for i in range(0, 200, 50)} | {(2, str(i)): (0, 2) for i in range(0, 200, 50)} | {(2, "t"): (1, 1)}
+    assert got == want | {(4, str(i)): (1, 1) for i in range(200)}
+    assert pairs[0].where("query_id IN (1, 2)").count() == 10 and not pairs[0].where("query_id = 3").count()
