@@ -59,6 +59,11 @@ def _points(c, extra=()):
         "glyph_id", "contour", *extra, "i", r6(F.col("p.x")).alias("x"), r6(F.col("p.y")).alias("y"))
 
 
+def loops(spark, sf):
+    """Every contour of each glyph, specks included."""
+    return T.traced(ink(spark, sf).selectExpr("glyph_id", "y", "x AS x0", "x + 1 AS x1"), 0.0)
+
+
 @query("crack_edges", f"""WITH {EDGES} SELECT glyph_id, y, x, side, ax, ay, bx, b_y AS "by" FROM edges""")
 def crack_edges(spark, sf):
     return T.crack_edges(ink(spark, sf))
@@ -67,17 +72,17 @@ def crack_edges(spark, sf):
 @query("trace_loops", f"WITH RECURSIVE {LOOPS} SELECT glyph_id, contour, pos AS i, x, y FROM cnt")
 def trace_loops(spark, sf):
     """T2 over the runs of each glyph, specks included."""
-    return _points(T.traced(ink(spark, sf).selectExpr("glyph_id", "y", "x AS x0", "x + 1 AS x1"), 0.0))
+    return _points(loops(spark, sf))
 
 
 @query("signed_area", f"WITH RECURSIVE {LOOPS} SELECT glyph_id, contour, n, area FROM area")
 def signed_area(spark, sf):
-    return T.signed_area(T.trace_loops(T.crack_edges(ink(spark, sf)))).selectExpr("glyph_id", "contour", "size(pts) AS n", "area")
+    return T.signed_area(loops(spark, sf)).selectExpr("glyph_id", "contour", "size(pts) AS n", "area")
 
 
 @query("speck_filter", f"WITH RECURSIVE {LOOPS} SELECT glyph_id, contour, area FROM kept")
 def speck_filter(spark, sf):
-    return T.speck_filter(T.signed_area(T.trace_loops(T.crack_edges(ink(spark, sf))))).select("glyph_id", "contour", "area")
+    return T.speck_filter(T.signed_area(loops(spark, sf)).select("glyph_id", "contour", "area"))
 
 
 @query("corners", f"WITH RECURSIVE {CORNERS} SELECT glyph_id, contour, i FROM crn")

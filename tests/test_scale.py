@@ -1,8 +1,11 @@
 """Steps that must not grow with their input: what a task holds, what the driver gathers, what is shuffled."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from quillwork.operators import outline as T
 from quillwork.operators import search as D
+from quillwork.plans import outline as PO
 from quillwork.stages import Stages
 
 
@@ -46,3 +49,23 @@ def test_search_looks_only_where_the_rarest_term_is(spark, monkeypatch):
     want = {(1, str(i)): (1, 2) for i in range(0, 200, 50)} | {(2, str(i)): (0, 2) for i in range(0, 200, 50)} | {(2, "t"): (1, 1)}
     assert got == want | {(4, str(i)): (1, 1) for i in range(200)}
     assert pairs[0].where("query_id IN (1, 2)").count() == 10 and not pairs[0].where("query_id = 3").count()
+def test_contours_are_traced_in_slices_of_a_batch(spark, monkeypatch):
+    assert [list(range(*c)) for c in T._cuts(np.array([3, 3, 9, 1, 1, 0]), 6)] == [[0, 1], [2], [3, 4, 5]]
+    ink = spark.range(200).selectExpr("id AS glyph_id", "explode(sequence(0, 3)) AS y").selectExpr("glyph_id", "y", "explode(array(0, 1, 3)) AS x")
+    edges, runs = T.crack_edges(ink), ink.selectExpr("glyph_id", "y", "x AS x0", "x + 1 AS x1")
+
+    def found(df):
+        return sorted((r.glyph_id, r.contour, tuple((p.x, p.y) for p in r.pts)) for r in df.collect())
+
+    whole = found(T.trace_loops(edges))
+    assert len(whole) == 400 and whole[0][2][:2] == ((1.0, 0.0), (2.0, 0.0))
+    assert whole == found(T.traced(runs, 0.0))
+    moved = found(T.trace_loops(T.crack_edges(ink.selectExpr("glyph_id", "y - 2 AS y", "x - 5 AS x"))))
+    assert moved == [(g, k, tuple((x - 5, y - 2) for x, y in pts)) for g, k, pts in whole]
+    monkeypatch.setattr(T._cuts, "__defaults__", (7,))
+    assert whole == found(T.traced(runs, 0.0))
+
+
+def test_areas_and_specks_gather_runs_and_not_edges(spark, sf):
+    for q in (PO.signed_area, PO.speck_filter):
+        assert "collect_set" not in plan(q(spark, sf))
