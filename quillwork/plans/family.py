@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillwork.functions.num import r6
+from quillwork.functions.shuffle import spread
 from quillwork.operators import family as Y
 from quillwork.operators import imports as I
 from quillwork.operators import metrics as M
@@ -25,7 +26,9 @@ def curves_of(o, *keep):
 
 
 def paths(spark, sf):
-    return I.path_to_cubics(A.font_paths(spark, sf))
+    """Imported outlines. The parts are handed out by font while they are small, so that drawing them is not left to the few tasks of a
+    small file and what is gathered by font later is there."""
+    return I.path_to_cubics(spread(A.font_paths(spark, sf), "font_id"))
 
 
 def imported(spark, sf):
@@ -325,7 +328,7 @@ def style_extent(spark, sf):
 
 
 def index(spark, sf):
-    return Y.style_glyphs(defs(spark, sf)).select("font_id", "style", "name", "ch", "kind", "variant_of", "v", "ord", "gid")
+    return Y.style_index(imported(spark, sf))
 
 
 @query("style_kerning", f"""WITH {KERN}, {INDEX.split(C.CHARSET + ',', 1)[1]}

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillwork.functions import dims
+from quillwork.functions.shuffle import spread
 from quillwork.sources.tables import table
 
 GLYPHS_PER_FONT = 112
@@ -182,8 +183,8 @@ def glyph_shapes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def shape_profiles(spark: SparkSession, sf: str) -> DataFrame:
-    """profiles(glyph_id, font_id, ord, ch, ..., i, y, left, right): 41 scanlines per shape."""
-    s = glyph_shapes(spark, sf).selectExpr("*", "explode(sequence(0, 40)) AS i")
+    """profiles(glyph_id, font_id, ord, ch, ..., i, y, left, right): 41 scanlines per shape, handed out by font before they are drawn."""
+    s = spread(glyph_shapes(spark, sf), "font_id").selectExpr("*", "explode(sequence(0, 40)) AS i")
     s = s.selectExpr("*", "y1 - i * (y1 - y0) / 40 AS y", "i / 40D AS t")
     s = s.selectExpr(
         "*",

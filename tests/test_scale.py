@@ -3,8 +3,10 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from quillwork.operators import family as Y
 from quillwork.operators import outline as T
 from quillwork.operators import search as D
+from quillwork.plans import family as PF
 from quillwork.plans import outline as PO
 from quillwork.stages import Stages
 
@@ -69,3 +71,22 @@ def test_contours_are_traced_in_slices_of_a_batch(spark, monkeypatch):
 def test_areas_and_specks_gather_runs_and_not_edges(spark, sf):
     for q in (PO.signed_area, PO.speck_filter):
         assert "collect_set" not in plan(q(spark, sf))
+
+
+def test_numbering_without_drawing(spark, sf):
+    cols = ["font_id", "style", "name", "ch", "kind", "variant_of", "v", "ord", "gid"]
+    drawn = Y.style_glyphs(PF.defs(spark, sf)).select(*cols)
+    numbered = Y.style_index(PF.imported(spark, sf)).select(*cols)
+    assert numbered.count() == drawn.count() > 0
+    assert not numbered.exceptAll(drawn).count()
+    assert "_tan" not in plan(PF.index(spark, sf))
+
+
+def test_class_matrix_reads_its_pairs_once(spark):
+    k = spark.createDataFrame([(1, "b", "x", 2, 9, 40000), (1, "a", "x", 1, 9, -5), (1, "a", "y", 1, 8, 7), (2, "a", "a", 1, 1, 3)],
+                              "font_id bigint, left_ch string, right_ch string, left_ord int, right_ord int, value int")
+    out = Y.kern_classes(k)
+    assert plan(out).count("Scan ExistingRDD") == 1
+    got = {(r.font_id, r.c1, r.c2): r.value for r in out.collect()}
+    assert got == {(1, a, b): {(1, 1): 7, (1, 2): -5, (2, 2): 32767}.get((a, b), 0) for a in range(3) for b in range(3)} | {
+        (2, a, b): 3 * a * b for a in range(2) for b in range(2)}
