@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from quillwork.functions import dims
 
 LETTER_PAIR = "^[a-z][a-z]$"
+PAIRS = 20_000  # counted pairs a task holds before it hands them on, a text more at most
 
 
 def characters(texts: DataFrame, *keys: str) -> DataFrame:
@@ -37,16 +38,23 @@ def bigrams(texts: DataFrame, *keys: str) -> DataFrame:
 def pair_counts(texts: DataFrame) -> DataFrame:
     """Distinct pairs of a character and the next one (null at the end) of each document, counted inside its row;
     texts(doc_id, font_id, text)."""
+    def rows(ids, fonts, found):
+        at, ch, nx, n = zip(*found)
+        at = pa.array(at, pa.int64())
+        return pa.RecordBatch.from_arrays([ids.take(at), fonts.take(at), pa.array(ch, pa.string()), pa.array(nx, pa.string()),
+                                           pa.array(n, pa.int64())], names=["doc_id", "font_id", "ch", "nx", "n"])
+
     def count(batches):
         for b in batches:
-            ids, fonts, rows = b.column("doc_id"), b.column("font_id"), []
+            ids, fonts, found = b.column("doc_id"), b.column("font_id"), []
             for i, text in enumerate(b.column("text")):
                 t = text.as_py() or ""
-                rows += [(i, ch, nx, n) for (ch, nx), n in Counter(zip_longest(t, t[1:])).items()]
-            at, ch, nx, n = zip(*rows) if rows else ((), (), (), ())
-            at = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([ids.take(at), fonts.take(at), pa.array(ch, pa.string()), pa.array(nx, pa.string()),
-                                              pa.array(n, pa.int64())], names=["doc_id", "font_id", "ch", "nx", "n"])
+                found += [(i, ch, nx, n) for (ch, nx), n in Counter(zip_longest(t, t[1:])).items()]
+                if len(found) >= PAIRS:
+                    yield rows(ids, fonts, found)
+                    found = []
+            if found:
+                yield rows(ids, fonts, found)
 
     t = texts.select("doc_id", "font_id", "text")
     fields = T.StructType([t.schema["doc_id"], t.schema["font_id"], T.StructField("ch", T.StringType()), T.StructField("nx", T.StringType()),

@@ -1,8 +1,10 @@
 """Steps that must not grow with their input: what a task holds, what the driver gathers, what is shuffled."""
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from quillwork.operators import corpus as X
 from quillwork.operators import family as Y
 from quillwork.operators import outline as T
 from quillwork.operators import search as D
@@ -90,3 +92,11 @@ def test_class_matrix_reads_its_pairs_once(spark):
     got = {(r.font_id, r.c1, r.c2): r.value for r in out.collect()}
     assert got == {(1, a, b): {(1, 1): 7, (1, 2): -5, (2, 2): 32767}.get((a, b), 0) for a in range(3) for b in range(3)} | {
         (2, a, b): 3 * a * b for a in range(2) for b in range(2)}
+
+
+def test_pairs_of_texts_leave_a_task_in_pieces(spark):
+    texts = spark.createDataFrame([(i, 1, "abcdefghijklmnopqrstuvwxyz") for i in range(2_000)], "doc_id bigint, font_id bigint, text string").coalesce(1)
+    pieces = X.pair_counts(texts).mapInArrow(lambda bs: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in bs), "n bigint")
+    assert X.pair_counts(texts).groupBy("doc_id").count().where("count = 26").count() == 2_000
+    n = [r.n for r in pieces.collect()]
+    assert sum(n) == 52_000 and max(n) < X.PAIRS + 26
