@@ -100,6 +100,25 @@ def test_ngram_scores_against_brute_force(spark, frequent, hot):
     assert ngram_lm.score(df.limit(0)).count() == 0
 
 
+def test_pairs_are_shuffled_as_packed_stretches(spark, monkeypatch):
+    """Few rows and bytes leave a map, whatever the number of words, and many parts give the same scores as one."""
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{int(k)}" for k in rng.zipf(1.3, 400) % 5000) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    moved = []
+    group = type(df).groupBy
+    monkeypatch.setattr(type(df), "groupBy", lambda self, *keys: (moved.append(self), group(self, *keys))[1])
+    want = [(i, n, round(s, 6)) for i, (n, s) in enumerate(brute(texts))]
+    for part in (1 << 20, 3_000):
+        monkeypatch.setattr(ngram_lm, "PART", part)
+        moved.clear()
+        got = ngram_lm.score(df, frequent=500, hot=20).collect()
+        assert sorted((r["doc_id"], r["n_grams"], round(r["score"], 6)) for r in got) == want
+        pairs = [m for m in moved if "key" not in m.columns and "word" not in m.columns and "pair" not in m.columns]
+        sizes = [m.selectExpr("count(*) AS n", "sum(length(data)) AS bytes").first() for m in pairs]
+        assert len(sizes) == 2 and all(s["n"] <= 2 * (3 * 40 + 1) and s["bytes"] < 15 * 400 * 300 for s in sizes)
+
+
 def test_word_hashes_of_pieces(monkeypatch):
     rng = np.random.default_rng(3)
     texts = ["".join(rng.choice(list("ab \n"), n)).encode() for n in (0, 1, 5, 40, 300, 2000, 7, 0)]
