@@ -89,7 +89,7 @@ sl AS (SELECT *, unnest(range(-30, 120)) * 8 AS y FROM nz)
 SELECT glyph_id, y::DOUBLE AS y, round(min(x0 + ((y - y0) / (y1 - y0)) * (x1 - x0)), 6) + 0.0 AS "left", round(max(x0 + ((y - y0) / (y1 - y0)) * (x1 - x0)), 6) + 0.0 AS "right"
 FROM sl WHERE y >= y0 AND y < y1 GROUP BY ALL""")
 def outline_profile(spark, sf):
-    return _rounded(M.outline_profile(I.exploded(imported(spark, sf))), "glyph_id")
+    return _rounded(M.outline_profile(imported(spark, sf).select("glyph_id", "curves")), "glyph_id")
 
 
 @query("preserve_bearings", f"""WITH {C.PATHS}

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from quillwork.operators import corpus as X
 from quillwork.operators import family as Y
+from quillwork.operators import imports as I
+from quillwork.operators import metrics as M
 from quillwork.operators import outline as T
 from quillwork.operators import search as D
 from quillwork.plans import family as PF
@@ -100,3 +102,16 @@ def test_pairs_of_texts_leave_a_task_in_pieces(spark):
     assert X.pair_counts(texts).groupBy("doc_id").count().where("count = 26").count() == 2_000
     n = [r.n for r in pieces.collect()]
     assert sum(n) == 52_000 and max(n) < X.PAIRS + 26
+
+
+def test_an_outline_profile_shuffles_no_points(spark, sf):
+    outlines = PF.imported(spark, sf).select("glyph_id", "curves")
+    by_rows = {(r.glyph_id, r.y): (r.left, r.right) for r in M.outline_profile(I.exploded(outlines)).collect()}
+    by_glyph = {(r.glyph_id, r.y): (r.left, r.right) for r in M.outline_profile(outlines).collect()}
+    assert by_rows == by_glyph and len(by_glyph) > 10_000
+    assert plan(M.outline_profile(outlines)).count("Exchange") == plan(outlines).count("Exchange")
+    p = "struct<x: double, y: double>"
+    odd = spark.createDataFrame([("a", [(0, 0, (0., 0.), (0., 8.), (0., 16.), (0., 24.)), (0, 1, (0., 24.), (5., 24.), (9., 24.), (30., 24.))]),
+                                 ("b", []), ("c", None), ("d", [(0, 0, None, (0., 8.), (0., 16.), (0., 24.))])],
+                                f"glyph_id string, curves array<struct<contour: int, seq: int, p0: {p}, c1: {p}, c2: {p}, p3: {p}>>")
+    assert [tuple(r) for r in M.outline_profile(odd).orderBy("y").collect()] == [("a", 0., 0., 0.), ("a", 8., 0., 10.), ("a", 16., 0., 20.)]
