@@ -8,14 +8,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillwork.functions import dims
 from quillwork.functions.shuffle import spread
+from quillwork.operators.outline import _cuts
 from quillwork.sources.tables import table
 
 GLYPHS_PER_FONT = 112
+TEXT_BYTES = 1 << 20  # bytes of text cut into words at a time
+BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 # what of a page is not its text
 MARKUP = r"(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->|<[^>]*>"
 
@@ -116,22 +120,45 @@ def page_ink(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def text_runs(spark: SparkSession, sf: str) -> DataFrame:
-    """runs(scan_id, y, x0, x1, w, h): words of each document line as ink runs.
+    """runs(scan_id, w, h, y, x0, x1): words of each document line as ink runs.
 
     Lines are cut inside the row that holds the text, so no shuffle is needed.
     """
-    d = table(spark, sf, "documents").selectExpr("doc_id AS scan_id", "split(text, '\\n', -1) AS ls")
-    d = d.selectExpr("scan_id", "size(ls) AS h",
-                     "array_max(transform(ls, s -> length(s))) AS w", "posexplode(ls) AS (y, s)")
-    d = d.where("length(s) > 0").selectExpr("scan_id", "h", "w", "y", "split(s, '') AS c")
-    blank = "(array_contains(array(' ', '\\t', '\\r', '\\u000b', '\\u000c'), c[{i}]))"
-    here, before, after = (blank.format(i=i) for i in ("i", "i - 1", "i + 1"))
-    d = d.selectExpr(
-        "scan_id", "h", "w", "y",
-        f"filter(sequence(0, size(c) - 1), i -> NOT {here} AND (i = 0 OR {before})) AS a",
-        f"filter(sequence(0, size(c) - 1), i -> NOT {here} AND (i = size(c) - 1 OR {after})) AS b")
-    return d.selectExpr("scan_id", "w", "h", "y", "explode(arrays_zip(a, b)) AS r").selectExpr(
-        "scan_id", "w", "h", "y", "r.a AS x0", "r.b + 1 AS x1")
+    return runs_of(table(spark, sf, "documents").selectExpr("doc_id AS scan_id", "text"))
+
+
+def runs_of(texts: DataFrame) -> DataFrame:
+    """The same of texts(scan_id, text): places are counted in characters, found for ``TEXT_BYTES`` of texts (or one text) at once."""
+
+    def go(batches):
+        for batch in batches:
+            text = batch.column(1).cast(pa.binary())
+            sizes = pc.fill_null(pc.binary_length(text), 0).to_numpy()
+            for lo, hi in _cuts(sizes, TEXT_BYTES):
+                docs = [t or b"" for t in text.slice(lo, hi - lo).to_pylist()]
+                of, *cols = _word_runs(docs)
+                if len(of):
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of + lo)), *(pa.array(c, pa.int32()) for c in cols)],
+                                                     names=["scan_id", "w", "h", "y", "x0", "x1"])
+
+    return texts.mapInArrow(go, f"scan_id {texts.schema['scan_id'].dataType.simpleString()}, w int, h int, y int, x0 int, x1 int")
+
+
+def _word_runs(docs: list[bytes]) -> tuple[np.ndarray, ...]:
+    """(document, w, h, y, x0, x1) of every word of UTF-8 texts. Joined by line feeds, their lines are each other's neighbours."""
+    raw = np.frombuffer(b"\n".join(docs), np.uint8)
+    chars = np.zeros(len(raw) + 1, np.int32)  # characters before each byte
+    np.cumsum((raw & 0xC0) != 0x80, out=chars[1:])
+    feeds = np.flatnonzero(raw == 10)
+    begin, end = np.concatenate(([0], feeds + 1)), np.append(feeds, len(raw))  # of lines
+    first = np.searchsorted(begin, np.cumsum([0, *(len(d) + 1 for d in docs[:-1])]))  # a document's first line
+    h = np.diff(np.append(first, len(begin)))
+    w = np.maximum.reduceat(chars[end] - chars[begin], first)
+    edge = np.diff(np.concatenate(([0], (~BLANK[raw]).view(np.int8), [0])))
+    start, stop = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    line = np.searchsorted(begin, start, side="right") - 1
+    of = np.repeat(np.arange(len(docs)), h)[line]
+    return of, w[of], h[of], line - first[of], chars[start] - chars[begin[line]], chars[stop] - chars[begin[line]]
 
 
 def glyph_observations(spark: SparkSession, sf: str) -> DataFrame:

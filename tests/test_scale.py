@@ -1,5 +1,7 @@
 """Steps that must not grow with their input: what a task holds, what the driver gathers, what is shuffled."""
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -12,6 +14,8 @@ from quillwork.operators import outline as T
 from quillwork.operators import search as D
 from quillwork.plans import family as PF
 from quillwork.plans import outline as PO
+from quillwork.plans import segment as PS
+from quillwork.sources import adapters as A
 from quillwork.stages import Stages
 
 
@@ -115,3 +119,17 @@ def test_an_outline_profile_shuffles_no_points(spark, sf):
                                  ("b", []), ("c", None), ("d", [(0, 0, None, (0., 8.), (0., 16.), (0., 24.))])],
                                 f"glyph_id string, curves array<struct<contour: int, seq: int, p0: {p}, c1: {p}, c2: {p}, p3: {p}>>")
     assert [tuple(r) for r in M.outline_profile(odd).orderBy("y").collect()] == [("a", 0., 0., 0.), ("a", 8., 0., 10.), ("a", 16., 0., 20.)]
+
+
+def test_words_are_found_for_many_texts_at_once(spark, sf):
+    odd = [None, "", "\n", " \t\r\x0b\x0c", "a", "\n\né 😀x \u2028y\n z\n", "😀 " * 3 + "\n\xa0b\x1cc", "w" * 40 + "\n" + "x y\n" * 3]
+    texts = spark.createDataFrame(list(enumerate(odd * 3)) + [(None, "lost word")], "scan_id int, text string").coalesce(1)
+    want = []
+    for k, t in [*enumerate(odd * 3), (None, "lost word")]:
+        lines = (t or "").split("\n")
+        w = max(map(len, lines))
+        want += [(k, w, len(lines), y, m.start(), m.end()) for y, s in enumerate(lines) for m in re.finditer(r"[^ \t\r\x0b\x0c]+", s)]
+    key = lambda r: tuple(-1 if v is None else v for v in r)
+    assert sorted(map(tuple, A.runs_of(texts).collect()), key=key) == sorted(want, key=key)
+    assert not A.runs_of(texts.limit(0)).count()
+    assert "lambda" not in plan(PS.component_cap(spark, sf))
