@@ -1,17 +1,15 @@
 """Near duplicates by SimHash, linked by tiled exact comparison.
 
-A map gives every document its fingerprint. Equal fingerprints are folded into one row before anything is compared. The
-rest is put into tiles by the population counts of the fingerprint's four 16-bit quarters: two fingerprints within a
-radius of r bits have counts that differ by r in all at most, so only tiles that near are compared and all other pairs of
-tiles are skipped unread. A tile of more than ``BLOCK`` fingerprints is split into blocks. Each block meets its own tile
-and the tiles after it in one task by numpy exclusive-or and bit counts. A task gives back a forest over the links it found,
-never the pairs, so a dense group costs rows in proportion to its members.
+A map gives every document its fingerprint. Equal fingerprints are folded into one row before anything is compared. Its
+64 bits are cut into r + 1 parts: two fingerprints within a radius of r bits agree in one part at least, so a fingerprint is
+put into a tile for each part, by that part's last ``KEY`` bits, and only those that share a tile are compared. A tile of more
+than ``BLOCK`` fingerprints is split into blocks. Each block meets itself and the blocks after it in one task by numpy
+exclusive-or and bit counts. A task gives back a forest over the links it found, never the pairs, so a dense group costs
+rows in proportion to its members.
 """
 
 from __future__ import annotations
 
-from itertools import product
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -19,11 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField
 
+from quillwork.functions.shuffle import spread
 from quillwork.llm.common import Forest, Stage, append_columns, components, raw_texts
 
 SEED, SHINGLE, RADIUS = 42, 3, 2
 BLOCK = 4096
-QUARTER = 17  # counts 0 to 16
+KEY = 12  # bits of a part that make its tile
 
 
 def fingerprint(text: bytes, size: int = SHINGLE, seed: int = SEED) -> int:
@@ -56,28 +55,24 @@ def fingerprints(docs: DataFrame, text: str = "text", out: str = "fp", size: int
     return append_columns(docs, [StructField(out, LongType())], make)
 
 
+def tiles(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``(fp, tile)``: the ``radius`` + 1 tiles of each fingerprint. Two within ``radius`` bits share one at least."""
+    width = 64 // (radius + 1)
+    bits = min(width, KEY)
+    keys = [F.shiftrightunsigned("fp", width * k).bitwiseAND(F.lit((1 << bits) - 1).cast("long")) + (k << bits) for k in range(radius + 1)]
+    return fps.select("fp", F.explode(F.array(*[k.cast("int") for k in keys])).alias("tile"))
+
+
 def links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
     """Edges ``(a, b)`` of a forest for each task, which together join exactly the fingerprints (column fp, distinct) that
     chains of links within ``radius`` bits join."""
-    counts = [F.bit_count(F.shiftrightunsigned("fp", 16 * k).bitwiseAND(F.lit(0xFFFF).cast("long"))) for k in range(4)]
-    tile = sum((c * QUARTER**k for k, c in enumerate(counts)), F.lit(0)).cast("int")
-    tiled = fps.select("fp", *[c.alias(f"q{k}") for k, c in enumerate(counts)], tile.alias("tile"))
-    sizes = tiled.groupBy("tile").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))  # 17**4 tiles at most
-    steps = [d for d in product(range(-radius, radius + 1), repeat=4)
-             if sum(map(abs, d)) <= radius and sum(s * QUARTER**k for k, s in enumerate(d)) <= 0]
-    own = (tiled.join(F.broadcast(sizes), "tile")
-           .select("tile", F.pmod(F.xxhash64("fp"), "blocks").cast("int").alias("part"), "fp", F.lit(True).alias("own")))
-    # every fingerprint also goes to the blocks of its own tile before its own and of all near tiles that come before it
-    step = F.explode(F.array(*[F.struct(*[F.lit(s).alias(f"d{k}") for k, s in enumerate(d)]) for d in steps])).alias("s")
-    inside = [F.col(f"q{k}") + F.col(f"s.d{k}") for k in range(4)]
-    sent = tiled.select("fp", "tile", *[f"q{k}" for k in range(4)], step)
-    for i in inside:
-        sent = sent.where((i >= 0) & (i < QUARTER))
-    near = sum((i * QUARTER**k for k, i in enumerate(inside)), F.lit(0)).cast("int")
-    sent = (sent.select("fp", F.col("tile").alias("home"), near.alias("tile")).join(F.broadcast(sizes), "tile")
-            .select("tile", "fp", "blocks", (F.col("home") == F.col("tile")).alias("same"))
-            .withColumn("upto", F.when(F.col("same"), F.pmod(F.xxhash64("fp"), "blocks").cast("int")).otherwise(F.col("blocks"))).where("upto > 0")
-            .select("tile", F.explode(F.sequence(F.lit(0), F.col("upto") - 1)).alias("part"), "fp", F.lit(False).alias("own")))
+    tiled = tiles(fps, radius)
+    sizes = (tiled.groupBy("tile").agg(F.count("*").alias("n")).where("n > 1")  # radius + 1 times 2**KEY tiles at most
+             .select("tile", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
+    # every fingerprint goes to its own block of its tile and to the blocks before that
+    sent = (tiled.join(F.broadcast(sizes), "tile").select("tile", "fp", F.pmod(F.xxhash64("fp"), "blocks").cast("int").alias("home"))
+            .select("tile", F.explode(F.sequence(F.lit(0), "home")).alias("part"), "fp", "home")
+            .select("tile", "part", "fp", (F.col("part") == F.col("home")).alias("own")))
 
     def compare(table: pa.Table) -> pa.Table:
         fp = table.column("fp").to_numpy().view(np.uint64)
@@ -96,7 +91,7 @@ def links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame
         a, b = forest.edges()
         return pa.table({"a": fp[a].view(np.int64), "b": fp[b].view(np.int64)})
 
-    return own.unionByName(sent).groupBy("tile", "part").applyInArrow(compare, "a long, b long")
+    return spread(sent, "tile", "part").groupBy("tile", "part").applyInArrow(compare, "a long, b long")
 
 
 def grouped(docs: DataFrame, doc: str = "doc_id", text: str = "text", radius: int = RADIUS, size: int = SHINGLE) -> DataFrame:

@@ -103,6 +103,22 @@ def test_links_join_what_all_pairs_join(spark, block):
     assert reach(signed, [(r["a"], r["b"]) for r in found]) == reach(signed, close)
 
 
+def test_near_fingerprints_share_one_of_few_tiles(spark):
+    rng = random.Random(9)
+    pairs = []
+    for _ in range(300):
+        x = rng.getrandbits(64)
+        y = x
+        for at in rng.sample(range(64), rng.randint(0, 5)):
+            y ^= 1 << at
+        pairs.append(tuple(v - (1 << 64) if v >> 63 else v for v in (x, y)))
+    tiles = {}
+    for r in simhash.tiles(spark.createDataFrame([(x,) for x in {v for p in pairs for v in p}], "fp long"), 5).collect():
+        tiles.setdefault(r["fp"], []).append(r["tile"])
+    assert all(len(t) == len(set(t)) == 6 for t in tiles.values())  # before: some 300 tiles each
+    assert all(set(tiles[x]) & set(tiles[y]) for x, y in pairs)
+
+
 def test_simhash_query(spark, sf):
     docs = [(d["doc_id"], d["text"]) for d in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = [str((r["doc_id"], r["fingerprint"], r["component_id"])) for r in queries.op6(spark, sf).collect()]
