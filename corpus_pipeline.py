@@ -12,24 +12,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillwork.llm import langid, near, packing, toxicity
-from quillwork.llm.common import Stage, read
+from quillwork.llm.common import Stage, apart, read
 from quillwork.llm.queries import WORDS
 
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps texts in a known language: those with a letter and a cosine with its prototype in keeping with the learning part's texts
     of the language."""
-    learning = docs.where(~langid.held_out())
-    prototypes = langid.learn(learning)
-    known = langid.usual_enough(langid.usual(learning, prototypes))
-    told = langid.predict(docs.select(F.struct("*").alias("row"), "text"), prototypes, worth="worth")
-    return told.where((F.col("lang_pred") != langid.UNKNOWN) & known).select("row.*")
+    plain, names = apart(docs, doc_id="doc_id", text="text", lang="lang")
+    prototypes = langid.learn(plain.where(~langid.held_out()))
+    # staged, so that what is usual is learned from the same cosines
+    told = Stage(spark, "language").put(langid.predict(plain, prototypes, worth="worth"))
+    known = langid.usual_enough(langid.usual_told(told.where(~langid.held_out())))
+    return told.where((F.col("lang_pred") != langid.UNKNOWN) & known).select(*names).toDF(*docs.columns)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps texts that are not predicted to be toxic. The model learns from the labels of the documents it is given."""
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
-    scored = model.score(docs.select(F.struct("*").alias("row"), "text"))
-    return scored.where("predicted = 0").select("row.*")
+    plain, names = apart(docs, text="text")
+    return model.score(plain).where("predicted = 0").select(*names).toDF(*docs.columns)
 
 
 def single(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

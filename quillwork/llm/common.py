@@ -63,13 +63,21 @@ def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
+def apart(df: DataFrame, **own: str) -> tuple[DataFrame, list[str]]:
+    """``df`` and its columns' names there: each of ``own`` has the name given, all others have names that no operator uses. So no
+    column is lost to an operator's own, and none is sent to Python twice."""
+    wanted = {was.lower(): name for name, was in own.items()}
+    names = [wanted.get(c.lower(), f"in_{k}") for k, c in enumerate(df.columns)]
+    return df.toDF(*names), names
+
+
 def append_columns(
-    df: DataFrame, fields: list[StructField], make: Callable[[], Callable[[pa.RecordBatch], list]], rows: int = TEXT_SLICE
+    df: DataFrame, fields: list[StructField], make: Callable[[], Callable[[pa.RecordBatch], list]], rows: int = TEXT_SLICE, drop: Iterable[str] = ()
 ) -> DataFrame:
     """Every row of ``df`` with more columns. ``make`` runs once a task and gives the function from a slice of rows to the
-    new arrays. Input columns with the name of a new one are replaced by it."""
+    new arrays. Input columns with the name of a new one are replaced by it; those of ``drop`` are read by the function only."""
     names = [f.name for f in fields]
-    kept = without(df, names)
+    kept = without(df, [*names, *drop])
     at = [df.columns.index(c) for c in kept.columns]
     schema = StructType([*kept.schema.fields, *fields])
     columns = [*kept.columns, *names]

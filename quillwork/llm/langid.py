@@ -49,7 +49,7 @@ class Profiles:
     def __init__(self):
         self.letter = np.random.default_rng(11).choice(np.array([-1, 1], dtype=np.int8), (CLASSES, DIM))
         self.row = np.full(CLASSES**GRAM, -1, dtype=np.int32)
-        self.rows = np.zeros((0, DIM), dtype=np.int8)
+        self.rows, self.n = np.zeros((1024, DIM), dtype=np.int8), 0  # n are bound; there is room for more
 
     def vectors(self, codes: np.ndarray) -> np.ndarray:
         new = codes[self.row[codes] < 0]
@@ -58,8 +58,11 @@ class Profiles:
             for place in range(GRAM):
                 which = new // CLASSES ** (GRAM - 1 - place) % CLASSES
                 bound *= np.roll(self.letter, GRAM - 1 - place, axis=1)[which]
-            self.row[new] = len(self.rows) + np.arange(len(new))
-            self.rows = np.concatenate([self.rows, bound])
+            self.row[new] = self.n + np.arange(len(new))
+            while self.n + len(new) > len(self.rows):
+                self.rows = np.concatenate([self.rows, np.zeros_like(self.rows)])
+            self.rows[self.n : self.n + len(new)] = bound
+            self.n += len(new)
         return self.rows[self.row[codes]].astype(np.float32)
 
     def bundles(self, table: np.ndarray, codes: np.ndarray) -> np.ndarray:
@@ -164,7 +167,12 @@ def usual(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text"
     mean times the root of m, and spread is the deviation from that. A language spreads as far as all together at least.
     """
     rows = docs.where(F.col(f"`{lang}`").isNotNull()).select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang"))
-    told = predict(rows, prototypes, worth="worth").where("lang_pred = lang AND worth > 0")
+    return usual_told(predict(rows, prototypes, worth="worth"))
+
+
+def usual_told(told: DataFrame) -> dict[str, tuple[float, float]]:
+    """``usual`` of rows of ``lang`` with what ``predict`` told of them: ``lang_pred``, ``score`` and ``worth``."""
+    told = told.where("lang_pred = lang AND worth > 0")
     root = F.sqrt("worth")  # the squared deviations are made of plain sums
     sums = told.groupBy("lang").agg(F.count("*").alias("n"), F.avg(F.col("score") / root).alias("mean"), F.sum(F.col("score") ** 2).alias("cc"),
                                     F.sum(F.col("score") * root).alias("cr"), F.sum("worth").alias("rr")).collect()

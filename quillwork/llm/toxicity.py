@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField
 
-from quillwork.llm.common import Stage, append_columns, texts
+from quillwork.llm.common import Stage, apart, append_columns, texts
 
 SAMPLE = 6000  # labelled rows of each class at most that the model is fitted on
 SEEN, LIFT, DOUBT = 5, 2.0, 1.5  # a learned term: in so many toxic texts at least, with log odds so high when so many standard errors less
@@ -115,21 +115,24 @@ def features(text: str, weight) -> list[float]:
             begun += b * distinct[w]
     hits = sum(distinct[w] for w in bad)
     near = 0
-    you = [i for i, w in enumerate(words) if w in YOU]
-    if bad and you:
+    n_you = sum(distinct[w] for w in distinct.keys() & YOU)
+    if bad and n_you:
         at = np.array([i for i, w in enumerate(words) if w in bad])
-        ys = np.array(you)
+        ys = np.array([i for i, w in enumerate(words) if w in YOU])
         right = np.searchsorted(ys, at)
         gap = np.minimum(np.abs(ys[np.minimum(right, len(ys) - 1)] - at), np.abs(ys[np.maximum(right - 1, 0)] - at))
         near = int((gap <= NEAR).sum())
-    odd = [w for w in distinct if not w.isalpha() and MIXED.search(w)]
+    # most words are letters only, in lower case, so characters are looked at in the others only
+    other = [w for w in distinct if not w.isalpha()]
+    letters = max(1, sum(map(len, words)) - sum(distinct[w] * (len(w) - sum(map(str.isalpha, w))) for w in other))
+    loud = [w for w in raw if not w.islower()]
+    odd = [w for w in other if MIXED.search(w)]
     plain = [re.sub(r"[^\w]|_", "", w.translate(LEET)) for w in odd]
     unmasked = sum(distinct[o] for o, p in zip(odd, plain, strict=True) if p in SEED or weight(p))
-    letters = max(1, sum(map(str.isalpha, text)))
-    return [sum(distinct[w] for w in distinct if w in SEED) / n_words,
+    return [sum(distinct[w] for w in distinct.keys() & SEED) / n_words,
             sum(w * distinct[t] for t, w in bad.items()) / n_words, float(np.log1p(hits)), max(bad.values(), default=0.0),
-            near / n_words, len(you) / n_words, sum(map(str.isupper, text)) / letters,
-            sum(len(w) > 2 and w.isupper() for w in raw) / n, (text.count("!") + text.count("?")) / n,
+            near / n_words, n_you / n_words, sum(sum(map(str.isupper, w)) for w in loud) / letters,
+            sum(len(w) > 2 and w.isupper() for w in loud) / n, (text.count("!") + text.count("?")) / n,
             sum(map(text.count, ".,;:!?*#@|")) / len(text), sum(distinct[o] for o in odd) / n_words, unmasked / n_words,
             begun / n_words]
 
@@ -158,8 +161,8 @@ class Model:
     def score(self, docs: DataFrame, text: str = "text") -> DataFrame:
         """``docs`` with ``score double`` (0 to 1) and ``predicted int`` (1 from 0.5 on). Every row stays; null and empty texts
         are scored as texts without words. Columns with the new names, or the model's own, are replaced."""
-        cols = [c for c in docs.columns if c.lower() not in ("score", "predicted")]
-        kept = docs.select(F.struct(*[F.col(f"`{c}`") for c in cols]).alias("row"), F.col(f"`{text}`").alias("text"))
+        kept, names = apart(docs, text=text)
+        rows = [F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True) if c.lower() not in ("score", "predicted")]
         if self.trees is None:
             scored = kept.withColumn("score", F.lit(float(self.constant)))
         else:
@@ -170,7 +173,7 @@ class Model:
             else:
                 scored = self.calibration.transform(scored.drop("prediction")).withColumn("score", F.col("prediction"))
         score = F.least(F.greatest(F.col("score"), F.lit(0.0)), F.lit(1.0))
-        return scored.select("row.*", score.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+        return scored.select(*rows, score.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:

@@ -1,13 +1,16 @@
 """Language ID, toxicity and n-gram scores: held-out accuracy, brute force and odd rows."""
 
 import math
+import random
 import re
 from collections import Counter
 
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from quillwork.llm import langid, ngram_lm, queries, toxicity
+from quillwork.llm.common import append_columns
 
 DOCS = "doc_id long, text string, lang string"
 
@@ -71,6 +74,32 @@ def test_toxicity_of_odd_rows(spark):
     assert none.count() == 0
 
 
+def test_letters_and_capitals_against_every_character():
+    rng = random.Random(6)
+    texts = ["".join(rng.choices("aBßΣσİⒶⅧ𝐀º9'’.,!#* \t\n\x1c\u3000É_-你ſŉ", k=rng.randint(1, 80))) for _ in range(2000)]
+    for t in (t for t in texts if t.split()):
+        f = dict(zip(toxicity.NAMES, toxicity.features(t, {}.get), strict=True))
+        assert f["capitals"] == sum(map(str.isupper, t)) / max(1, sum(map(str.isalpha, t))), t
+        assert f["shouted"] == sum(len(w) > 2 and w.isupper() for w in t.split()) / len(t.split()), t
+
+
+def test_a_text_goes_to_python_once(spark, sf, monkeypatch):
+    sent = []
+
+    def noted(df, *args, **settings):
+        sent.append(df.schema.simpleString())
+        return append_columns(df, *args, **settings)
+
+    for module in (langid, toxicity):
+        monkeypatch.setattr(module, "append_columns", noted)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = spark.createDataFrame([(r["doc_id"], r["doc_id"] % 2) for r in docs.select("doc_id").collect()], "doc_id long, toxic int")
+    monkeypatch.setattr(corpus_pipeline, "read", lambda *_: labels)
+    for step in (corpus_pipeline.languages, corpus_pipeline.clean):
+        assert step(spark, docs, sf).columns == docs.columns
+    assert sent and all(s.count("text:string") == 1 for s in sent), sent  # before: two and three times
+
+
 def test_near_you_and_masked_words_are_seen():
     f = dict(zip(toxicity.NAMES, toxicity.features("YOU are an 1d!ot, an idiot!", {}.get), strict=True))
     assert f["near_you"] > 0 and f["unmasked"] > 0 and f["seed"] > 0 and f["shouted"] > 0 and f["exclaimed"] > 0
