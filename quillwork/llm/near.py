@@ -58,7 +58,7 @@ def staying(docs: DataFrame, doc: str = "doc_id", text: str = "text", size: int
     stage = Stage(docs.sparkSession, "near")
     value = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     rows = docs.select(F.col(f"`{doc}`").alias("id"), value.alias("text"), *text_key(value))
-    keyed = stage.put(simhash.fingerprints(rows, size=size).select("id", "h1", "h2", "fp"))
+    keyed = stage.put(simhash.fingerprints(rows, size=size, drop=["text"]))
     distinct = stage.put(keyed.groupBy("h1", "h2", "fp").agg(F.min("id").alias("id")))
     roots = components(stage, stage.put(simhash.links(distinct.select("fp").distinct(), radius)))
     member = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("h1", "h2", "id", F.coalesce("root", "fp").alias("root"))
@@ -72,7 +72,7 @@ def staying(docs: DataFrame, doc: str = "doc_id", text: str = "text", size: int
     wanted = member.toDF(*[f"m_{c}" for c in member.columns])
     one = (rows.join(wanted, (F.col("h1") == F.col("m_h1")) & (F.col("h2") == F.col("m_h2")) & F.col("id").eqNullSafe(F.col("m_id")))
            .select("h1", "h2", "id", F.col("m_root").alias("root"), "text").dropDuplicates(["h1", "h2", "id"]))
-    left = stage.put(append_columns(one, [StructField("shingles", BinaryType())], make).drop("text", "n").withColumn("lost_id", F.col("id").isNull()))
+    left = stage.put(append_columns(one, [StructField("shingles", BinaryType())], make, drop=["text"]).withColumn("lost_id", F.col("id").isNull()))
     gone = []
     key = ["h1", "h2"]
     while True:
@@ -114,5 +114,7 @@ def single(docs: DataFrame, doc: str = "doc_id", text: str = "text", **settings)
     value = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     rows = docs.select(F.struct("*").alias("row"), F.col(f"`{doc}`").alias("id"), *text_key(value))
     keys = staying(docs, doc, text, **settings).toDF("k1", "k2", "least")
-    kept = rows.join(keys, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")) & F.col("id").eqNullSafe(F.col("least")), "left_semi")
+    # as no join key, so that the rows lie by their text's hashes and need not be dealt out again for the ids
+    same_id = F.coalesce(F.col("id") == F.col("least"), F.col("id").isNull() & F.col("least").isNull())
+    kept = rows.join(keys, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")) & same_id, "left_semi")
     return kept.dropDuplicates(["h1", "h2", "id"]).select("row.*")  # rows that agree in id and text

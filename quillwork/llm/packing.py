@@ -177,7 +177,7 @@ def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
 
 
 def tokenised(df: DataFrame, path: str, text: str = "text", end_id: int = 2, dims: int = DIMS) -> DataFrame:
-    """``df`` with ``ids binary`` (little-endian, ending in ``end_id``; 2 bytes an id up to 65,536 ids, else 4) and
+    """``df`` without its text and with ``ids binary`` (little-endian, ending in ``end_id``; 2 bytes an id up to 65,536 ids, else 4) and
     ``point array<double>``. Null and empty texts are ``end_id`` alone. A map without a shuffle."""
 
     def make():
@@ -192,7 +192,7 @@ def tokenised(df: DataFrame, path: str, text: str = "text", end_id: int = 2, dim
 
         return fn
 
-    return append_columns(df, [StructField("ids", BinaryType()), StructField("point", ArrayType(DoubleType(), False))], make)
+    return append_columns(df, [StructField("ids", BinaryType()), StructField("point", ArrayType(DoubleType(), False))], make, drop=[text])
 
 
 def filled(batches: Iterator[pa.RecordBatch], doc: str, length: int, kind: str, part: int) -> Iterator[pa.RecordBatch]:
@@ -260,23 +260,20 @@ def pack(docs: DataFrame, path: str, doc: str = "doc_id", text: str = "text", le
     """
     spark = docs.sparkSession
     stage = Stage(spark, "pack")
-    coded = stage.put(tokenised(docs.select(F.col(f"`{doc}`").alias(doc), F.col(f"`{text}`").alias("text")), path, "text", end_id)
-                      .select(doc, "ids", "point"))
+    coded = stage.put(tokenised(docs.select(F.col(f"`{doc}`").alias(doc), F.col(f"`{text}`").alias("text")), path, "text", end_id))
     middle = coded.agg(*[f(F.col("point")[i]) for i in range(DIMS) for f in (F.avg, F.stddev_pop)]).first()
     mean = [m or 0.0 for m in middle[::2]]
     spread = [s or 1.0 for s in middle[1::2]]
 
-    def make():
-        erf = np.vectorize(math.erf, otypes=[float])
-
-        def fn(batch: pa.RecordBatch) -> list:
-            flat = batch.column("point").flatten().to_numpy().reshape(-1, DIMS)
-            share = (1 + erf((flat - mean) / np.array(spread) / math.sqrt(2))) / 2
-            return [pa.array(hilbert(np.minimum((share * (1 << BITS)).astype(np.int64), (1 << BITS) - 1), BITS))]
+    erf = np.vectorize(math.erf, otypes=[float])
 
-        return fn
+    @F.arrow_udf("long")  # of the points only: the range shuffle works this out twice, and ids need not go to Python for it
+    def key(points: pa.Array) -> pa.Array:
+        flat = points.flatten().to_numpy().reshape(-1, DIMS)
+        share = (1 + erf((flat - mean) / np.array(spread) / math.sqrt(2))) / 2
+        return pa.array(hilbert(np.minimum((share * (1 << BITS)).astype(np.int64), (1 << BITS) - 1), BITS))
 
-    along = append_columns(coded, [StructField("key", LongType())], make, 4096).select(doc, "ids", "key")
+    along = coded.select(doc, "ids", key("point").alias("key"))
     ordered = along.repartitionByRange("key", doc).sortWithinPartitions("key", doc, "ids")
     kind = "<u2" if vocabulary(path) <= 1 << 16 else "<u4"
     schema = StructType([coded.schema[doc], *[StructField(n, LongType()) for n in

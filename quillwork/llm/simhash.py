@@ -10,6 +10,8 @@ rows in proportion to its members.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -43,8 +45,9 @@ def fingerprint(text: bytes, size: int = SHINGLE, seed: int = SEED) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, text: str = "text", out: str = "fp", size: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """``docs`` with ``out long``, the fingerprint as a signed number. Texts that are null or have no word have 0."""
+def fingerprints(docs: DataFrame, text: str = "text", out: str = "fp", size: int = SHINGLE, seed: int = SEED,
+                 drop: Iterable[str] = ()) -> DataFrame:
+    """``docs`` without ``drop`` and with ``out long``, the fingerprint as a signed number. Texts that are null or have no word have 0."""
 
     def make():
         def fn(batch: pa.RecordBatch) -> list:
@@ -52,7 +55,7 @@ def fingerprints(docs: DataFrame, text: str = "text", out: str = "fp", size: int
 
         return fn
 
-    return append_columns(docs, [StructField(out, LongType())], make)
+    return append_columns(docs, [StructField(out, LongType())], make, drop=drop)
 
 
 def tiles(fps: DataFrame, radius: int = RADIUS) -> DataFrame:

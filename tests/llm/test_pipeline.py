@@ -1,6 +1,7 @@
 """The pipeline: each stage decides what its operator decides, on all that the one before kept."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -60,6 +61,18 @@ def test_near_duplicates_against_all_pairs(spark, monkeypatch, settled):
     assert near.single(df.limit(0)).count() == 0
 
 
+def test_texts_are_dealt_out_once(spark, sf):
+    docs = read(spark, sf, "documents")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = near.single(docs)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    keys = re.findall(r"Exchange hashpartitioning\((.*), \d+\)", plan)
+    assert keys and all(re.fullmatch(r"[hk][12]#\w+, [hk][12]#\w+", k) for k in keys), keys  # before: by text and id, twice
+
+
 def test_planted_near_copies_go_and_clean_documents_stay(spark):
     docs = [(r["doc_id"], r["text"]) for r in read(spark, "/root/testdata/sf0.01", "documents").collect()]
     sets = [(d, plain_shingles(t)) for d, t in docs]
