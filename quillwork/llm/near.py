@@ -112,9 +112,8 @@ def single(docs: DataFrame, doc: str = "doc_id", text: str = "text", **settings)
     both, one. Null and empty texts are one text. Columns may have any names. An empty table gives an empty table.
     """
     value = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    rows = docs.select(F.struct("*").alias("row"), F.col(f"`{doc}`").alias("id"), *text_key(value))
-    keys = staying(docs, doc, text, **settings).toDF("k1", "k2", "least")
-    # as no join key, so that the rows lie by their text's hashes and need not be dealt out again for the ids
-    same_id = F.coalesce(F.col("id") == F.col("least"), F.col("id").isNull() & F.col("least").isNull())
-    kept = rows.join(keys, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")) & same_id, "left_semi")
-    return kept.dropDuplicates(["h1", "h2", "id"]).select("row.*")  # rows that agree in id and text
+    # an id in a struct equals itself even if it is null; rows are dealt out once by the keys of both the join and the copies
+    rows = docs.select(F.struct("*").alias("row"), F.struct(F.col(f"`{doc}`").alias("id")).alias("own"), *text_key(value))
+    keys = staying(docs, doc, text, **settings).select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), F.struct("id").alias("least"))
+    kept = rows.join(keys, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")) & (F.col("own") == F.col("least")), "left_semi")
+    return kept.dropDuplicates(["h1", "h2", "own"]).select("row.*")  # rows that agree in id and text
